@@ -12,10 +12,8 @@ def _c(x) -> Column:
 
 def micros(ts) -> Column:
     """Microseconds since 1970-01-01 of the wall clock; independent of the session zone."""
-    c = _c(ts)
-    secs = F.hour(c) * 3600 + F.minute(c) * 60
-    frac = (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
-    return F.unix_date(F.to_date(c)) * F.lit(86_400_000_000) + secs.cast("long") * 1_000_000 + frac
+    since = _c(ts).cast("timestamp_ntz") - F.expr("timestamp_ntz'1970-01-01 00:00:00'")
+    return (since.cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("long")
 
 
 def hours_between(start, end) -> Column:

@@ -29,6 +29,14 @@ def windows(t):
         (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 12 + 1).cast("int"))).alias("end"))
 
 
+def shifted(t):
+    """Orders as loose sessions: start hour by order number, length -2 .. 27 hours by customer."""
+    h = F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int"))
+    n = F.make_dt_interval(F.lit(0), (F.col("o_custkey") % 30 - 2).cast("int"))
+    return t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice",
+                           (F.col("o_orderdate") + h).alias("start"), (F.col("o_orderdate") + h + n).alias("end"))
+
+
 def tagged(t):
     """Events with machine codes: view=7001, signup=6005, purchase=7002, error=1074."""
     code = (F.when(F.col("event_type") == "view", "7001").when(F.col("event_type") == "signup", "6005")
@@ -50,6 +58,8 @@ SESSIONS_SQL = """
 CLICKS_SQL = " clk AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'click')"
 WINDOWS_SQL = """ win AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_orderdate AS s,
    o_orderdate + to_hours((o_orderkey % 12 + 1)::INT) AS e FROM orders)"""
+SHIFTED_SQL = """ sh AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_totalprice, o_orderdate + to_hours((o_orderkey % 24)::INT) AS s,
+   o_orderdate + to_hours((o_orderkey % 24 + o_custkey % 30 - 2)::INT) AS e FROM orders)"""
 TAGGED_SQL = """
  tg AS (SELECT *, CASE event_type WHEN 'view' THEN 'logon' WHEN 'signup' THEN 'logon' WHEN 'purchase' THEN 'logoff' WHEN 'error' THEN 'logoff' END AS tag,
         CASE event_type WHEN 'view' THEN '7001' WHEN 'signup' THEN '6005' WHEN 'purchase' THEN '7002' WHEN 'error' THEN '1074' ELSE '1' END AS code FROM events)"""

@@ -198,15 +198,15 @@ def _(t):
 @query("break_rules", f"""WITH {LOGON_SQL},
  x AS (SELECT key, start_id, part, epoch_us(pe) - epoch_us(ps) AS d, epoch_us(ps) % 86400000000 // 1000000 AS a, epoch_us(pe) % 86400000000 // 1000000 AS b FROM sp),
  y AS (SELECT *, CASE WHEN a < 36000 AND b > 50400 THEN 30 ELSE 0 END AS lunch, CASE WHEN a < 57600 AND b > 72000 THEN 45 ELSE 0 END AS dinner FROM x)
- SELECT key, start_id, part, lunch, dinner, round(d / 6e7 - lunch - dinner, 6) AS work_minutes,
+ SELECT key, start_id, part, lunch, dinner, round(d / 6e7 - lunch - dinner, 3) AS work_minutes,
    round(CASE WHEN d > 0 THEN (d / 6e7 - lunch - dinner) / (d / 6e7) * 100 ELSE 0 END, 6) AS efficiency FROM y""")
 def _(t):
     s = _logon(t)
     lunch, dinner = S.break_minutes(F.col("start"), F.col("end"))
-    total = tc.hours_between("start", "end") * 60
+    total = (tc.micros("end") - tc.micros("start")) / 6e7
     s = s.withColumn("lunch", lunch).withColumn("dinner", dinner).withColumn("total", total)
     work = F.col("total") - F.col("lunch") - F.col("dinner")
-    return s.select("key", "start_id", "part", "lunch", "dinner", F.round(work, 6).alias("work_minutes"),
+    return s.select("key", "start_id", "part", "lunch", "dinner", F.round(work, 3).alias("work_minutes"),
                     F.round(F.when(F.col("total") > 0, work / F.col("total") * 100).otherwise(0.0), 6).alias("efficiency"))
 
 
