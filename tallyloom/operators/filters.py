@@ -51,7 +51,7 @@ def work_session_reasons(df: DataFrame, start: str, end: str, first_day: str) ->
     night = F.when(F.to_date(s) == F.to_date(e), (sm < 390) & (em > 60)).otherwise((sm < 390) | (em > 60))
     reason = (F.when(s.isNull() | e0.isNull(), "invalid_datetime")
               .when(F.to_date(s) < F.lit(first_day).cast("date"), "before_target_start")
-              .when(tc.micros(e) - tc.micros(s) <= 0, "non_positive_duration")
+              .when(e <= s, "non_positive_duration")
               .when(night, "overlaps_night"))
     return df.withColumn(end, e).withColumn("reject_reason", reason)
 

@@ -26,15 +26,14 @@ def windows(t):
     """Orders as intervals: start = order date, length 1..12 hours by order number."""
     return t.orders.select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.col("o_orderdate").alias("start"),
-        (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 12 + 1).cast("int"))).alias("end"))
+        F.expr("timestampadd(HOUR, cast(o_orderkey % 12 + 1 as int), o_orderdate)").alias("end"))
 
 
 def shifted(t):
     """Orders as loose sessions: start hour by order number, length -2 .. 27 hours by customer."""
-    h = F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int"))
-    n = F.make_dt_interval(F.lit(0), (F.col("o_custkey") % 30 - 2).cast("int"))
     return t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice",
-                           (F.col("o_orderdate") + h).alias("start"), (F.col("o_orderdate") + h + n).alias("end"))
+                           F.expr("timestampadd(HOUR, cast(o_orderkey % 24 as int), o_orderdate)").alias("start"),
+                           F.expr("timestampadd(HOUR, cast(o_orderkey % 24 + o_custkey % 30 - 2 as int), o_orderdate)").alias("end"))
 
 
 def tagged(t):

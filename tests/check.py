@@ -63,8 +63,9 @@ def compare(spark, con, folder, name):
         return ("ok" if rows else "EMPTY"), len(rows), t1 - t0, ""
     if got[0] != want[0]:
         return "FAIL", len(rows), t1 - t0, f"columns {got[0]} vs {want[0]}"
-    extra = [r for r in got[1] if r not in set(want[1])][:3]
-    miss = [r for r in want[1] if r not in set(got[1])][:3]
+    w, g = set(want[1]), set(got[1])
+    extra = [r for r in got[1] if r not in w][:3]
+    miss = [r for r in want[1] if r not in g][:3]
     return "FAIL", len(rows), t1 - t0, f"{len(got[1])} vs {len(want[1])}\n   spark {extra}\n   sql   {miss}"
 
 
