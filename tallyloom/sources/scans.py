@@ -15,12 +15,7 @@ EVENT_ALIASES = {"TimeGenerated": "timestamp", "DateTime": "timestamp", "Timesta
                  "ComputerName": "computer_name", "Computer": "computer_name"}
 COMMIT_ALIASES = {"date": "timestamp", "datetime": "timestamp", "repository": "repo_name", "repo": "repo_name",
                   "author_name": "author", "commit_message": "message", "subject": "message", "commit_hash": "hash", "sha": "hash"}
-
-
-def _files(spark: SparkSession, path: str, glob: str) -> list[str]:
-    """Paths in a folder (names only; a listing, not data)."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path").collect()
-    return sorted(r[0] for r in rows)
+ELIGIBLE_FLAG = "is_wbso"
 
 
 def _header_groups(spark: SparkSession, path: str, sep: str = ",") -> dict[tuple, list[str]]:
@@ -111,12 +106,17 @@ def scan_json_records(spark: SparkSession, path: str, aliases: dict[str, str] =
     whole = spark.read.text(path, wholetext=True)
     if not whole.filter("not rlike(value, '^\\\\s*\\\\[')").isEmpty():
         raise ValueError(f"{path}: expected a list of records")
-    df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+    return commit_records(spark.read.option("multiLine", True).option("primitivesAsString", True).json(path), aliases, required)
+
+
+def commit_records(df: DataFrame, aliases: dict[str, str] = COMMIT_ALIASES,
+                   required: tuple[str, ...] = ("timestamp", "repo_name", "author", "message", "hash")) -> DataFrame:
+    """Records under canonical names with a typed time and flag."""
     df = df.withColumnsRenamed({k: v for k, v in aliases.items() if k in df.columns and v not in df.columns})
     gone = [c for c in required if c not in df.columns]
     if gone:
         raise ValueError(f"missing columns: {gone}")
-    flag = F.lower("is_wbso") if "is_wbso" in df.columns else F.lit("false")
+    flag = F.lower(F.col(ELIGIBLE_FLAG).cast("string")) if ELIGIBLE_FLAG in df.columns else F.lit("false")
     return df.withColumn("timestamp", tc.parse_stamp("timestamp")).withColumn("is_eligible", flag.isin("true", "1", "yes"))
 
 
@@ -155,7 +155,7 @@ def scan_eval_dataset(spark: SparkSession, path: str) -> DataFrame:
 def scan_text_files(spark: SparkSession, path: str) -> DataFrame:
     """.md .txt .html .htm files as text with their headings; broken bytes become U+FFFD."""
     b = spark.read.format("binaryFile").load(path).filter(tx.extension("path").isin("md", "txt", "html", "htm"))
-    raw = F.decode("content", F.lit("UTF-8"))
+    raw = F.make_valid_utf8(F.col("content").cast("string"))
     d = b.select("path", F.col("length").alias("file_size"), F.sha2("content", 256).alias("file_hash"), tx.extension("path").alias("file_type"), raw.alias("raw"))
     html = tx.html_text(F.when(F.col("file_type").isin("html", "htm"), F.col("raw")))
     d = d.withColumn("h", html)
