@@ -230,3 +230,25 @@ def _(t):
     e = t.events.select("event_id", "user_id", "ts", F.to_date("ts").alias("day"),
                         F.when(F.col("event_type").isin("view", "error"), F.col("event_type")).alias("activity"))
     return S.carry_forward(e, ["user_id", "day"], ["ts", "event_id"], "activity").select("event_id", "assigned")
+
+
+@query("deoverlap")
+def _(t):
+    from ..operators.sequential import deoverlap
+
+    w = fx.shifted(t).withColumn("owner", F.col("o_custkey") % 50)
+    return deoverlap(w, "owner", "o_orderkey")
+
+
+@query("budgeted_assignment")
+def _(t):
+    """Suggestion = the kind of the first click inside a session."""
+    from ..operators.intervals import stab_join
+    from ..operators.sequential import budgeted_assignment
+
+    s = fx.sessions(t).select("key", "start_id", "start", "end")
+    p = stab_join(fx.clicks(t), s, "ts", "start", "end", [("user_id", "key")])
+    hint = F.concat(F.lit("S"), F.floor(F.col("value") / 20) % 4)
+    h = p.groupBy("start_id").agg(F.min_by(hint, F.struct("ts", "event_id")).alias("hint"))
+    r = budgeted_assignment(s.join(h, "start_id", "left"), "key", "start_id", [("S0", 20.0), ("S1", 30.0), ("S2", 0.0), ("S3", 15.0)], "hint")
+    return r.withColumn("cumulative_hours", F.round("cumulative_hours", 6))

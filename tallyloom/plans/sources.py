@@ -109,12 +109,11 @@ def _(t):
 
 @query("scan_text_files")
 def _(t):
-    """Pages as files under a folder named by page id, read back as binary files."""
+    """Pages written to text files (records separated by U+001E) and read back as binary files."""
     d = scratch_dir(t.spark, "html")
-    t.pages.select(F.col("html").alias("value"), (F.col("page_id") % 16).alias("part")).write.partitionBy("part").option("lineSep", "\n").text(d)
-    t.spark.read.text(d, wholetext=True).limit(0)
+    t.pages.select(F.col("html").alias("value"), (F.col("page_id") % 16).alias("part")).write.partitionBy("part").option("lineSep", "\x1e").text(d)
     b = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(d)
-    lines = b.select(F.explode(F.split(F.make_valid_utf8(F.col("content").cast("string")), "\n")).alias("html")).filter("length(html) > 0")
+    lines = b.select(F.explode(F.split(F.make_valid_utf8(F.col("content").cast("string")), "\x1e")).alias("html")).filter("length(html) > 0")
     return lines.select(tx.html_text("html").alias("x")).select(F.length("x.text").alias("n"), F.sha2("x.text", 256).alias("h"), F.size("x.headings").alias("headings"))
 
 
