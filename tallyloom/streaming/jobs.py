@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import privacy as pv
 from ..functions.timecols import micros
@@ -124,7 +125,7 @@ def ingest(df: DataFrame, to_chunks, out: str, doc: str, content_hash: str) -> D
 
     def step(batch: DataFrame, batch_id: int):
         chunks = to_chunks(batch).dropDuplicates([content_hash])
-        old = spark.read.schema(chunks.schema.add("batch", "int")).parquet(data).filter(F.col("batch") != batch_id) if _exists(spark, data) else None
+        old = spark.read.schema(StructType([*chunks.schema.fields, StructField("batch", IntegerType())])).parquet(data).filter(F.col("batch") != batch_id) if _exists(spark, data) else None
         if old is not None:
             chunks = chunks.join(old.select(content_hash), content_hash, "left_anti").select(*chunks.columns)
         chunks.write.mode("overwrite").parquet(f"{data}/batch={batch_id}")
