@@ -32,6 +32,14 @@ FALLBACK_PATTERNS = [
     ("bsn", r"\b\d{9}\b"),
     ("postal_code", r"\b\d{4}\s?[A-Z]{2}\b"),
 ]
+# What a text must contain for a category to be possible at all (checked first, it is far cheaper
+# than the full pattern): lower-case words, or a pattern of its own.
+_STREETS = "straat|weg|laan|plein|gracht|singel|kade|dijk|pad|hof|steeg|dreef|park|markt"
+MUST_HAVE = {
+    "name": ["dhr.", "mevr", "de heer"], "bsn": r"\d{9}", "dob_exact": r"\d[-/\s]", "address": rf"(?:{_STREETS})\s+\d",
+    "postal_code": r"\d{4}\s?[A-Z]{2}", "phone": r"(?:\+31|0)\s*[1-9]", "email": ["@"], "age_exact": ["jaar", "jarig"],
+    "patient_id": ["pati", "mrn", "dossier"], "date_specific": MONTHS.split("|")}
+WITHOUT_DIGITS = ["name", "email", "patient_id"]  # every other category needs a digit
 # Masking order: direct identifiers first, then what may be generalised.
 MASK_ORDER = ["name", "email", "patient_id", "address", "dob_exact", "date_specific", "bsn", "phone", "postal_code", "age_exact"]
 
@@ -87,15 +95,47 @@ def _re(pattern: str) -> Column:
     return F.lit(f"(?iU){pattern}")
 
 
+def _has_digit(text: Column) -> Column:
+    return F.regexp_like(text, F.lit(r"\p{Nd}"))
+
+
+def _words(text: Column, words: list[str]) -> Column:
+    low, hit = F.lower(text), F.lit(False)
+    for w in words:
+        hit = hit | F.contains(low, F.lit(w))
+    return hit
+
+
+def _possible(text: Column, name: str) -> Column:
+    need = MUST_HAVE[name]
+    if name in WITHOUT_DIGITS:
+        return _words(text, need)
+    return _has_digit(text) & (F.regexp_like(text, _re(need)) if isinstance(need, str) else _words(text, need))
+
+
+def _any_possible(text: Column) -> Column:
+    return _has_digit(text) | _words(text, [w for n in WITHOUT_DIGITS for w in MUST_HAVE[n]])
+
+
 def pii_counts(text) -> dict[str, Column]:
     """Matches per category."""
-    return {name: F.regexp_count(_c(text), _re(p)) for name, p, _, _ in PII_PATTERNS}
+    t = _c(text)
+    return {name: F.when(_possible(t, name), F.regexp_count(t, _re(p))).otherwise(0) for name, p, _, _ in PII_PATTERNS}
 
 
 def pii_categories(text, patterns=None) -> Column:
     """Categories present, in pattern order."""
     pats = patterns or [(n, p) for n, p, _, _ in PII_PATTERNS]
-    return F.array_compact(F.array(*[F.when(F.regexp_like(_c(text), _re(p)), n) for n, p in pats]))
+    t = _c(text)
+    return F.array_compact(F.array(*[
+        F.when((_possible(t, n) if patterns is None else F.lit(True)) & F.regexp_like(t, _re(p)), n) for n, p in pats]))
+
+
+def has_pii(text) -> Column:
+    t, hit = _c(text), F.lit(False)
+    for n, p, _, _ in PII_PATTERNS:
+        hit = hit | (_possible(t, n) & F.regexp_like(t, _re(p)))
+    return hit
 
 
 def pii_spans(text) -> Column:
@@ -121,15 +161,14 @@ def mask(text) -> Column:
     table = {n: (p, tok) for n, p, _, tok in PII_PATTERNS}
     for name in MASK_ORDER:
         p, tok = table[name]
+        steps = [(p, tok)]
         if name == "postal_code":
-            t = F.regexp_replace(t, _re(r"\b(\d{2})\d{2}\s?[A-Z]{2}\b"), F.lit("$1xx regio"))
+            steps = [(r"\b(\d{2})\d{2}\s?[A-Z]{2}\b", "$1xx regio")]
         elif name == "age_exact":
-            t = F.regexp_replace(t, _re(r"\b([7-9]|[1-9]\d)\d\s*(?:jaar|jarige?)\b"), F.lit("$10+"))
-            t = F.regexp_replace(t, _re(r"\b(\d)\d\s*(?:jaar|jarige?)\b"), F.lit("$10s"))
-            t = F.regexp_replace(t, _re(p), F.lit("0s"))
-        else:
-            t = F.regexp_replace(t, _re(p), F.lit(tok))
-    return t
+            steps = [(r"\b([7-9]|[1-9]\d)\d\s*(?:jaar|jarige?)\b", "$10+"), (r"\b(\d)\d\s*(?:jaar|jarige?)\b", "$10s"), (p, "0s")]
+        for rx, to in steps:
+            t = F.regexp_replace(t, _re(rx), F.lit(to))
+    return F.when(_any_possible(_c(text)), t).otherwise(_c(text))
 
 
 def age_to_decade(age: Column) -> Column:
@@ -195,7 +234,7 @@ def advice_issues(text) -> Column:
 
 def screen_input(text, trusted: Column | None = None) -> Column:
     """struct(action, reason): jailbreak and topic block, personal data only flags."""
-    pii = any_pattern(text, [p for _, p, _, _ in PII_PATTERNS])
+    pii = has_pii(text)
     out = F.when(trusted, F.struct(F.lit("allow").alias("action"), F.lit("trusted").alias("reason"))) if trusted is not None else None
 
     def arm(cond, action, reason):
@@ -216,7 +255,7 @@ def screen_output(text, trusted: Column | None = None) -> Column:
     for w in BLOCKED_TERMS:
         hit = hit | F.contains(low, F.lit(w))
     checks = [(hit, "blocked_terms"), (any_pattern(text, LEAK_PATTERNS), "system_leak"), (any_pattern(text, ADVICE_PATTERNS), "medical_advice"),
-              (any_pattern(text, [p for _, p, _, _ in PII_PATTERNS]), "pii")]
+              (has_pii(text), "pii")]
     out = F.when(trusted if trusted is not None else F.lit(False), F.struct(F.lit("allow").alias("action"), F.lit("trusted").alias("reason")))
     for cond, reason in checks:
         out = out.when(cond, F.struct(F.lit("block").alias("action"), F.lit(reason).alias("reason")))

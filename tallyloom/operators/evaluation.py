@@ -27,19 +27,18 @@ def judged(hits: DataFrame, items: DataFrame, chunks: DataFrame, rid: str, text:
 
 
 def query_metrics(items: DataFrame, judged_hits: DataFrame, k: int) -> DataFrame:
-    """precision@k, recall@k, reciprocal rank and hit@k per question, zero-hit questions included."""
-    per_hit = judged_hits.groupBy("query_id", "rank").agg(F.max("matched").alias("hit"))
-    p = per_hit.groupBy("query_id").agg(
-        F.count_if(F.col("hit") & (F.col("rank") <= k)).alias("hits"), F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"))
-    per_truth = judged_hits.groupBy("query_id", "truth_no").agg(F.max(F.col("matched") & (F.col("rank") <= k)).alias("found"))
-    truths = items.select("query_id", F.posexplode("ground_truth").alias("truth_no", "truth"))
-    cov = truths.join(per_truth, ["query_id", "truth_no"], "left").withColumn(
-        "ok", (F.length(normalize_match("truth")) < MIN_MATCH) | F.coalesce("found", F.lit(False)))
-    r = cov.groupBy("query_id").agg(F.avg(F.col("ok").cast("int")).alias("recall"))
-    out = items.select("query_id").join(p, "query_id", "left").join(r, "query_id", "left")
-    hits = F.coalesce("hits", F.lit(0))
-    return out.select("query_id", (hits / k if k > 0 else F.lit(0.0)).alias("precision"), F.coalesce("recall", F.lit(1.0)).alias("recall"),
-                      F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), F.when(hits > 0, 1).otherwise(0).alias("hit"))
+    """precision@k, recall@k, reciprocal rank and hit@k per question, zero-hit questions included.
+    A question has at most (hits x truths) judged rows, so they are gathered per question once."""
+    j = judged_hits.groupBy("query_id").agg(F.collect_list(F.struct("rank", "truth_no", "matched")).alias("h"))
+    d = items.join(j, "query_id", "left").withColumn("good", F.filter(F.coalesce("h", F.array()), lambda x: x["matched"]))
+    ranks = F.array_distinct(F.transform("good", lambda x: x["rank"]))
+    hits = F.size(F.filter(ranks, lambda r: r <= k))
+    covered = F.transform("ground_truth", lambda g, i: (F.length(normalize_match(g)) < MIN_MATCH) | F.exists(
+        "good", lambda x: (x["truth_no"] == i) & (x["rank"] <= k)))
+    n = F.size("ground_truth")
+    recall = F.when(n > 0, F.size(F.filter(covered, lambda c: c)) / n).otherwise(1.0)
+    return d.select("query_id", (hits / k if k > 0 else F.lit(0.0)).alias("precision"), recall.alias("recall"),
+                    F.coalesce(1.0 / F.array_min(ranks), F.lit(0.0)).alias("mrr"), F.when(hits > 0, 1).otherwise(0).alias("hit"))
 
 
 def aggregate_metrics(per_query: DataFrame, keys: list[str] = ()) -> DataFrame:

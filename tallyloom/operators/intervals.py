@@ -1,7 +1,7 @@
 """Interval joins as plain equi-joins.
 
-Each interval is cut into aligned blocks of 8^k seconds (few blocks, however long
-the interval) and each point names the one block per size that holds it.  A point
+Each interval is cut into aligned blocks of a few fixed sizes, from a second to 512 days (few
+blocks, however long the interval), and each point names the one block per size that holds it.  A point
 meets an interval in exactly one block, so the join emits true matches only, never
 the pairs of a whole bucket, and a busy owner is spread over its blocks.
 Parts shorter than a whole second go through one extra level with the exact test.
@@ -18,8 +18,10 @@ from ..functions.timecols import hours_between, micros
 from ..scale import Ordered, ahead, running
 
 _TICK = 1_000_000
-_RADIX = 8
-_LEVELS = 10
+# Block sizes in seconds; each divides the next, and hours and days are among them, so intervals
+# with round ends need very few blocks.
+_SIZES = [1, 10, 60, 600, 3_600, 21_600, 86_400, 8 * 86_400, 64 * 86_400, 512 * 86_400]
+_LEVELS = len(_SIZES)
 
 
 def _fdiv(x: str, n: int) -> str:
@@ -34,15 +36,16 @@ def _seq(lo: str, hi: str) -> str:
 def _cover(df: DataFrame, start: Column, end: Column) -> DataFrame:
     """One row per (interval, level, block)."""
     df = df.withColumn("__s", micros(start)).withColumn("__e", micros(end))
-    lo = [_fdiv(f"__s + {_TICK * _RADIX**k - 1}L", _TICK * _RADIX**k) for k in range(_LEVELS + 1)]
-    hi = [_fdiv("__e + 1L", _TICK * _RADIX**k) for k in range(_LEVELS + 1)]
+    lo = [_fdiv(f"__s + {_TICK * n - 1}L", _TICK * n) for n in _SIZES]
+    hi = [_fdiv("__e + 1L", _TICK * n) for n in _SIZES]
     df = df.withColumns({f"__lo{k}": F.expr(lo[k]) for k in range(_LEVELS)})
     df = df.withColumns({f"__hi{k}": F.expr(hi[k]) for k in range(_LEVELS)})
     parts = []
     for k in range(_LEVELS):
         whole = _seq(f"__lo{k}", f"__hi{k}")
         if k + 1 < _LEVELS:
-            edges = (f"concat({_seq(f'__lo{k}', f'8L*__lo{k + 1}')}, {_seq(f'8L*__hi{k + 1}', f'__hi{k}')})")
+            up = _SIZES[k + 1] // _SIZES[k]
+            edges = f"concat({_seq(f'__lo{k}', f'{up}L*__lo{k + 1}')}, {_seq(f'{up}L*__hi{k + 1}', f'__hi{k}')})"
             expr = f"if(__lo{k + 1} < __hi{k + 1}, {edges}, {whole})"
         else:
             expr = whole
@@ -59,7 +62,7 @@ def _cover(df: DataFrame, start: Column, end: Column) -> DataFrame:
 def _probe(df: DataFrame, ts: Column) -> DataFrame:
     df = df.withColumn("__t", micros(ts))
     items = [f"struct(-1 as level, {_fdiv('__t', _TICK)} as block)"]
-    items += [f"struct({k} as level, {_fdiv('__t', _TICK * _RADIX**k)} as block)" for k in range(_LEVELS)]
+    items += [f"struct({k} as level, {_fdiv('__t', _TICK * _SIZES[k])} as block)" for k in range(_LEVELS)]
     return (df.withColumn("__p", F.explode(F.expr(f"array({', '.join(items)})")))
             .withColumn("__plevel", F.col("__p.level")).withColumn("__pblock", F.col("__p.block")).drop("__p", "__t"))
 

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as tx
 from ..functions.vectors import TopK
-from ..scale import DRIVER_ROWS, first_per, setting
+from ..scale import DRIVER_ROWS, bounded_rows, first_per, setting, spread
 
 _SQL_TYPES = {"bigint": pa.int64(), "int": pa.int64(), "string": pa.string()}
 
@@ -97,7 +97,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 def bm25_stats(corpus: DataFrame, rid: str, text: str):
     """(tokens table, one-row totals, term table).  Write them once when many searches follow."""
-    toks = corpus.select(rid, tx.tokens(text).alias("tokens"))
+    toks = spread(corpus.select(rid, text)).select(rid, tx.tokens(text).alias("tokens"))
     totals = toks.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     terms = toks.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return toks, totals, terms
@@ -110,16 +110,17 @@ def bm25_topk(corpus: DataFrame, rid: str, text: str, queries: DataFrame, qid: s
     n, avgdl = totals.first()
     q = queries.select(qid, tx.tokens(qtext).alias("qt")).filter(F.size("qt") > 0)
     idf = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    terms = terms.withColumn("idf", idf)
+    terms = terms.withColumn("idf", idf).persist()  # one row per distinct word; used twice below
     asked = q.select(F.explode("qt").alias("term")).distinct()
     # one job: mean idf over the vocabulary, and the idf of the asked terms (bounded by the block)
     mean = terms.agg(F.avg("idf")).first()[0] or 0.0
-    known = terms.join(asked, "term", "left_semi").select("term", "idf")
+    lookup = [tuple(r) for r in bounded_rows(terms.join(asked, "term", "left_semi").select("term", "idf"), "query words", 1 << 20)]
+    terms.unpersist()
 
     def prepare(rows):
         words = sorted({w for r in rows for w in r[1]})
-        got = dict(known.filter(F.col("term").isin(words)).collect()) if len(words) <= 2000 else {
-            t: v for t, v in known.collect() if t in set(words)}
+        asked_here = set(words)
+        got = {t: v for t, v in lookup if t in asked_here}
         words = [w for w in words if w in got]
         at = {w: i for i, w in enumerate(words)}
         c = np.zeros((len(words), len(rows)))

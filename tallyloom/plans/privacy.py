@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import privacy as pv
 from ..operators import audit as A
 from ..operators import memory as M
+from ..scale import spread
 from .registry import query
 
 
@@ -25,12 +26,12 @@ def any_sql(x, pats):
 
 @query("pii_scan", "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, {p})) AS {n}" for n, p in PII) + " FROM documents")
 def _(t):
-    return t.documents.select("doc_id", *[c.alias(n) for n, c in pv.pii_counts("text").items()])
+    return spread(t.documents).select("doc_id", *[c.alias(n) for n, c in pv.pii_counts("text").items()])
 
 
 @query("pii_spans")
 def _(t):
-    s = t.documents.select("doc_id", F.explode(pv.pii_spans("text")).alias("s"))
+    s = spread(t.documents).select("doc_id", F.explode(pv.pii_spans("text")).alias("s"))
     return s.select("doc_id", "s.category", "s.start", "s.length")
 
 
@@ -38,7 +39,7 @@ def _(t):
  SELECT doc_id, c AS categories, c <> '' AS contains_pii, regexp_matches(c, 'name|bsn|dob_exact|address|phone|email|patient_id') AS should_block,
   regexp_matches(c, 'name|bsn|dob_exact|address|phone|patient_id') AS should_block_mail_allowed, f AS fallback, contains(f, 'bsn') AS fallback_block FROM a""")
 def _(t):
-    d = t.documents.withColumn("c", pv.pii_categories("text")).withColumn("f", pv.pii_categories("text", pv.FALLBACK_PATTERNS))
+    d = spread(t.documents).withColumn("c", pv.pii_categories("text")).withColumn("f", pv.pii_categories("text", pv.FALLBACK_PATTERNS))
     return d.select("doc_id", F.array_join("c", ",").alias("categories"), (F.size("c") > 0).alias("contains_pii"), pv.pii_decision(F.col("c")).alias("should_block"),
                     pv.pii_decision(F.col("c"), ["email"]).alias("should_block_mail_allowed"), F.array_join("f", ",").alias("fallback"),
                     F.array_contains("f", "bsn").alias("fallback_block"))
@@ -61,7 +62,7 @@ def mask_sql(x):
 
 @query("pii_mask", f"WITH a AS (SELECT doc_id, sha256(text) AS original_hash, {mask_sql('text')} AS m FROM documents) SELECT doc_id, original_hash, sha256(m) AS masked, {cats_sql('m')} = '' AS is_cloud_safe FROM a")
 def _(t):
-    m = t.documents.select("doc_id", F.sha2("text", 256).alias("original_hash"), pv.mask("text").alias("m"))
+    m = spread(t.documents).select("doc_id", F.sha2("text", 256).alias("original_hash"), pv.mask("text").alias("m"))
     return m.select("doc_id", "original_hash", F.sha2("m", 256).alias("masked"), (F.size(pv.pii_categories("m")) == 0).alias("is_cloud_safe"))
 
 
@@ -80,7 +81,7 @@ def messages(t):
     k, tail = (F.col("conv_id") + F.col("turn")) % 9, None
     for i, x in enumerate(TAILS):
         tail = F.when(k == i, x) if tail is None else tail.when(k == i, x)
-    return t.conversations.withColumn("text", F.concat("text", F.coalesce(tail, F.lit(""))))
+    return (spread(t.conversations) if not t.conversations.isStreaming else t.conversations).withColumn("text", F.concat("text", F.coalesce(tail, F.lit(""))))
 
 
 MSG = "msg AS (SELECT conv_id, turn, role, text || CASE (conv_id + turn) % 9 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(TAILS)) + " ELSE '' END AS text FROM conversations)"

@@ -9,6 +9,7 @@ from ..operators import chunks as C
 from ..scale import first_per
 from . import fixtures as fx
 from .fixtures import SHIFTED_SQL, hrs, txt
+from ..scale import spread
 from .registry import query
 
 SP = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -45,21 +46,21 @@ def norm_sql(x):
 
 @query("clean_text", f"SELECT doc_id, sha256({clean_sql('text')}) AS h, length({clean_sql('text')}) AS n FROM documents")
 def _(t):
-    c = t.documents.select("doc_id", tx.clean_text("text").alias("c"))
+    c = spread(t.documents).select("doc_id", tx.clean_text("text").alias("c"))
     return c.select("doc_id", F.sha2("c", 256).alias("h"), F.length("c").alias("n"))
 
 
 @query("clean_text_aggressive", f"""WITH a AS (SELECT doc_id, {collapse_sql("regexp_replace(" + clean_sql('text') + ", '[^\\x20-\\x7E\\n\\t]', '', 'g')")} AS c FROM documents)
  SELECT doc_id, sha256(c) AS h, length(c) AS n FROM a""")
 def _(t):
-    c = t.documents.select("doc_id", tx.clean_text("text", aggressive=True).alias("c"))
+    c = spread(t.documents).select("doc_id", tx.clean_text("text", aggressive=True).alias("c"))
     return c.select("doc_id", F.sha2("c", 256).alias("h"), F.length("c").alias("n"))
 
 
 @query("clean_chunk", f"""WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), b AS (SELECT doc_id, {clean_sql('line')} AS c, line FROM a)
  SELECT doc_id, count(*) AS lines, count({useful_sql('c')}) AS kept, count(*) FILTER (length(regexp_replace(line, '^{SP}+|{SP}+$', '', 'g')) >= 10 AND {alnum_sql('line')} >= 0.1) AS raw_ok FROM b GROUP BY 1""")
 def _(t):
-    d = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    d = spread(t.documents).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     d = d.withColumn("c", tx.clean_text("line"))
     return d.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count(tx.keep_if_useful(F.col("c"))).alias("kept"), F.count_if(tx.chunk_quality("line")).alias("raw_ok"))
 
@@ -67,7 +68,7 @@ def _(t):
 @query("text_stats", f"""SELECT doc_id, length(text) AS length, len(list_filter(string_split({collapse_sql('text')}, ' '), lambda x: x <> '')) AS word_count, round({alnum_sql('text')}, 6) AS alphanumeric_ratio,
  round({count_sql('text', SP)} / length(text), 6) AS whitespace_ratio, round((length(text) - {count_sql('text', '[a-zA-Z0-9]')} - {count_sql('text', SP)}) / length(text), 6) AS special_char_ratio FROM documents""")
 def _(t):
-    s = t.documents.select("doc_id", tx.text_stats("text").alias("s")).select("doc_id", "s.*")
+    s = spread(t.documents).select("doc_id", tx.text_stats("text").alias("s")).select("doc_id", "s.*")
     return s.select("doc_id", "length", "word_count", *[F.round(c, 6).alias(c) for c in ("alphanumeric_ratio", "whitespace_ratio", "special_char_ratio")])
 
 
@@ -76,41 +77,41 @@ HY = "regexp_replace(text, '[ ]', '-' || chr(10), 'g')"
 
 @query("dehyphenate", f"SELECT doc_id, sha256({collapse_sql(f'''regexp_replace({HY}, '-\\n([\\p{{L}}\\p{{N}}_])', '\\1', 'g')''')}) AS h FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.sha2(tx.dehyphenate(F.regexp_replace("text", "[ ]", "-\n")), 256).alias("h"))
+    return spread(t.documents).select("doc_id", F.sha2(tx.dehyphenate(F.regexp_replace("text", "[ ]", "-\n")), 256).alias("h"))
 
 
 @query("html_text")
 def _(t):
-    p = t.pages.select("page_id", tx.html_text("html").alias("x"))
+    p = spread(t.pages).select("page_id", tx.html_text("html").alias("x"))
     return p.select("page_id", F.length("x.text").alias("n"), F.sha2("x.text", 256).alias("h"), F.size("x.headings").alias("headings"))
 
 
 @query("html_strip_tags", f"""SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '^{SP}+|{SP}+$', '', 'g')) AS h FROM pages""")
 def _(t):
-    return t.pages.select("page_id", F.sha2(tx.strip_tags("html"), 256).alias("h"))
+    return spread(t.pages).select("page_id", F.sha2(tx.strip_tags("html"), 256).alias("h"))
 
 
 @query("headings", """WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1) AS hs FROM pages)
  SELECT page_id, len(hs) AS n, array_to_string(list_transform(hs, lambda h: trim(regexp_replace(h, '<[^>]*>', '', 'g'))), '|') AS headings FROM a""")
 def _(t):
-    return t.pages.select("page_id", tx.html_headings("html").alias("hs")).select("page_id", F.size("hs").alias("n"), F.array_join("hs", "|").alias("headings"))
+    return spread(t.pages).select("page_id", tx.html_headings("html").alias("hs")).select("page_id", F.size("hs").alias("n"), F.array_join("hs", "|").alias("headings"))
 
 
 @query("headings_markdown", """WITH a AS (SELECT doc_id, '# ' || replace(text, chr(10), chr(10) || '## ') AS md FROM documents)
  SELECT doc_id, len(regexp_extract_all(md, '(?m)^#{1,6}\\s+(.+)$', 1)) AS n, sha256(array_to_string(list_transform(regexp_extract_all(md, '(?m)^#{1,6}\\s+(.+)$', 1), lambda x: trim(x)), '|')) AS h FROM a""")
 def _(t):
     md = F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n## ")))
-    return t.documents.select("doc_id", tx.markdown_headings(md).alias("hs")).select("doc_id", F.size("hs").alias("n"), F.sha2(F.array_join("hs", "|"), 256).alias("h"))
+    return spread(t.documents).select("doc_id", tx.markdown_headings(md).alias("hs")).select("doc_id", F.size("hs").alias("n"), F.sha2(F.array_join("hs", "|"), 256).alias("h"))
 
 
 @query("tokenize", f"SELECT doc_id, len({toks_sql('text')}) AS n, sha256(array_to_string({toks_sql('text')}, ' ')) AS h FROM documents")
 def _(t):
-    return t.documents.select("doc_id", tx.tokens("text").alias("x")).select("doc_id", F.size("x").alias("n"), F.sha2(F.array_join("x", " "), 256).alias("h"))
+    return spread(t.documents).select("doc_id", tx.tokens("text").alias("x")).select("doc_id", F.size("x").alias("n"), F.sha2(F.array_join("x", " "), 256).alias("h"))
 
 
 @query("normalize_match", f"SELECT doc_id, sha256({norm_sql('text')}) AS h FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.sha2(tx.normalize_match("text"), 256).alias("h"))
+    return spread(t.documents).select("doc_id", F.sha2(tx.normalize_match("text"), 256).alias("h"))
 
 
 @query("preview", "SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview FROM conversations")
@@ -123,7 +124,7 @@ def _(t):
 def _(t):
     k = F.col("page_id") % 5
     p = F.concat(F.lit("dir/"), F.col("page_id"), F.when(k == 0, ".html").when(k == 1, ".PDF").when(k == 2, ".md").when(k == 3, ".bin").otherwise(""))
-    return t.pages.select("page_id", tx.stem(p).alias("stem"), tx.media_type(p).alias("mime"))
+    return spread(t.pages).select("page_id", tx.stem(p).alias("stem"), tx.media_type(p).alias("mime"))
 
 
 TERMS = ["Then", "Rest", "tion", "Über", "eau", "zzzz"]
@@ -142,7 +143,7 @@ def _(t):
 
 @query("sha256_text", "SELECT doc_id, sha256(text) AS h FROM documents")
 def _(t):
-    return t.documents.select("doc_id", tx.sha256_text("text").alias("h"))
+    return spread(t.documents).select("doc_id", tx.sha256_text("text").alias("h"))
 
 
 @query("hash_identifier", """SELECT c_custkey, left(sha256('pepper:' || c_custkey), 16) AS salted, left(sha256(CAST(c_custkey AS VARCHAR)), 16) AS plain,
@@ -261,18 +262,18 @@ def _(t):
 
 @query("chunk_fixed", """SELECT doc_id, i AS n, sha256(substring(text, i * 462 + 1, 512)) AS h FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 461) // 462)) AS i FROM documents)""")
 def _(t):
-    return t.documents.select("doc_id", F.posexplode(C.fixed_width("text")).alias("n", "c")).select("doc_id", F.col("n").cast("long").alias("n"), F.sha2("c", 256).alias("h"))
+    return spread(t.documents).select("doc_id", F.posexplode(C.fixed_width("text")).alias("n", "c")).select("doc_id", F.col("n").cast("long").alias("n"), F.sha2("c", 256).alias("h"))
 
 
 @query("chunk_recursive")
 def _(t):
-    c = C.chunk_table(t.documents.select("doc_id", "text"), "doc_id", F.array("text"), "recursive")
+    c = C.chunk_table(spread(t.documents).select("doc_id", "text"), "doc_id", F.array("text"), "recursive")
     return c.select("doc_id", "chunk_index", "page_number", "is_empty_page", "content_hash", "raw_length")
 
 
 @query("chunk_semantic")
 def _(t):
-    c = C.chunk_table(t.documents.select("doc_id", "text"), "doc_id", F.array("text"), "semantic")
+    c = C.chunk_table(spread(t.documents).select("doc_id", "text"), "doc_id", F.array("text"), "semantic")
     return c.select("doc_id", "chunk_index", "is_empty_page", "content_hash", "raw_length")
 
 
@@ -284,7 +285,7 @@ CHUNKS_SQL = f"""pg AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p,
 
 
 def fixed_chunks(t):
-    return C.chunk_table(t.documents.select("doc_id", "text"), "doc_id", F.split("text", "\n"), "fixed")
+    return C.chunk_table(spread(t.documents).select("doc_id", "text"), "doc_id", F.split("text", "\n"), "fixed")
 
 
 @query("chunk_metadata", f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, doc_id || '_' || chunk_index AS document_id, page_number, text = '' AS is_empty_page, sha256(text) AS content_hash FROM ch")

@@ -72,6 +72,13 @@ def bounded_rows(df: DataFrame, what: str, limit: int | None = None) -> list:
     return rows
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work all cores when the input is too small to have many partitions.
+    Larger inputs already arrive in one partition per file split and are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan_bytes(df) < cores * (64 << 20) else df
+
+
 class Ordered:
     """Rows of each key in a total order; windowed columns that survive hot keys.
 
