@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import first_per
+from ..scale import Ordered, first_per, position
 
 
 def union_sources(parts: dict[str, DataFrame]) -> DataFrame:
@@ -63,10 +63,7 @@ def registry_upsert(registry: DataFrame, incoming: DataFrame, name: str, hash_:
     gets the next version and makes the older ones obsolete."""
     new = first_per(incoming, [hash_], order).join(registry.select(hash_), hash_, "left_anti")
     top = registry.groupBy(name).agg(F.max("version").alias("__v"))
-    from pyspark.sql.window import Window as W
-
-    step = F.row_number().over(W.partitionBy(name).orderBy(*order))
-    added = new.withColumn("__step", step).join(top, name, "left").withColumn("version", F.coalesce("__v", F.lit(0)) + F.col("__step"))
+    added = Ordered(new, [name], order).add(__step=position()).rows().join(top, name, "left").withColumn("version", F.coalesce("__v", F.lit(0)) + F.col("__step"))
     allv = registry.select(name, hash_, "version").unionByName(added.select(name, hash_, "version"))
     last = allv.groupBy(name).agg(F.max("version").alias("__last"))
     return allv.join(last, name).withColumn("obsolete", F.col("version") < F.col("__last")).drop("__last")

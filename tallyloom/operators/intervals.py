@@ -24,8 +24,15 @@ _SIZES = [1, 10, 60, 600, 3_600, 21_600, 86_400, 8 * 86_400, 64 * 86_400, 512 *
 _LEVELS = len(_SIZES)
 
 
-def _fdiv(x: str, n: int) -> str:
-    return f"(({x}) - pmod({x}, {n}L)) div {n}L"
+# (level, size in microseconds, how many fit in the next size; 0 for the largest)
+_TABLE = "array(" + ", ".join(
+    f"struct({k} as level, {_TICK * n}L as size, {(_SIZES[k + 1] // n) if k + 1 < _LEVELS else 0}L as up)"
+    for k, n in enumerate(_SIZES)) + ")"
+_EDGES = f"array(struct(-1 as level, {_TICK}L as size, 0L as up))"  # parts shorter than the smallest block
+
+
+def _fdiv(x: str, n: str) -> str:
+    return f"(({x}) - pmod({x}, {n})) div {n}"
 
 
 def _seq(lo: str, hi: str) -> str:
@@ -34,37 +41,26 @@ def _seq(lo: str, hi: str) -> str:
 
 
 def _cover(df: DataFrame, start: Column, end: Column) -> DataFrame:
-    """One row per (interval, level, block)."""
-    df = df.withColumn("__s", micros(start)).withColumn("__e", micros(end))
-    lo = [_fdiv(f"__s + {_TICK * n - 1}L", _TICK * n) for n in _SIZES]
-    hi = [_fdiv("__e + 1L", _TICK * n) for n in _SIZES]
-    df = df.withColumns({f"__lo{k}": F.expr(lo[k]) for k in range(_LEVELS)})
-    df = df.withColumns({f"__hi{k}": F.expr(hi[k]) for k in range(_LEVELS)})
-    parts = []
-    for k in range(_LEVELS):
-        whole = _seq(f"__lo{k}", f"__hi{k}")
-        if k + 1 < _LEVELS:
-            up = _SIZES[k + 1] // _SIZES[k]
-            edges = f"concat({_seq(f'__lo{k}', f'{up}L*__lo{k + 1}')}, {_seq(f'{up}L*__hi{k + 1}', f'__hi{k}')})"
-            expr = f"if(__lo{k + 1} < __hi{k + 1}, {edges}, {whole})"
-        else:
-            expr = whole
-        parts.append(f"transform({expr}, b -> struct({k} as level, b as block))")
-    head, tail = _fdiv("__s", _TICK), _fdiv("__e", _TICK)
-    partial = (f"transform(array_distinct(filter(array("
-               f"if(pmod(__s, {_TICK}L) != 0, {head}, null), if(pmod(__e + 1L, {_TICK}L) != 0, {tail}, null)), "
-               f"x -> x is not null)), b -> struct(-1 as level, b as block))")
-    drop = ["__s", "__e"] + [f"__{x}{k}" for x in ("lo", "hi") for k in range(_LEVELS)]
-    return (df.filter("__s <= __e").withColumn("__b", F.explode(F.expr(f"concat({', '.join([partial] + parts)})")))
-            .withColumn("__level", F.col("__b.level")).withColumn("__block", F.col("__b.block")).drop("__b", *drop))
+    """One row per (interval, level, block): on each level the blocks inside the interval that the
+    next larger size does not cover."""
+    d = df.withColumn("__s", micros(start)).withColumn("__e", micros(end)).filter("__s <= __e")
+    d = d.withColumn("__l", F.explode(F.expr(f"concat({_EDGES}, {_TABLE})")))
+    d = d.withColumn("__level", F.col("__l.level")).withColumn("__size", F.col("__l.size")).withColumn("__up", F.col("__l.up"))
+    big = "__size * greatest(__up, 1L)"
+    d = d.withColumn("__lo", F.expr(_fdiv("__s + __size - 1L", "__size"))).withColumn("__hi", F.expr(_fdiv("__e + 1L", "__size")))
+    d = d.withColumn("__lo2", F.expr(f"({_fdiv(f'__s + {big} - 1L', f'({big})')}) * __up")) \
+        .withColumn("__hi2", F.expr(f"({_fdiv('__e + 1L', f'({big})')}) * __up"))
+    head = f"if(pmod(__s, __size) != 0, {_fdiv('__s', '__size')}, null)"
+    tail = f"if(pmod(__e + 1L, __size) != 0, {_fdiv('__e', '__size')}, null)"
+    blocks = (f"case when __level < 0 then array_distinct(array_compact(array({head}, {tail}))) "
+              f"when __up = 0 or __lo2 >= __hi2 then {_seq('__lo', '__hi')} "
+              f"else concat({_seq('__lo', '__lo2')}, {_seq('__hi2', '__hi')}) end")
+    return d.withColumn("__block", F.explode(F.expr(blocks))).drop("__s", "__e", "__l", "__size", "__up", "__lo", "__hi", "__lo2", "__hi2")
 
 
 def _probe(df: DataFrame, ts: Column) -> DataFrame:
-    df = df.withColumn("__t", micros(ts))
-    items = [f"struct(-1 as level, {_fdiv('__t', _TICK)} as block)"]
-    items += [f"struct({k} as level, {_fdiv('__t', _TICK * _SIZES[k])} as block)" for k in range(_LEVELS)]
-    return (df.withColumn("__p", F.explode(F.expr(f"array({', '.join(items)})")))
-            .withColumn("__plevel", F.col("__p.level")).withColumn("__pblock", F.col("__p.block")).drop("__p", "__t"))
+    d = df.withColumn("__t", micros(ts)).withColumn("__l", F.explode(F.expr(f"concat({_EDGES}, {_TABLE})")))
+    return d.withColumn("__plevel", F.col("__l.level")).withColumn("__pblock", F.expr(_fdiv("__t", "__l.size"))).drop("__t", "__l")
 
 
 def stab_join(points: DataFrame, intervals: DataFrame, ts: str, start: str, end: str,

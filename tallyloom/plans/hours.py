@@ -329,10 +329,10 @@ def _(t):
  v AS (SELECT * FROM r UNION ALL SELECT n.name, n.h, coalesce(m.v, 0) + row_number() OVER (PARTITION BY n.name ORDER BY doc_id) FROM n LEFT JOIN (SELECT name, max(version) AS v FROM r GROUP BY 1) m USING (name))
  SELECT name, h, version, version < max(version) OVER (PARTITION BY name) AS obsolete FROM v""")
 def _(t):
-    from pyspark.sql.window import Window as W
+    from ..scale import Ordered, position
 
     a = t.documents.select("doc_id", F.col("source").alias("name"), F.sha2("text", 256).alias("h"))
     old = a.join(t.labels.select("doc_id"), "doc_id", "left_semi").select("name", "h").distinct()
-    reg = old.withColumn("version", F.row_number().over(W.partitionBy("name").orderBy("h")))
+    reg = Ordered(old, ["name"], ["h"]).add(version=position()).rows()
     new = a.join(t.labels.select("doc_id"), "doc_id", "left_anti")
     return D.registry_upsert(reg, new, "name", "h", ["doc_id"])

@@ -318,3 +318,91 @@ def _(t):
     c = fixed_chunks(t).select(F.col("document_id").alias("id"), "chunk_index", F.when(F.col("page_number") == 1, None).otherwise(F.col("text")).alias("text"),
                                F.create_map(F.lit("text"), F.col("text")).alias("metadata"))
     return scans.scan_chunks(c, limit=None).filter("text <> ''").select(F.col("id").alias("record_id"), F.sha2("text", 256).alias("h"))
+
+
+# -- the remaining functions of combined inventory lines -----------------------------------------
+
+@query("to_iso", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso FROM orders")
+def _(t):
+    return t.orders.select("o_orderkey", tc.iso_form("o_orderdate").alias("iso"))
+
+
+@query("ts_drop_offset", f"SELECT event_id, {txt("date_trunc('second', ts)")} AS ts FROM events")
+def _(t):
+    s = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), F.lit("-0730"))
+    return t.events.select("event_id", tc.parse_stamp(s).alias("ts"))
+
+
+@query("validate_format", "SELECT event_id, event_id % 3 <> 2 AS valid FROM events")
+def _(t):
+    k, ts = F.col("event_id") % 3, F.col("ts").cast("timestamp")
+    s = F.when(k == 0, F.date_format(ts, "yyyy/MM/dd HH:mm:ss")).when(k == 1, F.date_format(ts, "M/d/yyyy h:mm:ss a")).otherwise(F.date_format(ts, "dd MMM yyyy"))
+    return t.events.select("event_id", tc.stamp_layout(s).isNotNull().alias("valid"))
+
+
+@query("format_confidence", """SELECT o_orderkey, round(least(1.0, CASE WHEN extract(year FROM o_orderdate) < 2020 THEN 1.1 * 0.7 * 1.05 ELSE 1.1 * 1.05 END), 6) AS confidence FROM orders""")
+def _(t):
+    s = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+    return t.orders.select("o_orderkey", F.round(tc.stamp_confidence(s, 2026), 6).alias("confidence"))
+
+
+@query("safe_to_zone", f"SELECT event_id, {txt("CASE WHEN event_type = 'error' THEN NULL ELSE date_trunc('second', ts) + INTERVAL 1 HOUR END")} AS local FROM events")
+def _(t):
+    s = F.when(F.col("event_type") == "error", "never").otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return t.events.select("event_id", tc.to_zone(s).alias("local"))
+
+
+@query("floor_5min", f"SELECT event_id, {txt('time_bucket(INTERVAL 5 MINUTE, ts)')} AS ts FROM events")
+def _(t):
+    return t.events.select("event_id", tc.floor_5min("ts").alias("ts"))
+
+
+@query("break_minutes", f"WITH {SHIFTED_SQL} SELECT o_orderkey, CAST(trunc({hrs('s', 'e')} * 60) AS BIGINT) AS minutes FROM sh")
+def _(t):
+    return fx.shifted(t).select("o_orderkey", tc.minutes_between("start", "end").alias("minutes"))
+
+
+@query("overlap_hours", f"WITH {SHIFTED_SQL} SELECT o_orderkey, round(greatest(0.0, {hrs("greatest(s, date_trunc('day', s) + INTERVAL 8 HOUR)", "least(e, date_trunc('day', s) + INTERVAL 18 HOUR)")}), 4) AS hours FROM sh")
+def _(t):
+    d = tc.day_start(F.to_date("start"))
+    return fx.shifted(t).select("o_orderkey", F.round(tc.overlap_hours("start", "end", d + F.expr("INTERVAL '8' HOUR"), d + F.expr("INTERVAL '18' HOUR")), 4).alias("hours"))
+
+
+@query("chunk_quality", f"SELECT conv_id, turn, length(regexp_replace(text, '^{SP}+|{SP}+$', '', 'g')) >= 10 AND {alnum_sql('text')} >= 0.75 AS ok FROM conversations")
+def _(t):
+    return t.conversations.select("conv_id", "turn", (tx.chunk_quality("text") & (tx.alnum_ratio("text") >= 0.75)).alias("ok"))
+
+
+@query("repo_name", "SELECT page_id, regexp_replace(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '([^/]+)$', 1), '[.][^.]*$', '') AS name FROM pages")
+def _(t):
+    return t.pages.select("page_id", tx.stem(F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1))).alias("name"))
+
+
+@query("doc_id", "SELECT doc_id, source || '_' || row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS record FROM documents")
+def _(t):
+    from ..scale import Ordered, position
+
+    o = Ordered(t.documents.select("doc_id", "source"), ["source"], ["doc_id"]).add(n=position()).rows()
+    return o.select("doc_id", F.concat_ws("_", "source", F.col("n") - 1).alias("record"))
+
+
+@query("sha256_file", "SELECT page_id, sha256(html) AS h, octet_length(encode(html)) AS bytes FROM pages")
+def _(t):
+    b = F.encode("html", "UTF-8")
+    return t.pages.select("page_id", F.sha2(b, 256).alias("h"), F.octet_length(b).alias("bytes"))
+
+
+@query("activity_score", """WITH a AS (SELECT p_partkey, lower(p_name) AS d, lower(p_type) AS c FROM part)
+ SELECT p_partkey, round((least((contains(d, 'red')::INT + contains(d, 'ring')::INT) / 2.0, 1.0) + CASE WHEN c = 'promo' THEN 0.0 ELSE least((contains(c, 'red')::INT + contains(c, 'ring')::INT) / 4.0, 1.0) END
+   + 0.5 * contains(d, 'bolt')::INT) / CASE WHEN c = 'promo' THEN 1.5 ELSE 2.5 END, 6) AS score FROM a""")
+def _(t):
+    act = {"keywords": ["red", "ring"], "sub_activities": [{"keywords": ["bolt"]}]}
+    commits = F.when(F.col("p_type") != "PROMO", F.lower("p_type"))
+    return t.part.select("p_partkey", F.round(kw.activity_score(act, F.lower("p_name"), commits), 6).alias("score"))
+
+
+@query("postal_to_region", "SELECT c_custkey, left(lpad(CAST(c_custkey AS VARCHAR), 4, '0'), 2) || 'xx regio' AS region FROM customer")
+def _(t):
+    from ..functions.privacy import postal_to_region
+
+    return t.customer.select("c_custkey", postal_to_region(F.concat(F.lpad(F.col("c_custkey").cast("string"), 4, "0"), F.lit(" AB"))).alias("region"))

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window as W
 
 WINDOW_BYTES = "spark.tallyloom.windowBytes"
 DRIVER_ROWS = "spark.tallyloom.driverRows"
-_DEFAULTS = {WINDOW_BYTES: 256 << 20, DRIVER_ROWS: 4096}
+_DEFAULTS = {WINDOW_BYTES: 512 << 20, DRIVER_ROWS: 4096}
 
 
 def setting(spark: SparkSession, key: str) -> int:
@@ -29,9 +29,15 @@ def setting(spark: SparkSession, key: str) -> int:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Upper estimate of a DataFrame's size, from the optimizer's statistics."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    """Upper estimate of a DataFrame's size, from the optimizer's statistics.
+
+    Without column statistics the optimizer multiplies the sizes of joined tables, so its figure
+    is capped at eight times everything the plan reads.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return min(int(str(plan.stats().sizeInBytes())), 8 * read)
 
 
 def is_small(df: DataFrame) -> bool:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import timecols as tc
+from ..scale import bounded_rows
 
 # Accepted header names and the column each stands for.
 EVENT_ALIASES = {"TimeGenerated": "timestamp", "DateTime": "timestamp", "Timestamp": "timestamp",
@@ -18,29 +19,25 @@ COMMIT_ALIASES = {"date": "timestamp", "datetime": "timestamp", "repository": "r
 ELIGIBLE_FLAG = "is_wbso"
 
 
-def _header_groups(spark: SparkSession, path: str, sep: str = ",") -> dict[tuple, list[str]]:
-    """Files of a folder grouped by their header line.  One small row per file reaches the driver."""
-    lines = spark.read.text(path, wholetext=False, pathGlobFilter="*.csv").select("value", F.col("_metadata.file_path").alias("f"),
-                                                                                  F.col("_metadata.file_block_start").alias("b"))
-    first = lines.filter("b = 0").groupBy("f").agg(F.first("value").alias("h"))
-    out: dict[tuple, list[str]] = {}
-    for r in first.collect():
-        cols = tuple(c.strip().strip('"') for c in r["h"].lstrip("﻿").split(sep))
-        out.setdefault(cols, []).append(r["f"])
-    return out
-
-
 def scan_csv_alias(spark: SparkSession, path: str, aliases: dict[str, str] = EVENT_ALIASES,
                    required: tuple[str, ...] = ("timestamp", "event_type", "event_id", "computer_name")) -> DataFrame:
     """All CSV files of a folder under canonical names.  Files without a canonical column are
-    skipped; rows whose timestamp does not parse are dropped; no usable file is an error."""
+    skipped; rows whose timestamp does not parse are dropped; no usable file is an error.
+
+    Only the distinct header lines come to the driver; which file has which header stays a table.
+    """
+    lines = spark.read.text(path, pathGlobFilter="*.csv").select(
+        "value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
+    heads = lines.filter("b = 0").groupBy("f").agg(F.first("value").alias("h"))
     out = None
-    for cols, files in sorted(_header_groups(spark, path).items()):
+    for (head,) in bounded_rows(heads.select("h").distinct().orderBy("h"), "csv headers"):
+        cols = [c.strip().strip('"') for c in head.lstrip("﻿").split(",")]
         names = [aliases.get(c, c) for c in cols]
         if not set(required) <= set(names):
             continue
-        df = spark.read.csv(files, header=True, schema=", ".join(f"`{c}` string" for c in cols)).toDF(*names)
-        df = df.withColumn("timestamp", tc.parse_stamp("timestamp")).filter("timestamp is not null")
+        mine = lines.join(heads.filter(F.col("h") == head).select("f"), "f", "left_semi").filter(F.col("value") != head)
+        row = F.from_csv("value", ", ".join(f"`{n}` string" for n in names))
+        df = mine.select(row.alias("r")).select("r.*").withColumn("timestamp", tc.parse_stamp("timestamp")).filter("timestamp is not null")
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
         raise FileNotFoundError(f"no usable csv in {path}")
