@@ -128,20 +128,14 @@ def event_hours(start, end) -> Column:
         .otherwise(F.abs(h))
 
 
-# Accepted timestamp layouts in matching order, with the printed pattern each stands for.
+# Accepted timestamp layouts in matching order, with the pattern they print in (none:
+# the printed length always equals the text's).  A zone may follow: Z, +HH:MM or +HHMM.
 TIMESTAMP_LAYOUTS = [
-    ("us_ampm", "M/d/yyyy h:mm:ss a", False, "MM/dd/yyyy hh:mm:ss a"),
-    ("slash", "yyyy/M/d H:m:s", False, "yyyy/MM/dd HH:mm:ss"),
-    ("dash", "yyyy-M-d H:m:s", False, "yyyy-MM-dd HH:mm:ss"),
-    ("iso_t", "yyyy-M-d'T'H:m:s", False, "yyyy-MM-dd'T'HH:mm:ss"),
-    ("iso_t_zone", "yyyy-M-d'T'H:m:sXXX", True, None),
-    ("iso_t_frac", "yyyy-M-d'T'H:m:s.SSSSSS", False, None),
-    ("dash_zone", "yyyy-M-d H:m:sXXX", True, None),
-    ("slash_zone", "yyyy/M/d H:m:sXXX", True, None),
-    ("dash_offset", "yyyy-M-d H:m:sxx", True, None),
-    ("dash_space_offset", "yyyy-M-d H:m:s xx", True, None),
-    ("slash_offset", "yyyy/M/d H:m:sxx", True, None),
-    ("iso_t_offset", "yyyy-M-d'T'H:m:sxx", True, None),
+    ("us_ampm", "M/d/yyyy h:mm:ss a", "MM/dd/yyyy hh:mm:ss a"),
+    ("slash", "yyyy/M/d H:m:s", "yyyy/MM/dd HH:mm:ss"),
+    ("dash", "yyyy-M-d H:m:s", "yyyy-MM-dd HH:mm:ss"),
+    ("iso_t", "yyyy-M-d'T'H:m:s", "yyyy-MM-dd'T'HH:mm:ss"),
+    ("iso_t_frac", "yyyy-M-d'T'H:m:s.SSSSSS", None),
 ]
 SOURCE_LAYOUTS = {
     "system_events": ["us_ampm", "slash"],
@@ -165,48 +159,46 @@ def _naive(t: Column, layout: str) -> Column:
 def parse_stamp(text) -> Column:
     """Wall-clock timestamp of the first layout that reads the text (offset dropped), else null."""
     t = F.regexp_replace(clean_stamp(text), _ZONE_TAIL, "")
-    plain = [lay for _, lay, zoned, _ in TIMESTAMP_LAYOUTS if not zoned]
-    return F.coalesce(*[_naive(t, lay) for lay in plain], F.expr("cast(null as timestamp_ntz)"))
+    return F.coalesce(*[_naive(t, lay) for _, lay, _ in TIMESTAMP_LAYOUTS])
 
 
 def stamp_layout(text) -> Column:
-    """Name of the layout that reads the text, or null."""
+    """Name of the layout that reads the text, with ``_zone``, ``_offset`` or ``_space_offset`` for
+    what follows it; null when nothing reads it."""
     t = clean_stamp(text)
-    out = None
-    zone = F.regexp_extract(t, _ZONE_TAIL, 0)
-    body = F.regexp_replace(t, _ZONE_TAIL, "")
-    colon = zone.contains(":") | (zone == "Z")
-    for name, lay, zoned, _ in TIMESTAMP_LAYOUTS:
-        base = lay.replace("XXX", "").replace(" xx", "").replace("xx", "")
-        reads = _naive(body, base).isNotNull()
-        if not zoned:
-            hit = (zone == "") & reads
-        elif lay.endswith("XXX"):
-            hit = (zone != "") & colon & reads
-        elif lay.endswith(" xx"):
-            hit = zone.rlike(r"^\s+[+-]\d{4}$") & reads
-        else:
-            hit = zone.rlike(r"^[+-]\d{4}$") & reads
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out
+    body, zone = F.regexp_replace(t, _ZONE_TAIL, ""), F.regexp_extract(t, _ZONE_TAIL, 0)
+    base = None
+    for name, lay, _ in TIMESTAMP_LAYOUTS:
+        hit = _naive(body, lay).isNotNull()
+        base = F.when(hit, name) if base is None else base.when(hit, name)
+    tail = F.when(zone == "", "").when(zone.contains(":") | (zone == "Z"), "_zone") \
+        .when(F.startswith(zone, F.lit(" ")), "_space_offset").otherwise("_offset")
+    name = F.concat(base, tail)
+    return F.when(F.startswith(name, F.lit("us_ampm_")), None).otherwise(name)
 
 
 def stamp_confidence(text, this_year: int, source: str | None = None) -> Column:
     """How sure the layout match is: x0.8 when the printed form has another length, x1.1 for an
     ISO-like prefix, x0.7 for a year before 2020 or after next year, x1.05 for a layout of a
     known source; at most 1."""
-    t, ts, lay = clean_stamp(text), parse_stamp(text), stamp_layout(text)
     known = [n for names in SOURCE_LAYOUTS.values() for n in names] + ["dash"]
-    printed = None
-    for name, _, _, out in TIMESTAMP_LAYOUTS:
-        if out:
-            p = F.length(F.date_format(ts.cast("timestamp"), out))
-            printed = F.when(lay == name, p) if printed is None else printed.when(lay == name, p)
-    score = F.when(F.coalesce(printed, F.length(t)) != F.length(t), 0.8).otherwise(1.0)
-    score = score * F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), 1.1).otherwise(1.0)
-    score = score * F.when((F.year(ts) < 2020) | (F.year(ts) > this_year + 1), 0.7).otherwise(1.0)
-    score = score * F.when(lay.isin(known), 1.05).otherwise(1.0)
-    return F.when(ts.isNotNull(), F.least(score, F.lit(1.0)))
+
+    def score(r):
+        t, ts, lay = r["t"], r["ts"], r["lay"]
+        printed = None
+        for name, _, out in TIMESTAMP_LAYOUTS:
+            if out:
+                p = F.length(F.date_format(ts.cast("timestamp"), out))
+                printed = F.when(lay == name, p) if printed is None else printed.when(lay == name, p)
+        x = F.when(F.coalesce(printed, F.length(t)) != F.length(t), 0.8).otherwise(1.0)
+        x = x * F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), 1.1).otherwise(1.0)
+        x = x * F.when((F.year(ts) < 2020) | (F.year(ts) > this_year + 1), 0.7).otherwise(1.0)
+        x = x * F.when(lay.isin(known), 1.05).otherwise(1.0)
+        return F.when(ts.isNotNull(), F.least(x, F.lit(1.0)))
+
+    # one-element array: the parsed parts are worked out once and named inside the function
+    parts = F.struct(clean_stamp(text).alias("t"), parse_stamp(text).alias("ts"), stamp_layout(text).alias("lay"))
+    return F.get(F.transform(F.array(parts), score), F.lit(0))
 
 
 def to_zone(text, zone: str = "Europe/Amsterdam") -> Column:
