@@ -6,7 +6,6 @@ busy owner is cut into segments instead of landing in one task.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,57 +120,38 @@ def tagged_reboot_sessions(tagged: DataFrame, key: str, ts: str, eid: str, code:
 def merged_logon_sessions(tagged: DataFrame, key: str, ts: str, eid: str, code: str, tag: str) -> DataFrame:
     """Tagged events where a repeated logon within 30 minutes moves the start forward.
 
-    A session needs an unbroken run of logons up to a logoff, with gaps under 30 minutes, all
-    decided inside one run; runs are cut with windows first, so each group is one short run.
+    A run is a chain of logons up to a logoff, cut where a logon comes 30 minutes or more after the
+    row before it.  A system-start logon follows every later logon of its run, so it ends up at the
+    run's last logon.  A user logon follows later user logons only, and fails when any logon of the
+    run comes 30 minutes or more after the user logon before it.  The first logon of the run that
+    ends in a same-day session of five minutes or more opens it.
     """
+    half_hour, t7001 = 1_800_000_000, F.when((F.col("code") == "7001") & F.col("opens"), F.col("us"))
     t = tagged.filter(F.col(tag).isin("logon", "logoff")).select(
         F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(eid).alias("eid"), F.col(code).alias("code"),
         (F.col(tag) == "logon").alias("opens"), tc.micros(ts).alias("us"))
-    user_at = F.when((F.col("code") == "7001") & F.col("opens"), F.col("us"))
-    o = Ordered(t.withColumn("user_at", user_at), ["key"], ["ts", "eid"])
+    o = Ordered(t.withColumn("user_at", t7001), ["key"], ["ts", "eid"])
     o = o.add(n=position(), p_open=prev("opens"), p_us=prev("us"), user_next=ahead("last", "user_at"))
     o = o.with_column("user_n", F.when(F.col("user_at").isNotNull(), F.col("n"))).add(un=ahead("last", "user_n"))
     shadow = F.col("opens") & (F.col("code") == "6005") & (F.col("un") - F.col("n") <= 9) & (
         F.col("user_next") - F.col("us") <= 300_000_000)
-    o = o.with_column("shadow", F.coalesce(shadow, F.lit(False)))
-    # a new run starts after a logoff, or at a logon 30 minutes or more after the row before it
-    cut = F.col("p_open").isNull() | ~F.col("p_open") | (F.col("opens") & (F.col("us") - F.col("p_us") >= 1_800_000_000))
-    o = o.with_column("cut", F.when(cut, 1).otherwise(0)).add(run=running("sum", "cut"))
-    runs = o.rows().select("key", "run", "ts", "us", "eid", "code", "opens", "shadow")
-
-    def pick(rows: list) -> tuple | None:
-        end = rows[-1]
-        for i, first in enumerate(rows[:-1] if not end.opens else []):
-            if first.shadow:
-                continue
-            at, broken = first, False
-            for nxt in rows[i + 1:-1]:
-                broken = nxt.us - at.us >= 1_800_000_000
-                if broken:
-                    break
-                if nxt.code == "7001" or first.code != "7001":
-                    at = nxt
-            if not broken and at.ts.date() == end.ts.date() and end.us - at.us >= 300_000_000:
-                return first.key, at.ts, first.eid, end.ts
-        return None
-
-    def walk(batches):
-        held, at = [], None  # rows of the run in progress; runs are short and arrive in order
-        for pdf in batches:
-            found = []
-            for row in pdf.itertuples(index=False):
-                if (row.key, row.run) != at and held:
-                    found.append(pick(held))
-                    held = []
-                at = (row.key, row.run)
-                held.append(row)
-            yield pd.DataFrame([f for f in found if f], columns=["key", "ts", "eid", "end"])
-        yield pd.DataFrame([f for f in [pick(held) if held else None] if f], columns=["key", "ts", "eid", "end"])
-
-    out = runs.repartition("key", "run").sortWithinPartitions("key", "run", "us", "eid").mapInPandas(
-        walk, "key long, ts timestamp_ntz, eid long, end timestamp_ntz")
-    hours, hour0 = tc.hours_between("ts", "end"), F.hour("ts")
-    late = hour0 >= 16
+    cut = F.col("p_open").isNull() | ~F.col("p_open") | (F.col("opens") & (F.col("us") - F.col("p_us") >= half_hour))
+    o = o.with_column("shadow", F.coalesce(shadow, F.lit(False))).with_column("cut", F.when(cut, 1).otherwise(0))
+    o = o.add(run=running("sum", "cut"))
+    o = o.with_column("mark", F.when(F.col("user_at").isNotNull(), F.struct("run", "us"))).add(before=running("last", "mark", include=False))
+    late = F.col("opens") & (F.col("before.run") == F.col("run")) & (F.col("us") - F.col("before.us") >= half_hour)
+    rows = o.with_column("broken_at", F.when(late, F.col("n"))).rows()
+    runs = rows.groupBy("key", "run").agg(
+        F.max(F.when(~F.col("opens"), F.col("ts"))).alias("end"), F.max(F.when(F.col("opens"), F.col("ts"))).alias("any_at"),
+        F.max(F.when(F.col("user_at").isNotNull(), F.col("ts"))).alias("user_last"), F.max("broken_at").alias("broken_at"))
+    logons = rows.filter("opens and not shadow").select("key", "run", "n", "eid", "code").join(runs, ["key", "run"])
+    by_user = F.col("code") == "7001"
+    at = F.when(by_user, F.col("user_last")).otherwise(F.col("any_at"))
+    ok = (F.to_date(at) == F.to_date("end")) & (tc.micros("end") - tc.micros(at) >= 300_000_000)
+    ok = ok & (~by_user | F.col("broken_at").isNull() | (F.col("n") >= F.col("broken_at")))
+    out = logons.withColumn("ts", at).filter(ok).groupBy("key", "run").agg(F.min(F.struct("n", "eid", "ts", "end")).alias("f")) \
+        .select("key", "f.eid", "f.ts", "f.end")
+    hours, late = tc.hours_between("ts", "end"), F.hour("ts") >= 16
     # Break taken off by start hour and length.
     rest = F.when(late, F.when(hours >= 6, 0.75).when(hours >= 4, 0.5).otherwise(0.0)) \
         .otherwise(F.when(hours >= 8, 1.0).when(hours >= 4, 0.5).otherwise(0.0))

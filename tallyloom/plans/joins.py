@@ -124,8 +124,8 @@ def _(t):
     return J.duplicates_against(new, old, "sid", "start", "end").select("event_id", "match")
 
 
-@query("upload_plan", """WITH b AS (SELECT o_orderkey AS o, o_custkey AS id, o_custkey % 700 AS r, o_orderstatus AS st, o_custkey % 11 AS k FROM orders),
- ex AS (SELECT id, r FROM b WHERE st = 'P' AND k = 0), nw AS (SELECT * FROM b WHERE st <> 'P'),
+@query("upload_plan", """WITH b AS (SELECT o_orderkey AS o, o_custkey AS id, o_custkey % 700 AS r, o_orderstatus AS st, o_totalprice AS p FROM orders),
+ ex AS (SELECT id, r FROM b WHERE st = 'P' AND p > 450000), nw AS (SELECT * FROM b WHERE st <> 'P'),
  f AS (SELECT *, id IN (SELECT id FROM ex) AS ie, r IN (SELECT r FROM ex) AS re FROM nw),
  g AS (SELECT *, min(CASE WHEN NOT ie AND NOT re THEN o END) OVER (PARTITION BY r) AS win_o FROM f),
  h AS (SELECT *, max(CASE WHEN o = win_o THEN o END) OVER (PARTITION BY id) AS id_o FROM g)
@@ -133,10 +133,10 @@ def _(t):
 def _(t):
     day0 = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     r = F.make_dt_interval(F.lit(0), (F.col("o_custkey") % 700).cast("int"))
-    b = t.orders.select("o_orderkey", "o_orderstatus", F.col("o_custkey").alias("id"), (day0 + r).alias("start"),
+    b = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_custkey").alias("id"), (day0 + r).alias("start"),
                         (day0 + r + F.expr("INTERVAL '30' MINUTE")).alias("end"))
-    old = b.filter((F.col("o_orderstatus") == "P") & (F.col("id") % 11 == 0))
-    new = b.filter("o_orderstatus <> 'P'").drop("o_orderstatus")
+    old = b.filter("o_orderstatus = 'P' and o_totalprice > 450000")
+    new = b.filter("o_orderstatus <> 'P'").drop("o_orderstatus", "o_totalprice")
     return J.upload_plan(new, old, "id", "start", "end", "o_orderkey").select("o_orderkey", "status")
 
 
@@ -160,12 +160,12 @@ def _(t):
 
 
 @query("export_join", f"""SELECT o_orderkey, coalesce(c_name, '') AS category, coalesce(n_name, '') AS repository, coalesce(n, 0) AS commit_count FROM orders
- LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20
+ LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0 LEFT JOIN nation ON c_nationkey = n_nationkey
  LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def _(t):
     n = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    c = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey")
-    r = t.nation.filter("n_nationkey < 20").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    c = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey")
+    r = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     return t.orders.join(c, "o_custkey", "left").join(r, "c_nationkey", "left").join(n, "o_orderkey", "left").select(
         "o_orderkey", F.coalesce("c_name", F.lit("")).alias("category"), F.coalesce("n_name", F.lit("")).alias("repository"),
         F.coalesce("n", F.lit(0)).alias("commit_count"))

@@ -22,6 +22,9 @@ def dense_sql(k, where="true", src="ev", out="dh"):
    FROM (SELECT qv.query_id, {src}.record_id, round(list_cosine_similarity(qv.v, {src}.v), 9) AS score FROM qv, {src} WHERE {where})) WHERE rank <= {k})"""
 
 
+ROUGH = "rv AS (SELECT vec_id AS record_id, label, list_transform(embedding::DOUBLE[], lambda x: round(x, 1)) AS v FROM embeddings)"
+
+
 def centroids(t):
     x = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x"))
     m = x.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -55,9 +58,9 @@ def _(t):
     return t.embeddings.join(q, F.col("label") == F.col("query_id")).select(F.col("vec_id").alias("record_id"), F.round(cosine(F.col("embedding"), F.col("v")), 6).alias("score"))
 
 
-@query("filtered_topk", f"""WITH {CENTROIDS}, {dense_sql(K, "ev.label % 2 = 0 AND ev.v[1] >= 0")} SELECT query_id, record_id, rank, round(greatest(0, score), 6) AS score FROM dh""")
+@query("filtered_topk", f"""WITH {CENTROIDS}, {dense_sql(K, "ev.v[2] < 0.1 AND ev.v[1] >= 0")} SELECT query_id, record_id, rank, round(greatest(0, score), 6) AS score FROM dh""")
 def _(t):
-    c = t.embeddings.filter((F.col("label") % 2 == 0) & (F.get("embedding", F.lit(0)) >= 0))
+    c = t.embeddings.filter((F.get("embedding", F.lit(1)).cast("double") < 0.1) & (F.get("embedding", F.lit(0)) >= 0))
     return shown(dense(t, K, c)).withColumn("score", F.greatest(F.lit(0.0), "score"))
 
 
@@ -132,9 +135,9 @@ def hybrid_parts(t):
     return c, q, lambda n: R.dense_topk(c, "doc_id", "embedding", q, "item_id", "v", n), lambda n: R.bm25_topk(c, "doc_id", "text", t.benchmark, "item_id", "text", n)
 
 
-@query("rrf", f"WITH {CENTROIDS}, {dense_sql(20)}, {dense_sql(20, 'ev.label % 2 = 1', out='d2')}, {rrf_sql(20, ['dh', 'd2'])} {PICK} fz")
+@query("rrf", f"WITH {CENTROIDS}, {ROUGH}, {dense_sql(20)}, {dense_sql(20, src='rv', out='d2')}, {rrf_sql(20, ['dh', 'd2'])} {PICK} fz")
 def _(t):
-    return shown(R.rrf([dense(t, 20), dense(t, 20, t.embeddings.filter("label % 2 = 1"))], 20))
+    return shown(R.rrf([dense(t, 20), dense(t, 20, _rough(t))], 20))
 
 
 @query("hybrid", f"WITH {hybrid_sql(K)} {PICK} fz")
@@ -244,7 +247,6 @@ def _(t):
     return E.aggregate_metrics(E.compare_strategies(items(t), lists, c, "doc_id", "text", 5), ["strategy"])
 
 
-ROUGH = "rv AS (SELECT vec_id AS record_id, label, list_transform(embedding::DOUBLE[], lambda x: round(x, 1)) AS v FROM embeddings)"
 STAB = f"{CENTROIDS}, {ROUGH}, {dense_sql(20)}, {dense_sql(20, src='rv', out='d2')}"
 
 

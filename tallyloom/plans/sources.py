@@ -75,13 +75,13 @@ def _(t):
 def _(t):
     d = scratch_dir(t.spark, "json")
     o = t.orders.select(F.struct(stamp("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("datetime"), F.col("o_orderpriority").alias("repository"), F.col("o_custkey").alias("author"),
-                                 F.lit("m").alias("subject"), F.col("o_orderkey").cast("string").alias("sha"), (F.col("o_orderstatus") == "F").alias("is_wbso")).alias("r"), F.pmod("o_orderkey", F.lit(997)).alias("g"))
+                                 F.lit("m").alias("subject"), F.col("o_orderkey").cast("string").alias("sha"), (F.col("o_orderstatus") == "F").alias("flagged")).alias("r"), F.pmod("o_orderkey", F.lit(997)).alias("g"))
     o.groupBy("g").agg(F.to_json(F.collect_list("r")).alias("value")).select("value").write.option("lineSep", "\n").text(d)
     # one array per file is the usual form; arrays of a few rows each keep any file readable line by line
     lines = t.spark.read.text(d)
-    rec = "datetime string, repository string, author string, subject string, sha string, is_wbso boolean"
+    rec = "datetime string, repository string, author string, subject string, sha string, flagged boolean"
     r = lines.select(F.explode(F.from_json("value", f"array<struct<{rec}>>")).alias("r")).select("r.*")
-    return S.commit_records(r).select("timestamp", "repo_name", "author", "is_eligible")
+    return S.commit_records(r, flag="flagged").select("timestamp", "repo_name", "author", "is_eligible")
 
 
 @query("scan_json_polymorphic", "SELECT event_id, event_type FROM events")

@@ -299,9 +299,9 @@ def _(t):
     return p.select("doc_id", "page_number", "n", F.sha2(F.array_join(F.transform("chunks", lambda c: c["text"]), "|"), 256).alias("h"))
 
 
-@query("embed_filter", f"WITH {CHUNKS_SQL} SELECT doc_id || '_' || chunk_index AS document_id, page_number, sha256(text) AS content_hash FROM ch WHERE text <> '' AND page_number <= 5")
+@query("embed_filter", f"WITH {CHUNKS_SQL} SELECT doc_id || '_' || chunk_index AS document_id, page_number, sha256(text) AS content_hash FROM ch WHERE text <> ''")
 def _(t):
-    return C.records_to_embed(fixed_chunks(t), "doc_id", max_pages=5).select("document_id", "page_number", "content_hash")
+    return C.records_to_embed(fixed_chunks(t), "doc_id").select("document_id", "page_number", "content_hash")
 
 
 @query("chunk_stats", f"""WITH {CHUNKS_SQL} SELECT d.doc_id, count(*) AS total_chunks, count(*) FILTER (ch.text = '') AS filtered_chunks, round(avg(length(ch.text)), 4) AS mean_length,

@@ -16,7 +16,6 @@ EVENT_ALIASES = {"TimeGenerated": "timestamp", "DateTime": "timestamp", "Timesta
                  "ComputerName": "computer_name", "Computer": "computer_name"}
 COMMIT_ALIASES = {"date": "timestamp", "datetime": "timestamp", "repository": "repo_name", "repo": "repo_name",
                   "author_name": "author", "commit_message": "message", "subject": "message", "commit_hash": "hash", "sha": "hash"}
-ELIGIBLE_FLAG = "is_wbso"
 
 
 def scan_csv_alias(spark: SparkSession, path: str, aliases: dict[str, str] = EVENT_ALIASES,
@@ -98,23 +97,25 @@ def ingest_from_git_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_json_records(spark: SparkSession, path: str, aliases: dict[str, str] = COMMIT_ALIASES,
-                      required: tuple[str, ...] = ("timestamp", "repo_name", "author", "message", "hash")) -> DataFrame:
+                      required: tuple[str, ...] = ("timestamp", "repo_name", "author", "message", "hash"),
+                      flag: str = "is_eligible") -> DataFrame:
     """JSON arrays of records under canonical names; a file that is no list is an error."""
     whole = spark.read.text(path, wholetext=True)
     if not whole.filter("not rlike(value, '^\\\\s*\\\\[')").isEmpty():
         raise ValueError(f"{path}: expected a list of records")
-    return commit_records(spark.read.option("multiLine", True).option("primitivesAsString", True).json(path), aliases, required)
+    return commit_records(spark.read.option("multiLine", True).option("primitivesAsString", True).json(path), aliases, required, flag)
 
 
 def commit_records(df: DataFrame, aliases: dict[str, str] = COMMIT_ALIASES,
-                   required: tuple[str, ...] = ("timestamp", "repo_name", "author", "message", "hash")) -> DataFrame:
+                   required: tuple[str, ...] = ("timestamp", "repo_name", "author", "message", "hash"),
+                   flag: str = "is_eligible") -> DataFrame:
     """Records under canonical names with a typed time and flag."""
     df = df.withColumnsRenamed({k: v for k, v in aliases.items() if k in df.columns and v not in df.columns})
     gone = [c for c in required if c not in df.columns]
     if gone:
         raise ValueError(f"missing columns: {gone}")
-    flag = F.lower(F.col(ELIGIBLE_FLAG).cast("string")) if ELIGIBLE_FLAG in df.columns else F.lit("false")
-    return df.withColumn("timestamp", tc.parse_stamp("timestamp")).withColumn("is_eligible", flag.isin("true", "1", "yes"))
+    marked = F.lower(F.col(flag).cast("string")) if flag in df.columns else F.lit("false")
+    return df.withColumn("timestamp", tc.parse_stamp("timestamp")).withColumn("is_eligible", marked.isin("true", "1", "yes"))
 
 
 # Keys that may wrap a list of sessions.
