@@ -6,7 +6,7 @@ from ..functions import timecols as tc
 from ..operators import filters as P
 from ..operators import sessions as S
 from . import fixtures as fx
-from .fixtures import SESSIONS_SQL, TAGGED_SQL, WINDOWS_SQL, hrs, kind, mins, txt
+from .fixtures import CLICKS_SQL, SESSIONS_SQL, SHIFTED_SQL, TAGGED_SQL, WINDOWS_SQL, hrs, kind, mins, txt
 from .registry import query
 
 
@@ -88,10 +88,27 @@ def _(t):
     return S.number_sessions(s, ["start", "key", "start_id", "part"], "ses_", 4)
 
 
-@query("sessions_30min_merge")
+@query("sessions_30min_merge", f"""WITH {TAGGED_SQL},
+ a AS (SELECT user_id AS key, ts, event_id AS eid, code, tag = 'logon' AS opens, row_number() OVER w AS n, lag(tag = 'logon') OVER w AS p_open, lag(ts) OVER w AS p_ts,
+   min(CASE WHEN code = '7001' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING) AS u
+   FROM tg WHERE tag IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ b AS (SELECT *, coalesce(opens AND code = '6005' AND u <= ts + INTERVAL 5 MINUTE, false) AS shadow,
+   CASE WHEN p_open IS NULL OR NOT p_open OR (opens AND ts >= p_ts + INTERVAL 30 MINUTE) THEN 1 ELSE 0 END AS cut FROM a),
+ c AS (SELECT *, sum(cut) OVER (PARTITION BY key ORDER BY ts, eid) AS run FROM b),
+ d AS (SELECT *, max(CASE WHEN code = '7001' THEN ts END) OVER (PARTITION BY key, run ORDER BY ts, eid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u0 FROM c),
+ r AS (SELECT key, run, max(CASE WHEN NOT opens THEN ts END) AS e, max(CASE WHEN opens THEN ts END) AS any_at, max(CASE WHEN code = '7001' THEN ts END) AS user_last,
+   max(CASE WHEN opens AND ts >= u0 + INTERVAL 30 MINUTE THEN n END) AS broken FROM d GROUP BY 1, 2),
+ f AS (SELECT d.key, d.run, d.n, d.eid, r.e, CASE WHEN code = '7001' THEN user_last ELSE any_at END AS s FROM d JOIN r USING (key, run)
+   WHERE opens AND NOT shadow AND (code <> '7001' OR broken IS NULL OR d.n >= broken)),
+ g AS (SELECT *, row_number() OVER (PARTITION BY key, run ORDER BY n) AS rn FROM f WHERE s::DATE = e::DATE AND e >= s + INTERVAL 5 MINUTE),
+ h AS (SELECT *, {hrs('s', 'e')} AS h, extract(hour FROM s) AS hr FROM g WHERE rn = 1),
+ i AS (SELECT *, CASE WHEN hr >= 16 THEN CASE WHEN h >= 6 THEN 0.75 WHEN h >= 4 THEN 0.5 ELSE 0.0 END ELSE CASE WHEN h >= 8 THEN 1.0 WHEN h >= 4 THEN 0.5 ELSE 0.0 END END AS rest FROM h)
+ SELECT key, eid AS start_id, {txt('s')} AS "start", {txt('e')} AS "end", round(h, 4) AS duration_hours, {kind('h')} AS session_type,
+  CASE WHEN rest > 0 THEN CASE WHEN hr >= 16 THEN 'dinner' ELSE 'lunch' END END AS break_type, round(h - rest, 4) AS work_hours FROM i""")
 def _(t):
     e = fx.tagged(t).withColumn("tag", P.session_tag(F.col("code"), F.col("message")))
-    return S.merged_logon_sessions(e, "user_id", "ts", "event_id", "code", "tag")
+    m = S.merged_logon_sessions(e, "user_id", "ts", "event_id", "code", "tag")
+    return m.withColumn("duration_hours", F.round("duration_hours", 4)).withColumn("work_hours", F.round("work_hours", 4))
 
 
 @query("computer_on_same_day", f"""WITH s0 AS (SELECT user_id, ts, event_id, event_type,
@@ -232,7 +249,13 @@ def _(t):
     return S.carry_forward(e, ["user_id", "day"], ["ts", "event_id"], "activity").select("event_id", "assigned")
 
 
-@query("deoverlap")
+@query("deoverlap", f"""WITH RECURSIVE {SHIFTED_SQL},
+ w AS (SELECT o_custkey % 50 AS key, o_orderkey AS sid, s, e, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY s, o_orderkey) AS rn FROM sh WHERE e > s),
+ r AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS sid, CAST(NULL AS TIMESTAMP) AS s, CAST(NULL AS TIMESTAMP) AS e, TIMESTAMP '1900-01-01' AS last, false AS kept, false AS adjusted FROM w
+   UNION ALL SELECT w.key, w.rn, w.sid, CASE WHEN w.s <= r.last THEN r.last + INTERVAL 1 MINUTE ELSE w.s END, w.e,
+     CASE WHEN w.e > CASE WHEN w.s <= r.last THEN r.last + INTERVAL 1 MINUTE ELSE w.s END THEN w.e ELSE r.last END,
+     w.e > CASE WHEN w.s <= r.last THEN r.last + INTERVAL 1 MINUTE ELSE w.s END, w.s <= r.last FROM r JOIN w ON w.key = r.key AND w.rn = r.rn + 1)
+ SELECT key, sid, {txt('s')} AS "start", {txt('e')} AS "end", adjusted FROM r WHERE kept""")
 def _(t):
     from ..operators.sequential import deoverlap
 
@@ -240,7 +263,16 @@ def _(t):
     return deoverlap(w, "owner", "o_orderkey")
 
 
-@query("budgeted_assignment")
+@query("budgeted_assignment", f"""WITH RECURSIVE {SESSIONS_SQL}, {CLICKS_SQL},
+ hi AS (SELECT s.start_id, arg_min('S' || CAST(floor(c.value / 20) % 4 AS INT), c.ts) AS hint FROM ses s JOIN clk c ON c.user_id = s.key AND c.ts BETWEEN s.s AND s.e GROUP BY 1),
+ o AS (SELECT key, start_id, hint, {hrs('s', 'e')} AS h, row_number() OVER (PARTITION BY key ORDER BY s, start_id) AS rn FROM ses LEFT JOIN hi USING (start_id)),
+ bu AS (SELECT * FROM (VALUES ('S0', 30.0, 'S1'), ('S1', 45.0, 'S2'), ('S2', 0.0, 'S3'), ('S3', 22.5, 'S0')) v(sub, cap, nxt)),
+ r AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS sid, 'S0' AS sub, CAST(0 AS DOUBLE) AS used FROM o
+   UNION ALL SELECT key, rn, start_id, CASE WHEN over_ THEN nxt ELSE sub1 END, CASE WHEN over_ THEN 0 ELSE used1 END + h FROM
+    (SELECT x.*, bu.nxt, bu.cap > 0 AND x.used1 >= bu.cap AS over_ FROM
+      (SELECT o.key, o.rn, o.start_id, o.h, coalesce(o.hint, r.sub) AS sub1, CASE WHEN o.hint IS NOT NULL AND o.hint <> r.sub THEN 0 ELSE r.used END AS used1
+       FROM r JOIN o ON o.key = r.key AND o.rn = r.rn + 1) x JOIN bu ON bu.sub = x.sub1))
+ SELECT key AS owner, sid, sub AS sub_activity, round(used, 4) AS cumulative_hours FROM r WHERE rn > 0""")
 def _(t):
     """Suggestion = the kind of the first click inside a session."""
     from ..operators.intervals import stab_join
@@ -248,7 +280,7 @@ def _(t):
 
     s = fx.sessions(t).select("key", "start_id", "start", "end")
     p = stab_join(fx.clicks(t), s, "ts", "start", "end", [("user_id", "key")])
-    hint = F.concat(F.lit("S"), F.floor(F.col("value") / 20) % 4)
+    hint = F.concat(F.lit("S"), (F.floor(F.col("value") / 20) % 4).cast("int"))
     h = p.groupBy("start_id").agg(F.min_by(hint, F.struct("ts", "event_id")).alias("hint"))
     r = budgeted_assignment(s.join(h, "start_id", "left"), "key", "start_id", [("S0", 20.0), ("S1", 30.0), ("S2", 0.0), ("S3", 15.0)], "hint")
-    return r.withColumn("cumulative_hours", F.round("cumulative_hours", 6))
+    return r.withColumn("cumulative_hours", F.round("cumulative_hours", 4))
