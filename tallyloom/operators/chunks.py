@@ -83,7 +83,7 @@ def chunker(strategy: str = "recursive", size: int = CHUNK_SIZE, overlap: int =
     elif strategy == "fixed":
         def fixed(pages):
             per = F.transform(pages, lambda p, i: F.transform(
-                F.when(F.trim(F.regexp_replace(p, tx.SPACE, "")) == "", F.array(F.lit(""))).otherwise(fixed_width(p, size, overlap)),
+                F.when(tx.collapse(p) == "", F.array(F.lit(""))).otherwise(fixed_width(p, size, overlap)),
                 lambda c: F.struct((i + 1).cast("int").alias("page"), c.alias("text"))))
             return F.flatten(per)
 

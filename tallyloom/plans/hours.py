@@ -24,7 +24,7 @@ def _resample_sql(b, spine):
  c AS (SELECT {b.format('o_orderdate')} AS b, count(*) AS commits, count(*) FILTER (o_orderstatus = 'F') AS flagged, count(DISTINCT o_custkey) AS authors, avg(o_totalprice / 7) AS m, stddev_samp(o_totalprice / 7) AS sd FROM orders GROUP BY 1),
  sp AS (SELECT {spine.format('e')} UNION SELECT {spine.format('c')})
  SELECT {txt('sp.b')} AS bucket, coalesce(n, 0) AS n, coalesce(ups, 0) AS ups, coalesce(downs, 0) AS downs, coalesce(machines, 0) AS machines, coalesce(commits, 0) AS commits,
-  coalesce(flagged, 0) AS flagged, coalesce(authors, 0) AS authors, round(coalesce(m, 0), 4) AS mean_len, round(coalesce(sd, 0), 4) AS std_len
+  coalesce(flagged, 0) AS flagged, coalesce(authors, 0) AS authors, round(coalesce(m, 0), 7) AS mean_len, round(coalesce(sd, 0), 7) AS std_len
  FROM sp LEFT JOIN e ON e.b = sp.b LEFT JOIN c ON c.b = sp.b"""
 
 
@@ -33,7 +33,7 @@ def _resample(t, p):
     c = [F.count("*").alias("commits"), F.count_if(F.col("o_orderstatus") == "F").alias("flagged"), F.countDistinct("o_custkey").alias("authors"),
          F.avg(F.col("o_totalprice") / 7).alias("mean_len"), F.stddev_samp(F.col("o_totalprice") / 7).alias("std_len")]
     r = H.resample(t.events, "ts", e, t.orders, "o_orderdate", c, p)
-    return r.withColumn("mean_len", F.round("mean_len", 4)).withColumn("std_len", F.round("std_len", 4))
+    return r.withColumn("mean_len", F.round("mean_len", 7)).withColumn("std_len", F.round("std_len", 7))
 
 
 SP = "CAST(unnest(generate_series((SELECT min(b) FROM {{0}}), (SELECT max(b) FROM {{0}}), INTERVAL {step})) AS TIMESTAMP) AS b"
