@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scale import ship_package
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -33,6 +35,7 @@ class Tables:
 def query(slug: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
             return plain(fn(Tables(spark, folder)))
 
         run.__name__, run.__doc__ = slug, fn.__doc__
