@@ -86,23 +86,59 @@ def _signature_test(least: float):
     return run
 
 
-def _block_test(least: float, num: int, den: int):
-    """Pairs inside two blocks of one bucket that lie in different components and pass the signature test."""
+def _open_pairs(t: pa.Table, least: float, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row by row, the rows of the other side that may link with it: another component, sizes and signatures
+    that allow the threshold, and this bucket the first that the two share (so a pair is looked at once)."""
+    ids, comp, n, side = (t.column(c).to_numpy() for c in ("id", "comp", "n", "side"))
+    key = t.column("key")[0].as_py()
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+    keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    right = np.flatnonzero(side != 1)
+    for i in np.flatnonzero(side != 2).tolist():
+        js = right[right > i] if side[i] == 0 else right
+        js = js[(comp[js] != comp[i]) & (den * np.minimum(n[js], n[i]) >= num * np.maximum(n[js], n[i]))]
+        if len(js):
+            js = js[alike(sig[js], sig[i]) >= least]
+            js = js[keys[i][(keys[js] == keys[i]).argmax(axis=1)] == key]
+        if len(js):
+            yield i, js
+
+
+def _marked(least: float, num: int, den: int):
+    """Of the rows of two blocks of a bucket, those that have a partner to be tested: never more rows than came."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids, comp, n = (group.column(c).to_numpy() for c in ("id", "comp", "n"))
-        side = group.column("side").to_numpy()
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        found_a, found_b = [], []
-        for i in left:
-            js = right[(comp[right] != comp[i]) & (ids[right] != ids[i])]
-            js = js[den * np.minimum(n[js], n[i]) >= num * np.maximum(n[js], n[i])]
-            if len(js):
-                js = js[alike(sig[js], sig[i]) >= least]
-                found_a += np.minimum(ids[js], ids[i]).tolist()
-                found_b += np.maximum(ids[js], ids[i]).tolist()
-        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+        hit = np.zeros(group.num_rows, bool)
+        for i, js in _open_pairs(group, least, num, den):
+            hit[i] = True
+            hit[js] = True
+        return group.filter(pa.array(hit))
+
+    return run
+
+
+def _linked(least: float, num: int, den: int, width: int):
+    """Full sets of the marked rows: links between components, one spanning forest a task."""
+
+    def run(group: pa.Table) -> pa.Table:
+        sets = [shingle_set(d, width) for d in text_bytes(group.column("text").combine_chunks())]
+        comp, ids, root, out = group.column("comp").to_numpy(), group.column("id").to_numpy(), {}, []
+
+        def top(c):
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        for i, js in _open_pairs(group, least, num, den):
+            for j in js.tolist():
+                one, two = top(comp[i]), top(comp[j])
+                if one == two:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                    root[max(one, two)] = min(one, two)
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return run
 
@@ -111,18 +147,21 @@ def _exact_test(num: int, den: int, width: int):
     """Rows sorted so that the text of ``a`` (b null) stands before its partners' texts."""
 
     def run(batches):
-        holder, mine = None, None
+        holder, mine = None, []
         for batch in batches:
             a, b, salt = (batch.column(c).to_pylist() for c in ("a", "b", "salt"))
             keep = []
             for i, data in enumerate(text_bytes(batch.column("text"))):
                 x = shingle_set(data, width)
                 if b[i] is None:
-                    holder, mine = (a[i], salt[i]), x
+                    mine = [*mine, x] if holder == (a[i], salt[i]) else [x]
+                    holder = (a[i], salt[i])
                 elif holder == (a[i], salt[i]):
-                    both = len(np.intersect1d(mine, x, assume_unique=True))
-                    if den * both >= num * (len(mine) + len(x) - both) and both:
-                        keep.append(i)
+                    for own in mine:
+                        both = len(np.intersect1d(own, x, assume_unique=True))
+                        if both and den * both >= num * (len(own) + len(x) - both):
+                            keep.append(i)
+                            break
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
@@ -159,10 +198,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets are one node, so copies make no pairs.  In each bucket all nodes are paired with the
     smallest; pairs of others are looked at only where the bucket still holds two components after
-    that, block by block inside tasks.
+    that, block by block inside tasks, which hand on links between components and no other pairs.
 
     Null or blank texts have no shingles and link with nothing.  A null id links with nothing:
-    its component is null and it is kept.  Rows that repeat an id count as versions of one document.
+    its component is null and it is kept.  Rows that repeat an id are versions of one document: a link of one counts.
     Further columns of ``docs`` are ignored.  An empty table gives an empty result.
     """
     bands = band_count(num / den, rows, miss)
@@ -191,16 +230,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = in_bucket.filter("members > 2").join(found.withColumnRenamed("node", "id"), "id", "left") \
         .select("key", "id", "members", F.coalesce("component", "id").alias("comp"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    rest = placed.join(open_keys, "key").join(sigs, "id") \
+    rest = placed.join(open_keys, "key").join(nodes.select("id", "n", "sig", "keys"), "id") \
         .withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")) \
         .withColumn("mine", F.expr("pmod(xxhash64(id), blocks)").cast("int")) \
         .withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))) \
-        .select("key", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "id", "comp", "n", "sig",
+        .select("key", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "id", "comp", "n", "sig", "keys",
                 F.expr("CASE WHEN mine = with THEN 0 WHEN mine < with THEN 1 ELSE 2 END").alias("side"))
-    more = rest.groupBy("key", "i", "j").applyInArrow(_block_test(least, num, den), "a long, b long").distinct()
-    more = cut_lineage(more.join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(_confirmed(base, more, num, den, width))
+    marked = cut_lineage(rest.groupBy("key", "i", "j").applyInArrow(_marked(least, num, den), rest.schema))
+    if not marked.isEmpty():
+        more = marked.join(base, "id").groupBy("key", "i", "j").applyInArrow(_linked(least, num, den, width), "a long, b long")
+        links = cut_lineage(links.unionByName(more))
         found = components(links)
 
     classes = nodes.select("f1", "f2", "n", "id").join(found.withColumnRenamed("node", "id"), "id", "left") \
