@@ -59,3 +59,125 @@ def op2_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"), all_hashes=True)
+
+
+@query("""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id AND len(x.e) = len(y.e)
+          AND list_cosine_similarity(x.e, y.e) >= 0.95),
+""" + LINKS + """,
+degrees AS (SELECT a AS id, count(*) AS n FROM ways GROUP BY a)
+SELECT d.vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, d.vec_id) AS component_id, coalesce(component_id, d.vec_id) = d.vec_id AS kept
+FROM embeddings d LEFT JOIN degrees g ON g.id = d.vec_id LEFT JOIN comp c ON c.id = d.vec_id
+""")
+def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+#: The key of the surrogates.  A secret of the deployment; this one serves the registered query.
+SURROGATE_KEY = "surrogate-key-1"
+
+
+@query()
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .surrogates import surrogate_text
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogate_text(docs, SURROGATE_KEY, count_col="n_entities")
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query()
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .packing import pieces, sequences
+
+    packed = sequences(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return pieces(packed).select(F.col("doc").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                                 F.col("sequence").alias("sequence_id"), "offset")
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, octet_length(encode(h)) AS n, sha256(h) AS d, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM q
+""")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .archives import archived_pages
+
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
+@query("""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS size,
+         substr((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 14))::BIGINT)::BIT::VARCHAR, 9) AS bits FROM documents),
+level(depth, shard, b, n) AS (
+  SELECT 0, '', sum(size), count(*) FROM rows
+  UNION ALL
+  SELECT depth, shard, sum(size), count(*) FROM (
+    SELECT l.depth + 1 AS depth, substr(r.bits, 1, l.depth + 1) AS shard, r.size
+    FROM level l JOIN rows r ON substr(r.bits, 1, l.depth) = l.shard WHERE l.b > 67108864 AND l.depth < 56) GROUP BY ALL)
+SELECT doc_id, size, shard, depth, b AS shard_bytes, n AS shard_rows
+FROM rows JOIN level ON b <= 67108864 AND substr(bits, 1, depth) = shard
+""")
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shards
+
+    return shards(table(spark, sf_dir, "documents"), max_bytes=64 << 20)
+
+
+def _license_sql() -> str:
+    from .licenses import template_values
+
+    return rf"""
+WITH t(license, text) AS (VALUES {template_values()}),
+tw AS (SELECT license, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w FROM t),
+ts AS (SELECT DISTINCT license, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM tw),
+tn AS (SELECT license, count(*) AS shingles FROM ts GROUP BY license),
+dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w FROM documents),
+ds AS (SELECT doc_id, unnest(range(0, len(w) - 4)) AS k, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+       FROM dw WHERE len(w) >= 5)
+SELECT doc_id, license, count(DISTINCT s) AS matched, shingles, count(DISTINCT s)::DOUBLE / shingles AS containment,
+       min(k) AS first_word, max(k) + 4 AS last_word
+FROM ds JOIN ts USING (s) JOIN tn USING (license) GROUP BY doc_id, license, shingles HAVING count(DISTINCT s) >= 0.8 * shingles
+"""
+
+
+@query(_license_sql())
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_matches
+
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .quality import held_out, learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
