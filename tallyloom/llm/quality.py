@@ -125,6 +125,17 @@ def fit(labelled: DataFrame, most_bytes: int = SAMPLE_BYTES, dictionary_bytes: i
     return Model(*dictionaries, tuple(mean), tuple(scale), tuple(_logistic(z, y)), segment, level)
 
 
+def _scorer(model: Model):
+    engines = _engines(model.good, model.bad, model.level)
+
+    def scores(texts: list[str]) -> np.ndarray:
+        x = np.array([features(t.encode(), engines, model.segment) for t in texts]).reshape(-1, len(model.mean))
+        z = np.column_stack([(x - model.mean) / model.scale, np.ones(len(x))])
+        return 1 / (1 + np.exp(-np.clip(z @ np.array(model.weights), -30, 30)))
+
+    return scores
+
+
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, score)`` for every row: the share of label 1 expected among texts that compress alike.
 
@@ -137,16 +148,27 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         return base.select(F.col("id").alias(id_col), F.lit(0.5).alias("score"))
 
     def run(batches):
-        engines = _engines(model.good, model.bad, model.level)
+        scorer = _scorer(model)
         for batch in batches:
-            x = np.array([features(t.encode(), engines, model.segment) for t in batch.column("text").to_pylist()]).reshape(-1, len(model.mean))
-            z = np.column_stack([(x - model.mean) / model.scale, np.ones(len(x))])
-            p = 1 / (1 + np.exp(-np.clip(z @ np.array(model.weights), -30, 30)))
+            p = scorer(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(p, pa.float64())], ["id", "score"])
 
     return mapped(base, run, f"id {dict(base.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
 
 
+def filtered(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``least`` or better.  Nothing is shuffled: rows pass through the scorer."""
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        scorer = _scorer(model)
+        for batch in batches:
+            p = scorer(["" if t is None else t for t in batch.column(place).to_pylist()])
+            yield batch.filter(pa.array(p >= least))
+
+    return mapped(docs, run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """The fold that is never learned from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
