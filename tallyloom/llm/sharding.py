@@ -55,15 +55,14 @@ def directory(rows: DataFrame, max_bytes: int) -> DataFrame:
 
 
 def _placed(rows: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Each row with its leaf.  Depths in use are few (at most 80): one probe row per row, for the depth of its first bits.
+    """Each row with its leaf.  Depths in use are few (80 at most).
 
-    The directory is spread to a common depth first, so that a row has one key to look up.
+    Leaves are disjoint, so a row is found once.
     """
-    depths = sorted(r[0] for r in leaves.select("depth").distinct().collect())
-    out = None
-    for depth in depths:  # at most one pass of thin rows per depth in use; leaves are disjoint, so a row is found once
+    out = rows.limit(0).withColumns({"shard": F.lit(""), "shard_bytes": F.lit(0).cast("long"), "shard_rows": F.lit(0).cast("long"), "depth": F.lit(0)})
+    for depth in sorted(r[0] for r in leaves.select("depth").distinct().collect()):  # a pass over thin rows for each depth in use
         here = rows.withColumn("shard", F.expr(f"substring(bits, 1, {depth})")).join(leaves.filter(f"depth = {depth}"), "shard")
-        out = here if out is None else out.unionByName(here)
+        out = out.unionByName(here)
     return out
 
 
@@ -100,11 +99,11 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     keyed = docs.sparkSession.read.parquet(keyed_path)
     rows = keyed.select(F.col(name).alias("bits"), F.octet_length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("long").alias("size"))
     leaves = directory(rows, max_bytes)
-    out = None
+    out = keyed.withColumn("__leaf", F.lit("")).limit(0)
     for depth in sorted(r[0] for r in leaves.select("depth").distinct().collect()):
         mine = leaves.filter(f"depth = {depth}").select(F.col("shard").alias("__leaf"))
         here = keyed.withColumn("__leaf", F.expr(f"substring(`{name}`, 1, {depth})")).join(mine, "__leaf")
-        out = here if out is None else out.unionByName(here)
+        out = out.unionByName(here)
     out = out.withColumn(name, F.concat(F.lit("b"), "__leaf")).drop("__leaf")
     out.repartition(name).write.partitionBy(name).parquet(path)
     return leaves
