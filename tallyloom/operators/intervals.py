@@ -3,8 +3,12 @@
 Each interval is cut into aligned blocks of a few fixed sizes, from a second to 512 days (few
 blocks, however long the interval), and each point names the one block per size that holds it.  A point
 meets an interval in exactly one block, so the join emits true matches only, never
-the pairs of a whole bucket, and a busy owner is spread over its blocks.
-Parts shorter than a whole second go through one extra level with the exact test.
+the pairs of a whole bucket.  Parts shorter than a whole second go through one extra level with the exact test.
+
+Only the distinct (time, keys) of the points are looked up, and only on the sizes that the intervals
+use; what was found joins the points once, so their other columns are never repeated and equal points
+all keep their answer.  Blocks of six hours and more, which many points share, are dealt to
+several tasks: the few rows of their intervals are repeated, the points are split by a hash.
 """
 
 from __future__ import annotations
@@ -24,11 +28,13 @@ _SIZES = [1, 10, 60, 600, 3_600, 21_600, 86_400, 8 * 86_400, 64 * 86_400, 512 *
 _LEVELS = len(_SIZES)
 
 
-# (level, size in microseconds, how many fit in the next size; 0 for the largest)
+_FAN = {21_600: 16, 86_400: 32, 8 * 86_400: 64, 64 * 86_400: 64, 512 * 86_400: 64}  # tasks that share a block
+
+# (level, size in microseconds, how many fit in the next size; 0 for the largest, tasks)
 _TABLE = "array(" + ", ".join(
-    f"struct({k} as level, {_TICK * n}L as size, {(_SIZES[k + 1] // n) if k + 1 < _LEVELS else 0}L as up)"
+    f"struct({k} as level, {_TICK * n}L as size, {(_SIZES[k + 1] // n) if k + 1 < _LEVELS else 0}L as up, {_FAN.get(n, 1)} as fan)"
     for k, n in enumerate(_SIZES)) + ")"
-_EDGES = f"array(struct(-1 as level, {_TICK}L as size, 0L as up))"  # parts shorter than the smallest block
+_EDGES = f"array(struct(-1 as level, {_TICK}L as size, 0L as up, 1 as fan))"  # parts shorter than the smallest block
 
 
 def _fdiv(x: str, n: str) -> str:
@@ -45,7 +51,8 @@ def _cover(df: DataFrame, start: Column, end: Column) -> DataFrame:
     next larger size does not cover."""
     d = df.withColumn("__s", micros(start)).withColumn("__e", micros(end)).filter("__s <= __e")
     d = d.withColumn("__l", F.explode(F.expr(f"concat({_EDGES}, {_TABLE})")))
-    d = d.withColumn("__level", F.col("__l.level")).withColumn("__size", F.col("__l.size")).withColumn("__up", F.col("__l.up"))
+    d = d.withColumn("__level", F.col("__l.level")).withColumn("__size", F.col("__l.size")).withColumn("__up", F.col("__l.up")) \
+        .withColumn("__fan", F.col("__l.fan"))
     big = "__size * greatest(__up, 1L)"
     d = d.withColumn("__lo", F.expr(_fdiv("__s + __size - 1L", "__size"))).withColumn("__hi", F.expr(_fdiv("__e + 1L", "__size")))
     d = d.withColumn("__lo2", F.expr(f"({_fdiv(f'__s + {big} - 1L', f'({big})')}) * __up")) \
@@ -58,9 +65,35 @@ def _cover(df: DataFrame, start: Column, end: Column) -> DataFrame:
     return d.withColumn("__block", F.explode(F.expr(blocks))).drop("__s", "__e", "__l", "__size", "__up", "__lo", "__hi", "__lo2", "__hi2")
 
 
-def _probe(df: DataFrame, ts: Column) -> DataFrame:
-    d = df.withColumn("__t", micros(ts)).withColumn("__l", F.explode(F.expr(f"concat({_EDGES}, {_TABLE})")))
-    return d.withColumn("__plevel", F.col("__l.level")).withColumn("__pblock", F.expr(_fdiv("__t", "__l.size"))).drop("__t", "__l")
+def _dealt(cover: DataFrame) -> DataFrame:
+    """Blocks that several tasks share, once for each."""
+    return cover.withColumn("__part", F.explode(F.expr("sequence(0, __fan - 1)"))).drop("__fan")
+
+
+def _asked(points: DataFrame, ts: str, keys: list[str]) -> DataFrame:
+    """The distinct times (and keys) of the points, under names of their own."""
+    return points.filter(F.col(ts).isNotNull()).select(F.col(ts).alias("__ts"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).distinct()
+
+
+def _probe(asked: DataFrame, cover: DataFrame) -> DataFrame:
+    """One row per time and size in use (at most eleven sizes, so the list of them is broadcast)."""
+    names = asked.columns
+    used = F.broadcast(cover.select(F.col("__level").alias("__plevel")).distinct())
+    d = asked.withColumn("__t", micros(F.col("__ts"))).withColumn("__l", F.explode(F.expr(f"concat({_EDGES}, {_TABLE})")))
+    d = d.withColumn("__plevel", F.col("__l.level")).join(used, "__plevel", "left_semi")
+    return d.select(*names, "__plevel", F.expr(_fdiv("__t", "__l.size")).alias("__pblock"),
+                    F.pmod(F.xxhash64(*names), F.col("__l.fan").cast("long")).cast("int").alias("__ppart"))
+
+
+def _meet(pt: DataFrame, iv: DataFrame, exact: Column, keys: list[str]) -> DataFrame:
+    cond = [F.col("__plevel") == F.col("__level"), F.col("__pblock") == F.col("__block"), F.col("__ppart") == F.col("__part"), exact]
+    cond += [F.col(f"__k{i}") == F.col(k) for i, k in enumerate(keys)]
+    return pt.join(iv, reduce(lambda a, b: a & b, cond))
+
+
+def _answered(points: DataFrame, found: DataFrame, ts: str, keys: list[str], how: str = "inner") -> DataFrame:
+    cond = [F.col(ts) == F.col("__ts")] + [F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)]
+    return points.join(found, reduce(lambda a, b: a & b, cond), how).drop("__ts", *[f"__k{i}" for i in range(len(keys))])
 
 
 def stab_join(points: DataFrame, intervals: DataFrame, ts: str, start: str, end: str,
@@ -75,13 +108,12 @@ def stab_join(points: DataFrame, intervals: DataFrame, ts: str, start: str, end:
         s = s - F.expr(f"INTERVAL {before}")
     if after:
         e = e + F.expr(f"INTERVAL {after}")
-    iv = _cover(intervals.withColumn("__from", s).withColumn("__to", e), F.col("__from"), F.col("__to"))
-    pt = _probe(points, F.col(ts))
-    cond = [pt["__plevel"] == iv["__level"], pt["__pblock"] == iv["__block"],
-            pt[ts] >= iv["__from"], pt[ts] <= iv["__to"]]
-    cond += [pt[a] == iv[b] for a, b in keys]
-    return pt.join(iv, reduce(lambda a, b: a & b, cond)).drop(
-        "__plevel", "__pblock", "__level", "__block", "__from", "__to")
+    pkeys, ikeys = [a for a, _ in keys], [b for _, b in keys]
+    cover = _cover(intervals.withColumn("__from", s).withColumn("__to", e), F.col("__from"), F.col("__to"))
+    pt, iv = _probe(_asked(points, ts, pkeys), cover), _dealt(cover)
+    met = _meet(pt, iv, F.col("__ts").between(F.col("__from"), F.col("__to")), ikeys)
+    found = met.select("__ts", *[f"__k{i}" for i in range(len(keys))], *intervals.columns)
+    return _answered(points, found, ts, pkeys)
 
 
 def longest_cover(points: DataFrame, sessions: DataFrame, ts: str, start: str, end: str,
@@ -89,23 +121,20 @@ def longest_cover(points: DataFrame, sessions: DataFrame, ts: str, start: str, e
     """Left join of each point with the longest interval that holds it (ties: earliest start).
 
     Whole blocks keep only their best interval before the join, so the work does not grow
-    with the number of intervals open at the same time.
+    with the number of intervals open at the same time.  Equal points each keep a row.
     """
-    ikeys = [b for _, b in keys]
+    pkeys, ikeys = [a for a, _ in keys], [b for _, b in keys]
     best = F.struct((-hours_between(start, end)).alias("d"), F.col(start).alias("s"), F.struct(*payload).alias("p"))
-    cov = _cover(sessions.select(*ikeys, best.alias("__best"), F.col(start).alias("__from"), F.col(end).alias("__to")),
-                 F.col("__from"), F.col("__to"))
-    whole = cov.filter("__level >= 0").groupBy(*ikeys, "__level", "__block").agg(F.min("__best").alias("__best"))
-    edge = cov.filter("__level < 0")
-    iv = whole.withColumn("__from", F.expr("cast(null as timestamp_ntz)")).withColumn(
-        "__to", F.expr("cast(null as timestamp_ntz)")).unionByName(edge)
-    pt = _probe(points, F.col(ts))
-    cond = [pt["__plevel"] == iv["__level"], pt["__pblock"] == iv["__block"],
-            iv["__from"].isNull() | pt[ts].between(iv["__from"], iv["__to"])]
-    cond += [pt[a] == iv[b] for a, b in keys]
-    hit = pt.join(iv, reduce(lambda a, b: a & b, cond), "left")
-    out = hit.groupBy(*[pt[c] for c in points.columns]).agg(F.min("__best").alias("__best"))
-    return out.select(*points.columns, *[F.col(f"__best.p.{c}").alias(c) for c in payload])
+    cover = _cover(sessions.select(*ikeys, best.alias("__best"), F.col(start).alias("__from"), F.col(end).alias("__to")),
+                   F.col("__from"), F.col("__to"))
+    whole = cover.filter("__level >= 0").groupBy(*ikeys, "__level", "__block", "__fan").agg(F.min("__best").alias("__best"))
+    none = F.expr("cast(null as timestamp_ntz)")
+    iv = _dealt(whole.withColumn("__from", none).withColumn("__to", none).unionByName(cover.filter("__level < 0")))
+    pt = _probe(_asked(points, ts, pkeys), cover)
+    met = _meet(pt, iv, F.col("__from").isNull() | F.col("__ts").between(F.col("__from"), F.col("__to")), ikeys)
+    found = met.groupBy("__ts", *[f"__k{i}" for i in range(len(keys))]).agg(F.min("__best").alias("__best"))
+    out = _answered(points, found, ts, pkeys, "left")
+    return out.select(*[F.col(c) for c in points.columns], *[F.col(f"__best.p.{c}").alias(c) for c in payload])
 
 
 def overlap_join(left: DataFrame, right: DataFrame, ls: str, le: str, rs: str, re: str,

@@ -29,17 +29,29 @@ def unassigned_by_date(points: DataFrame, pairs: DataFrame, pid: str, ts: str) -
 def same_day_join(points: DataFrame, sessions: DataFrame, ts: str, start: str, end: str,
                   keys: list[tuple[str, str]] = ()) -> DataFrame:
     """Points inside a session, looked up on the session's start day only."""
-    return stab_join(points, sessions, ts, start, end, keys).filter(F.to_date(ts) == F.to_date(start))
+    day = sessions.withColumn("__sday", F.to_date(start)) \
+        .withColumn("__until", F.least(F.col(end), F.col("__sday").cast("timestamp_ntz") + F.expr("INTERVAL '23:59:59.999999' HOUR TO SECOND")))
+    pts = points.withColumn("__pday", F.to_date(ts))
+    return stab_join(pts, day, ts, start, "__until", [*keys, ("__pday", "__sday")]).drop("__sday", "__pday", "__until")
 
 
 def overlap_pairs(df: DataFrame, sid: str, start: str, end: str, keys: list[str] = ()) -> DataFrame:
-    """Unordered overlapping pairs with hours; over one hour is critical."""
+    """Unordered overlapping pairs with hours; over one hour is critical.
+
+    One lookup finds each pair once: the later start (at equal starts, the larger id) lies in the other interval.
+    """
     cols = [sid, start, end, *keys]
-    a = df.select(*[F.col(c).alias(f"a_{c}") for c in cols])
-    b = df.select(*[F.col(c).alias(f"b_{c}") for c in cols])
-    j = overlap_join(a, b, f"a_{start}", f"a_{end}", f"b_{start}", f"b_{end}", [(f"a_{k}", f"b_{k}") for k in keys])
+    real = df.filter(F.col(start) < F.col(end))
+    late = real.select(*[F.col(c).alias(f"p_{c}") for c in cols])
+    early = real.select(*[F.col(c).alias(f"q_{c}") for c in cols])
+    j = stab_join(late, early, f"p_{start}", f"q_{start}", f"q_{end}", [(f"p_{k}", f"q_{k}") for k in keys])
+    ps, qs, pi, qi = F.col(f"p_{start}"), F.col(f"q_{start}"), F.col(f"p_{sid}"), F.col(f"q_{sid}")
+    j = j.filter((ps < F.col(f"q_{end}")) & (pi != qi) & ((ps > qs) | ((ps == qs) & (pi > qi))))
+    first = pi < qi
+    j = j.select(*[F.when(first, F.col(f"p_{c}")).otherwise(F.col(f"q_{c}")).alias(f"a_{c}") for c in cols],
+                 *[F.when(first, F.col(f"q_{c}")).otherwise(F.col(f"p_{c}")).alias(f"b_{c}") for c in cols])
     hours = tc.overlap_hours(f"a_{start}", f"a_{end}", f"b_{start}", f"b_{end}")
-    return j.filter(F.col(f"a_{sid}") < F.col(f"b_{sid}")).withColumn("overlap_hours", hours) \
+    return j.withColumn("overlap_hours", hours) \
         .withColumn("severity", F.when(F.col("overlap_hours") > 1, "critical").otherwise("warning"))
 
 
@@ -50,16 +62,16 @@ def conflicts(sessions: DataFrame, existing: DataFrame, ss: str, se: str, es: st
         .withColumn("conflict_size", F.when(F.col("overlap_hours") < 2.0, "short").otherwise("long"))
 
 
-def conflict_annotate(sessions: DataFrame, found: DataFrame, sid: str, payload: list[str], part_rows: int = 1000) -> DataFrame:
-    """All sessions with conflict count, flag and JSON.  A session with very many conflicts gets
-    several JSON parts (rows ``part`` = 0, 1, ...) instead of one huge array."""
+def conflict_annotate(sessions: DataFrame, found: DataFrame, sid: str) -> DataFrame:
+    """Every session, one row each, with its number of conflicts and a flag."""
     n = found.groupBy(sid).agg(F.count("*").alias("conflict_count"))
-    spread = found.join(n, sid).withColumn("part", F.pmod(F.xxhash64(*payload), F.ceil(F.col("conflict_count") / part_rows)))
-    js = spread.groupBy(sid, "part").agg(F.to_json(F.array_sort(F.collect_list(F.struct(*payload)))).alias("conflicts"))
-    out = sessions.join(n, sid, "left").join(js, sid, "left")
-    return out.withColumn("conflict_count", F.coalesce("conflict_count", F.lit(0))) \
-        .withColumn("has_conflict", F.col("conflict_count") > 0).withColumn("part", F.coalesce("part", F.lit(0).cast("long"))) \
-        .withColumn("conflicts", F.coalesce("conflicts", F.lit("[]")))
+    return sessions.join(n, sid, "left").withColumn("conflict_count", F.coalesce("conflict_count", F.lit(0))) \
+        .withColumn("has_conflict", F.col("conflict_count") > 0)
+
+
+def conflict_rows(found: DataFrame, sid: str, payload: list[str]) -> DataFrame:
+    """One row and one JSON text per conflict, so a session with very many stays spread out."""
+    return found.select(sid, F.to_json(F.struct(*payload)).alias("conflict"))
 
 
 def duplicates_against(batch: DataFrame, existing: DataFrame, sid: str, start: str, end: str) -> DataFrame:

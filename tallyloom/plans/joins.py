@@ -101,11 +101,16 @@ def _(t):
     return _conf(t)[2].select("o_orderkey", "x_key", F.round("overlap_hours", 2).alias("hours"), "conflict_size")
 
 
-@query("conflict_annotate", f"""WITH {CONF_SQL}, g AS (SELECT o_orderkey, count(*) AS n, '[' || string_agg('{{"x_key":' || x_key || '}}', ',' ORDER BY x_key) || ']' AS js FROM cf GROUP BY 1)
- SELECT w.o_orderkey, coalesce(n, 0) AS conflict_count, n IS NOT NULL AS has_conflict, coalesce(js, '[]') AS conflicts FROM win w LEFT JOIN g USING (o_orderkey) WHERE w.o_orderstatus = 'F'""")
+@query("conflict_annotate", f"""WITH {CONF_SQL}, g AS (SELECT o_orderkey, count(*) AS n FROM cf GROUP BY 1)
+ SELECT w.o_orderkey, coalesce(n, 0) AS conflict_count, n IS NOT NULL AS has_conflict FROM win w LEFT JOIN g USING (o_orderkey) WHERE w.o_orderstatus = 'F'""")
 def _(t):
     new, _, c = _conf(t)
-    return J.conflict_annotate(new, c, "o_orderkey", ["x_key"]).select("o_orderkey", "conflict_count", "has_conflict", "conflicts")
+    return J.conflict_annotate(new, c, "o_orderkey").select("o_orderkey", "conflict_count", "has_conflict")
+
+
+@query("conflict_rows", f"""WITH {CONF_SQL} SELECT o_orderkey, '{{"x_key":' || x_key || '}}' AS conflict FROM cf""")
+def _(t):
+    return J.conflict_rows(_conf(t)[2], "o_orderkey", ["x_key"])
 
 
 def _batch(t):
