@@ -156,10 +156,18 @@ def _naive(t: Column, layout: str) -> Column:
     return F.try_to_timestamp(t, F.lit(layout)).cast("timestamp_ntz")
 
 
+_ISO = r"^\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?$"
+
+
+def _iso(t: Column) -> Column:
+    """What the layouts leave of the ISO forms: a date alone, no seconds, a fraction after a blank."""
+    return F.when(t.rlike(_ISO), t.try_cast("timestamp_ntz"))
+
+
 def parse_stamp(text) -> Column:
-    """Wall-clock timestamp of the first layout that reads the text (offset dropped), else null."""
+    """Wall-clock timestamp of the first layout that reads the text, else of an ISO form (offset dropped), else null."""
     t = F.regexp_replace(clean_stamp(text), _ZONE_TAIL, "")
-    return F.coalesce(*[_naive(t, lay) for _, lay, _ in TIMESTAMP_LAYOUTS])
+    return F.coalesce(*[_naive(t, lay) for _, lay, _ in TIMESTAMP_LAYOUTS], _iso(t))
 
 
 def stamp_layout(text) -> Column:

@@ -25,8 +25,8 @@ def _(t):
     e = t.events
     tm = F.when(F.col("event_type") == "error", "??").otherwise(stamp("ts", "M/d/yyyy h:mm:ss a"))
     K.write_csv(e.filter("event_type in ('view','error')").select(tm.alias("TimeGenerated"), F.col("event_type").alias("EventType"), F.col("event_id").alias("EventID"), F.col("user_id").alias("ComputerName")), f"{d}/a")
-    K.write_csv(e.filter("event_type in ('click','purchase')").select(F.col("event_id").alias("ID"), stamp("ts", "yyyy-MM-dd HH:mm:ss").alias("DateTime"), F.col("event_type").alias("Type"), F.col("user_id").alias("Computer"), F.col("value").alias("extra")), f"{d}/b")
-    K.write_csv(e.filter("event_type = 'signup'").select(stamp("ts", "yyyy-MM-dd HH:mm:ss").alias("DateTime"), F.col("event_type").alias("Type")), f"{d}/c")
+    K.write_csv(e.filter("event_type in ('click','purchase')").select(F.col("event_id").alias("Event ID"), stamp("ts", "yyyy-MM-dd HH:mm:ss").alias("Time"), F.col("event_type").alias("Event Type"), F.col("user_id").alias("Computer"), F.col("value").alias("extra")), f"{d}/b")
+    K.write_csv(e.filter("event_type = 'signup'").select(stamp("ts", "yyyy-MM-dd HH:mm:ss").alias("Time"), F.col("event_type").alias("Event Type")), f"{d}/c")
     return S.scan_csv_alias(t.spark, f"{d}/*").select("timestamp", "event_type", "event_id", "computer_name")
 
 
@@ -68,20 +68,20 @@ def _(t):
 def _(t):
     o = t.orders
     line = F.when(F.col("o_orderstatus") == "O", "a|b|c").otherwise(F.concat_ws("|", stamp("o_orderdate", "yyyy-MM-dd HH:mm:ss"), "o_orderkey", F.lit("msg"), "o_custkey", F.lit("h|tail")))
-    return S.git_log_lines(o.select(line.alias("value")), "value").select("epoch", "author")
+    d = scratch_dir(t.spark, "gitlog")
+    o.select(line.alias("value")).write.text(d)
+    return S.ingest_from_git_log(t.spark, d).select("epoch", "author")
 
 
 @query("scan_json_records", f"""SELECT {txt('o_orderdate')} AS timestamp, o_orderpriority AS repo_name, CAST(o_custkey AS VARCHAR) AS author, o_orderstatus = 'F' AS is_eligible FROM orders""")
 def _(t):
+    """Arrays of about a hundred records, one file for each input partition and array; their number grows with the table."""
     d = scratch_dir(t.spark, "json")
-    o = t.orders.select(F.struct(stamp("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("datetime"), F.col("o_orderpriority").alias("repository"), F.col("o_custkey").alias("author"),
-                                 F.lit("m").alias("subject"), F.col("o_orderkey").cast("string").alias("sha"), (F.col("o_orderstatus") == "F").alias("flagged")).alias("r"), F.pmod("o_orderkey", F.lit(997)).alias("g"))
-    o.groupBy("g").agg(F.to_json(F.collect_list("r")).alias("value")).select("value").write.option("lineSep", "\n").text(d)
-    # one array per file is the usual form; arrays of a few rows each keep any file readable line by line
-    lines = t.spark.read.text(d)
-    rec = "datetime string, repository string, author string, subject string, sha string, flagged boolean"
-    r = lines.select(F.explode(F.from_json("value", f"array<struct<{rec}>>")).alias("r")).select("r.*")
-    return S.commit_records(r, flag="flagged").select("timestamp", "repo_name", "author", "is_eligible")
+    o = t.orders.select(F.struct(stamp("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("commit_time"), F.col("o_orderpriority").alias("repository"), F.col("o_custkey").alias("author"),
+                                 F.lit("m").alias("msg"), F.col("o_orderkey").cast("string").alias("hash"), (F.col("o_orderstatus") == "F").alias("wbso")).alias("r"),
+                        F.floor(F.col("o_orderkey") / 2000).alias("g"))
+    o.groupBy("g").agg(F.to_json(F.collect_list("r")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(d)
+    return S.scan_json_records(t.spark, d).select("timestamp", "repo_name", "author", "is_eligible")
 
 
 @query("scan_json_polymorphic", "SELECT event_id, event_type FROM events")
@@ -94,7 +94,9 @@ def _(t):
         text = text.when(F.col("k") == i, F.concat(F.lit('{"' + w + '": '), arr, F.lit("}")))
     many = e.withColumn("value", text.otherwise(None))
     bare = many.filter("k = 4").select(F.explode("rs").alias("r")).select(F.to_json("r").alias("value"))
-    return S.polymorphic_records(many.filter("k < 4").select("value").unionByName(bare), "value", "event_id bigint, event_type string")
+    d = scratch_dir(t.spark, "poly")
+    many.filter("k < 4").select("value").unionByName(bare).write.text(d)
+    return S.scan_json_polymorphic(t.spark, d, "event_id bigint, event_type string", one_per="line")
 
 
 @query("scan_eval_dataset", "SELECT text AS question, 1 AS n FROM benchmark WHERE item_id % 4 <> 3 AND item_id % 3 <> 2")

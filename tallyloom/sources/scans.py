@@ -3,40 +3,67 @@ parse can be kept aside instead of vanishing."""
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions import timecols as tc
-from ..scale import bounded_rows
 
 # Accepted header names and the column each stands for.
-EVENT_ALIASES = {"TimeGenerated": "timestamp", "DateTime": "timestamp", "Timestamp": "timestamp",
-                 "EventType": "event_type", "Type": "event_type", "EventID": "event_id", "EventId": "event_id", "ID": "event_id",
-                 "ComputerName": "computer_name", "Computer": "computer_name"}
-COMMIT_ALIASES = {"date": "timestamp", "datetime": "timestamp", "repository": "repo_name", "repo": "repo_name",
-                  "author_name": "author", "commit_message": "message", "subject": "message", "commit_hash": "hash", "sha": "hash"}
+EVENT_ALIASES = {"TimeGenerated": "timestamp", "Time Generated": "timestamp", "Time": "timestamp",
+                 "EventType": "event_type", "Event Type": "event_type", "EventID": "event_id", "Event ID": "event_id",
+                 "ComputerName": "computer_name", "Computer Name": "computer_name", "Computer": "computer_name"}
+COMMIT_ALIASES = {"commit_time": "timestamp", "commit_timestamp": "timestamp", "time": "timestamp",
+                  "repository": "repo_name", "repo": "repo_name", "commit_message": "message", "msg": "message",
+                  "wbso_eligible": "is_wbso", "wbso": "is_wbso"}
+
+
+def first_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """``(file, line)``: the first line of every text file of a folder."""
+    options = {"pathGlobFilter": glob} if glob else {}
+    lines = spark.read.text(path, **options).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return lines.filter("block = 0").groupBy("file").agg(F.first("value").alias("line"))
+
+
+def csv_groups(spark: SparkSession, path: str, glob: str | None = None) -> list[tuple[list[str], DataFrame]]:
+    """Header names and rows (all text) of the CSV files of a folder, one pair for each distinct header.
+
+    Files of different headers are never read together, so columns cannot shift; quoted line breaks,
+    commas and quotes stay inside their field.  The driver holds file names and header lines, no more
+    than the file listing that any read makes.
+    """
+    by_head: dict[str, list[str]] = {}
+    for file, line in first_lines(spark, path, glob).collect():
+        by_head.setdefault(line, []).append(file)
+    out = []
+    for head, files in sorted(by_head.items()):
+        names: list[str] = []
+        for raw in next(csv.reader([head.lstrip("\ufeff")])):
+            name, n = raw.strip().strip('"'), 1
+            while (name if n == 1 else f"{name}_{n}") in names:
+                n += 1
+            names.append(name if n == 1 else f"{name}_{n}")
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        out.append((names, spark.read.schema(schema).csv(sorted(files), header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")))
+    return out
 
 
 def scan_csv_alias(spark: SparkSession, path: str, aliases: dict[str, str] = EVENT_ALIASES,
                    required: tuple[str, ...] = ("timestamp", "event_type", "event_id", "computer_name")) -> DataFrame:
     """All CSV files of a folder under canonical names.  Files without a canonical column are
-    skipped; rows whose timestamp does not parse are dropped; no usable file is an error.
-
-    Only the distinct header lines come to the driver; which file has which header stays a table.
-    """
-    lines = spark.read.text(path, pathGlobFilter="*.csv").select(
-        "value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
-    heads = lines.filter("b = 0").groupBy("f").agg(F.first("value").alias("h"))
+    skipped; rows whose timestamp does not parse are dropped; no usable file is an error."""
     out = None
-    for (head,) in bounded_rows(heads.select("h").distinct().orderBy("h"), "csv headers"):
-        cols = [c.strip().strip('"') for c in head.lstrip("﻿").split(",")]
-        names = [aliases.get(c, c) for c in cols]
-        if not set(required) <= set(names):
+    for names, df in csv_groups(spark, path, "*.csv"):
+        known = [aliases.get(n, n) for n in names]
+        if not set(required) <= set(known):
             continue
-        mine = lines.join(heads.filter(F.col("h") == head).select("f"), "f", "left_semi").filter(F.col("value") != head)
-        row = F.from_csv("value", ", ".join(f"`{n}` string" for n in names))
-        df = mine.select(row.alias("r")).select("r.*").withColumn("timestamp", tc.parse_stamp("timestamp")).filter("timestamp is not null")
+        first = {k: n for k, n in reversed(list(zip(known, names)))}
+        df = df.select(*[F.col(f"`{n}`").alias(k) for k, n in first.items()])
+        df = df.withColumn("timestamp", tc.parse_stamp("timestamp")).filter("timestamp is not null")
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
         raise FileNotFoundError(f"no usable csv in {path}")
@@ -55,15 +82,24 @@ def fuzzy_columns(names: list[str], wanted: list[str]) -> dict[str, str]:
 
 
 def scan_csv_bom(spark: SparkSession, path: str, wanted: list[str] = ("DateTime", "EventId", "EventType", "Message", "RecordId")) -> DataFrame:
-    df = spark.read.option("encoding", "UTF-8").csv(path, header=True)
-    got = fuzzy_columns(df.columns, list(wanted))
-    return df.select(*[(F.col(f"`{got[w]}`") if w in got else F.lit(None).cast("string")).alias(w) for w in wanted])
+    """The wanted columns of every file by its own header; a file without one of them has nulls there."""
+    out = None
+    for names, df in csv_groups(spark, path):
+        got = fuzzy_columns(names, list(wanted))
+        df = df.select(*[(F.col(f"`{got[w]}`") if w in got else F.lit(None).cast("string")).alias(w) for w in wanted])
+        out = df if out is None else out.unionByName(df)
+    if out is None:
+        raise FileNotFoundError(f"no csv in {path}")
+    return out
 
 
 def commit_lines(df: DataFrame, line: str, file: Column, sep: str = "|") -> DataFrame:
     """datetime|epoch|subject|author|hash; lines without five non-blank fields or a readable time go."""
-    p = F.split(F.col(line), "\\" + sep, -1)
-    d = df.withColumn("__p", p).filter(F.size("__p") == 5)
+    if sep == ",":
+        p = F.from_csv(F.col(line), "a string, b string, c string, d string, e string, more string", {"escape": '"'})
+        d = df.withColumn("__c", p).filter("__c.more is null").withColumn("__p", F.array(*[F.coalesce(f"__c.{k}", F.lit("")) for k in "abcde"]))
+    else:
+        d = df.withColumn("__p", F.split(F.col(line), "\\" + sep, -1)).filter(F.size("__p") == 5)
     d = d.filter(F.forall("__p", lambda x: F.trim(x) != ""))
     names = ["datetime", "epoch", "message", "author", "hash"]
     d = d.select(tx.stem(file).alias("repo_name"), *[F.trim(F.col("__p")[i]).alias(n) for i, n in enumerate(names)])
@@ -76,13 +112,13 @@ def scan_csv_pipe(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_csv_delim_fallback(spark: SparkSession, path: str) -> DataFrame:
-    """Pipe or comma, decided per file from its lines; both kinds end in one table."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("f"))
-    kind = raw.groupBy("f").agg(F.bool_or(F.contains("value", F.lit("|"))).alias("pipe"))
-    j = raw.join(kind, "f").filter("not rlike(value, '^datetime[|,]')")
-    pipe = commit_lines(j.filter("pipe"), "value", F.col("f"))
-    comma = commit_lines(j.filter("not pipe"), "value", F.col("f"), ",")
-    return pipe.unionByName(comma)
+    """Pipe or comma, decided for each file by its first line (five fields at pipes, or else commas);
+    both kinds end in one table.  A pipe or comma inside a subject decides nothing."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    kind = first_lines(spark, path).select("file", (F.size(F.split("line", r"\|", -1)) == 5).alias("pipe"))
+    j = raw.join(kind, "file").filter("not rlike(value, '^\ufeff?datetime[|,]')")
+    name = F.regexp_extract("file", r"([^/]+)$", 1)
+    return commit_lines(j.filter("pipe"), "value", name).unionByName(commit_lines(j.filter("not pipe"), "value", name, ","))
 
 
 def git_log_lines(df: DataFrame, line: str) -> DataFrame:
@@ -98,7 +134,7 @@ def ingest_from_git_log(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_json_records(spark: SparkSession, path: str, aliases: dict[str, str] = COMMIT_ALIASES,
                       required: tuple[str, ...] = ("timestamp", "repo_name", "author", "message", "hash"),
-                      flag: str = "is_eligible") -> DataFrame:
+                      flag: str = "is_wbso") -> DataFrame:
     """JSON arrays of records under canonical names; a file that is no list is an error."""
     whole = spark.read.text(path, wholetext=True)
     if not whole.filter("not rlike(value, '^\\\\s*\\\\[')").isEmpty():
@@ -108,7 +144,7 @@ def scan_json_records(spark: SparkSession, path: str, aliases: dict[str, str] =
 
 def commit_records(df: DataFrame, aliases: dict[str, str] = COMMIT_ALIASES,
                    required: tuple[str, ...] = ("timestamp", "repo_name", "author", "message", "hash"),
-                   flag: str = "is_eligible") -> DataFrame:
+                   flag: str = "is_wbso") -> DataFrame:
     """Records under canonical names with a typed time and flag."""
     df = df.withColumnsRenamed({k: v for k, v in aliases.items() if k in df.columns and v not in df.columns})
     gone = [c for c in required if c not in df.columns]
@@ -124,17 +160,25 @@ SESSION_WRAPPERS = ["work_sessions", "sessions", "synthetic_sessions"]
 
 def polymorphic_records(df: DataFrame, text: str, record: str) -> DataFrame:
     """One JSON text per row: a list, an object wrapping a list, or one bare object.
-    ``record`` is the DDL of a record; unreadable records come out in ``_rejected`` rows."""
+    ``record`` is the DDL of a record.  Texts that hold none are left to ``polymorphic_rejects``."""
     arr = f"array<struct<{record}>>"
     t = F.trim(F.col(text))
     wrapped = F.coalesce(*[F.from_json(F.get_json_object(t, f"$.{k}"), arr) for k in SESSION_WRAPPERS])
     rows = F.when(F.startswith(t, F.lit("[")), F.from_json(t, arr)).otherwise(
         F.coalesce(wrapped, F.array(F.from_json(t, f"struct<{record}>"))))
-    return df.select(F.explode(rows).alias("r")).select("r.*")
+    return df.select(F.explode(rows).alias("r")).filter("r is not null").select("r.*")
+
+
+def polymorphic_rejects(df: DataFrame, text: str) -> DataFrame:
+    """The texts that are no JSON list and no JSON object, as they stand."""
+    t = F.trim(F.col(text))
+    kind = F.when(F.startswith(t, F.lit("[")), F.json_array_length(t).isNotNull()).otherwise(F.json_object_keys(t).isNotNull())
+    return df.filter(~F.coalesce(kind, F.lit(False))).select(F.col(text).alias("_rejected"))
 
 
-def scan_json_polymorphic(spark: SparkSession, path: str, record: str) -> DataFrame:
-    return polymorphic_records(spark.read.text(path, wholetext=True), "value", record)
+def scan_json_polymorphic(spark: SparkSession, path: str, record: str, one_per: str = "file") -> DataFrame:
+    """Files of one JSON text each, or with ``one_per="line"`` of one on each line."""
+    return polymorphic_records(spark.read.text(path, wholetext=one_per == "file"), "value", record)
 
 
 def eval_items(df: DataFrame) -> DataFrame:
@@ -164,7 +208,8 @@ def scan_text_files(spark: SparkSession, path: str) -> DataFrame:
 
 # Admitted extensions, media types and the size limit.
 ADMITTED = ["pdf", "docx", "md", "txt", "html", "htm"]
-ADMITTED_MEDIA = ["application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "text/markdown", "text/plain", "text/html"]
+ADMITTED_MEDIA = ["application/pdf", "application/msword", "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+                  "text/plain", "text/markdown", "text/html", "text/csv", "application/json"]
 MAX_BYTES = 100 * 1024 * 1024
 
 
@@ -183,7 +228,7 @@ def file_listing(spark: SparkSession, path: str) -> DataFrame:
         "path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def scan_chunks(chunks: DataFrame, limit: int | None = 100_000) -> DataFrame:
+def scan_chunks(chunks: DataFrame, limit: int | None = None) -> DataFrame:
     """Chunks with an index; text falls back to the metadata.  ``limit=None`` reads all."""
     d = chunks.filter("chunk_index >= 0").withColumn(
         "text", F.coalesce("text", F.try_element_at("metadata", F.lit("text")), F.lit("")))
