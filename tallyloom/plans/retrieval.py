@@ -109,8 +109,8 @@ def _(t):
     return R.minmax(h, "value").select("query_id", "event_id", F.round("score", 6).alias("score"))
 
 
-# text and vector of the same record: documents that have an embedding; each question looks from the mean vector of one label
-HYB_DOCS = "SELECT doc_id AS id, text FROM documents JOIN embeddings ON doc_id = vec_id"
+# the lexical list covers every document, the dense one those that have a vector; each question looks from the mean vector of one label
+HYB_DOCS = "SELECT doc_id AS id, text FROM documents"
 
 
 def rrf_sql(k, lists, out="fz"):
@@ -132,7 +132,7 @@ def hybrid_sql(k):
 def hybrid_parts(t):
     c = t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id")).select("doc_id", "text", "embedding")
     q = t.benchmark.withColumn("l", F.col("item_id") % 10).join(centroids(t).withColumnRenamed("query_id", "l"), "l").select("item_id", "text", "v")
-    return c, q, lambda n: R.dense_topk(c, "doc_id", "embedding", q, "item_id", "v", n), lambda n: R.bm25_topk(c, "doc_id", "text", t.benchmark, "item_id", "text", n)
+    return c, q, lambda n: R.dense_topk(c, "doc_id", "embedding", q, "item_id", "v", n), lambda n: R.bm25_topk(t.documents, "doc_id", "text", t.benchmark, "item_id", "text", n)
 
 
 @query("rrf", f"WITH {CENTROIDS}, {ROUGH}, {dense_sql(20)}, {dense_sql(20, src='rv', out='d2')}, {rrf_sql(20, ['dh', 'd2'])} {PICK} fz")

@@ -73,14 +73,14 @@ def _(t):
     return r.groupBy("key").agg(F.max(F.struct("us", "rid", "value")).alias("l")).select("key", "l.value", "l.us")
 
 
-@query("stream_ingest", f"WITH {CHUNKS_SQL} SELECT DISTINCT sha256(text) AS content_hash FROM ch WHERE text <> ''")
+@query("stream_ingest", f"WITH {CHUNKS_SQL} SELECT DISTINCT doc_id, sha256(text) AS content_hash FROM ch WHERE text <> ''")
 def _(t):
     docs = J.stream_table(t.spark, t.folder, "documents")
 
     def to_chunks(b):
         return C.records_to_embed(C.chunk_table(b.select("doc_id", "text"), "doc_id", F.split("text", "\n"), "fixed"), "doc_id")
 
-    return J.ingest(docs, to_chunks, scratch_dir(t.spark, "ingest"), "doc_id", "content_hash").select("content_hash")
+    return J.ingest(docs, to_chunks, scratch_dir(t.spark, "ingest"), "doc_id", "content_hash").select("doc_id", "content_hash")
 
 
 @query("stream_late_rows", "SELECT count(*) AS on_time, 0 AS late FROM events")

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import privacy as pv
 from ..functions.timecols import micros
@@ -118,23 +117,24 @@ def ttl_kv(df: DataFrame, keys: list[str], ts: str, rid: str, value: str, ttl_se
 
 
 def ingest(df: DataFrame, to_chunks, out: str, doc: str, content_hash: str) -> DataFrame:
-    """New documents to chunks; a batch writes its own folder, so a retried batch replaces itself,
-    and chunks whose content is already stored are left out."""
+    """Documents to chunks: ``(chunk columns)`` of the last batch in which each document came.
+
+    A batch writes folders of its own, so a retried batch replaces itself, and reads nothing stored.  A
+    document that comes again replaces its earlier chunks, down to none; equal chunks of
+    different documents each stay, so deleting one document takes no text from another.
+    """
     spark = df.sparkSession
-    data = f"{out}/chunks"
 
     def step(batch: DataFrame, batch_id: int):
-        chunks = to_chunks(batch).dropDuplicates([content_hash])
-        old = spark.read.schema(StructType([*chunks.schema.fields, StructField("batch", IntegerType())])).parquet(data).filter(F.col("batch") != batch_id) if _exists(spark, data) else None
-        if old is not None:
-            chunks = chunks.join(old.select(content_hash), content_hash, "left_anti").select(*chunks.columns)
-        chunks.write.mode("overwrite").parquet(f"{data}/batch={batch_id}")
+        to_chunks(batch).dropDuplicates([doc, content_hash]).write.mode("overwrite").parquet(f"{out}/chunks/batch={batch_id}")
+        batch.select(doc).distinct().write.mode("overwrite").parquet(f"{out}/seen/batch={batch_id}")
 
     q = df.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return spark.read.parquet(data)
+    last = spark.read.parquet(f"{out}/seen").groupBy(doc).agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{out}/chunks").join(last, [doc, "batch"]).drop("batch")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -81,3 +81,10 @@ def test_keep_newest_in_segments(spark, segments):
     df = spark.range(200).select(F.lit("hot").alias("r"), (F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("id").cast("int"))).alias("ts"), "id")
     got = M.keep_newest(df.repartition(7), ["r"], "ts", "id", 30)
     assert sorted(r.id for r in got.collect()) == list(range(170, 200))
+
+
+def test_a_document_that_comes_again_replaces_its_chunks(spark):
+    parts = [[(1, "a"), (1, "b"), (2, "a")], [(1, "c"), (3, "a")], [(2, None)]]
+    s = batches(spark, parts, "doc long, text string")
+    got = J.ingest(s, lambda b: b.filter("text is not null").withColumn("h", F.md5("text")), scratch_dir(spark, "i"), "doc", "h").collect()
+    assert sorted((r.doc, r.text) for r in got) == [(1, "c"), (3, "a")]
