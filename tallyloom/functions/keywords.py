@@ -3,9 +3,11 @@ enter the plan as literal expressions, so classifying never joins or shuffles.""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scale import first_per
+
 
 def any_of(text: Column, words: list[str]) -> Column:
     hit = F.lit(False)
@@ -58,7 +60,7 @@ DECLARABLE = [
     ("work_sessions", ["development", "coding", "programming", "implementation", "ai framework", "agent development",
                        "security", "privacy", "research", "investigation", "testing", "debugging", "documentation",
                        "technical writing", "architecture", "system design", "algorithm", "optimization"],
-     ["work", "development", "research", "ai", "tech"], 1.0),
+     ["work", "development", "research", "wbso", "ai", "tech"], 1.0),
     ("technical_meetings", ["technical review", "code review", "architecture review", "security review", "privacy review",
                             "system design", "technical discussion", "development planning"],
      ["work", "development", "tech meetings"], 0.8),
@@ -108,6 +110,14 @@ def repository_category(description: Column) -> Column:
     return out.otherwise("GENERAL_RD")
 
 
+def session_category(sessions: DataFrame, sid: str, repositories: DataFrame, description: str, order: str) -> DataFrame:
+    """The commonest repository category of each session (ties: earliest, then by name); UNKNOWN without a repository."""
+    each = repositories.filter(F.col(description).isNotNull()).select(sid, F.col(order).alias("__o"), repository_category(F.col(description)).alias("category"))
+    n = each.groupBy(sid, "category").agg(F.count("*").alias("n"), F.min("__o").alias("__o"))
+    best = first_per(n, [sid], [F.desc("n"), "__o", "category"]).drop("__o")
+    return sessions.join(best, sid, "left").withColumns({"category": F.coalesce("category", F.lit("UNKNOWN")), "n": F.coalesce("n", F.lit(0).cast("long"))})
+
+
 def activity_score(activity: dict, repo_text: Column, commit_text: Column) -> Column:
     """Keyword hits on the description, on commit text (half weight per keyword) and the best
     sub-activity (half weight), divided by what could be reached.  Null commit text = no commits."""

@@ -162,7 +162,8 @@ def preview(text, n: int = 200) -> Column:
 # File extensions and their media types.
 MEDIA_TYPES = {
     "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
-    "doc": "application/msword", "md": "text/markdown", "txt": "text/plain", "html": "text/html", "htm": "text/html"}
+    "doc": "application/msword", "md": "text/markdown", "txt": "text/plain", "html": "text/html", "htm": "text/html",
+    "csv": "text/csv", "json": "application/json"}
 
 
 def extension(path) -> Column:

@@ -120,8 +120,9 @@ def _(t):
  SELECT o_orderkey, er AS errors, warnings, er = '' AS is_valid FROM e""")
 def _(t):
     d = _typed(t).withColumn("source", F.when(F.col("o_orderstatus") == "P", "imported").otherwise("real")) \
-        .withColumn("n", (F.col("o_orderkey") % 3).cast("int"))
-    checks = P.session_row_checks(["o_orderkey", "start", "end", "category"], "start", "end", "work_hours", "duration_hours", "flag",
+        .withColumn("n", (F.col("o_orderkey") % 3).cast("int")).withColumn("date", F.to_date("start")).withColumn("synthetic", F.lit(False))
+    required = ["o_orderkey", "start", "end", "work_hours", "date", "kind", "flag", "category", "synthetic", "n", "source"]
+    checks = P.session_row_checks(required, "start", "end", "work_hours", "duration_hours", "flag",
                                   "category", "reason", "kind", "source", "n", F.array("o_orderpriority"))
     v = P.validate_rows(d, checks)
     return v.select("o_orderkey", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), "is_valid")
@@ -202,13 +203,19 @@ def repo_case(col):
     return "CASE " + " ".join(arms) + " ELSE 'GENERAL_RD' END"
 
 
-@query("infer_category", f"""WITH a AS (SELECT conv_id, turn, {repo_case('lower(text)')} AS category FROM conversations),
- b AS (SELECT conv_id, category, count(*) AS n, min(turn) AS f FROM a GROUP BY 1, 2)
- SELECT conv_id, category, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, f, category) AS rn FROM b) WHERE rn = 1""")
+@query("infer_category", f"""WITH a AS (SELECT c_custkey, o_orderkey, {repo_case('lower(o_orderpriority)')} AS category FROM customer JOIN orders ON c_custkey = o_custkey),
+ b AS (SELECT c_custkey, category, count(*) AS n, min(o_orderkey) AS f FROM a GROUP BY 1, 2),
+ c AS (SELECT c_custkey, category, n FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY n DESC, f, category) AS rn FROM b) WHERE rn = 1)
+ SELECT 'c' || c_custkey AS session, coalesce(category, 'UNKNOWN') AS category, coalesce(n, 0) AS n FROM customer LEFT JOIN c USING (c_custkey)
+ UNION ALL SELECT 'v' || conv_id, category, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, f, category) AS rn FROM (
+  SELECT conv_id, {repo_case('lower(text)')} AS category, count(*) AS n, min(turn) AS f FROM conversations GROUP BY 1, 2)) WHERE rn = 1""")
 def _(t):
-    c = t.conversations.select("conv_id", "turn", kw.repository_category(F.col("text")).alias("category"))
-    n = c.groupBy("conv_id", "category").agg(F.count("*").alias("n"), F.min("turn").alias("f"))
-    return first_per(n, ["conv_id"], [F.desc("n"), "f", "category"]).drop("f")
+    """Sessions of two kinds: customers with their orders (some have none) and conversations with their turns."""
+    repos = t.orders.select(F.concat(F.lit("c"), "o_custkey").alias("session"), F.col("o_orderkey").alias("at"), F.col("o_orderpriority").alias("about")) \
+        .unionByName(t.conversations.select(F.concat(F.lit("v"), "conv_id").alias("session"), F.col("turn").alias("at"), F.col("text").alias("about")))
+    sessions = t.customer.select(F.concat(F.lit("c"), "c_custkey").alias("session")).unionByName(
+        t.conversations.select(F.concat(F.lit("v"), "conv_id").alias("session")).distinct())
+    return kw.session_category(sessions, "session", repos, "about", "at")
 
 
 @query("author_eligibility", """SELECT o_orderkey, contains(lower(o_orderpriority), 'high') AND o_orderdate >= TIMESTAMP '1997-01-01' AS eligible FROM orders""")

@@ -80,3 +80,14 @@ def test_accepted_names_and_media_types():
     assert S.EVENT_ALIASES == {"TimeGenerated": "timestamp", "Time Generated": "timestamp", "Time": "timestamp", "EventType": "event_type", "Event Type": "event_type",
                                "EventID": "event_id", "Event ID": "event_id", "ComputerName": "computer_name", "Computer Name": "computer_name", "Computer": "computer_name"}
     assert {"application/msword", "text/csv", "application/json", "text/plain"} <= set(S.ADMITTED_MEDIA) and len(S.ADMITTED_MEDIA) == 8
+
+
+def test_session_category_and_fixed_rules(spark):
+    from tallyloom.functions import keywords as kw
+    from tallyloom.functions import text as tx
+
+    ses = spark.createDataFrame([("a",), ("b",), ("c",)], "s string")
+    repos = spark.createDataFrame([("a", 1, "an AI agent"), ("a", 2, "ai framework"), ("a", 0, "audit log"), ("b", 1, None)], "s string, o int, d string")
+    assert {r.s: (r.category, r.n) for r in kw.session_category(ses, "s", repos, "d", "o").collect()} == {"a": ("AI_FRAMEWORK", 2), "b": ("UNKNOWN", 0), "c": ("UNKNOWN", 0)}
+    assert kw.DECLARABLE[0][2] == ["work", "development", "research", "wbso", "ai", "tech"]
+    assert tx.MEDIA_TYPES["csv"] == "text/csv" and tx.MEDIA_TYPES["json"] == "application/json"
