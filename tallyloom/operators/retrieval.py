@@ -20,7 +20,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as tx
 from ..functions.vectors import TopK
-from ..scale import DRIVER_ROWS, bounded_rows, first_per, setting, spread
+from ..scale import DRIVER_ROWS, cut_lineage, first_per, setting, spread
 
 _SQL_TYPES = {"bigint": pa.int64(), "int": pa.int64(), "string": pa.string()}
 
@@ -111,24 +111,20 @@ def bm25_topk(corpus: DataFrame, rid: str, text: str, queries: DataFrame, qid: s
     q = queries.select(qid, tx.tokens(qtext).alias("qt")).filter(F.size("qt") > 0)
     idf = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     terms = terms.withColumn("idf", idf).persist()  # one row per distinct word; used twice below
-    asked = q.select(F.explode("qt").alias("term")).distinct()
-    # one job: mean idf over the vocabulary, and the idf of the asked terms (bounded by the block)
     mean = terms.agg(F.avg("idf")).first()[0] or 0.0
-    lookup = [tuple(r) for r in bounded_rows(terms.join(asked, "term", "left_semi").select("term", "idf"), "query words", 1 << 20)]
+    # each query carries the idf of its own words, so no list of all words is needed anywhere
+    asked = q.select(qid, F.explode("qt").alias("term")).join(terms.select("term", "idf"), "term", "left")
+    weighed = F.when(F.col("idf").isNotNull(), F.struct("term", "idf"))
+    q = cut_lineage(asked.groupBy(qid).agg(F.sort_array(F.collect_list(weighed)).alias("qt")))
     terms.unpersist()
 
     def prepare(rows):
-        words = sorted({w for r in rows for w in r[1]})
-        asked_here = set(words)
-        got = {t: v for t, v in lookup if t in asked_here}
-        words = [w for w in words if w in got]
+        words = sorted({t for r in rows for t, _ in r[1]})
         at = {w: i for i, w in enumerate(words)}
         c = np.zeros((len(words), len(rows)))
         for j, r in enumerate(rows):
-            for w in r[1]:
-                if w in at:
-                    v = got[w]
-                    c[at[w], j] += v if v >= 0 else EPSILON * mean
+            for w, v in r[1]:
+                c[at[w], j] += v if v >= 0 else EPSILON * mean
         return words, c
 
     def score(ids, col, prep):

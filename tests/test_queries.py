@@ -6,6 +6,7 @@ import pytest
 from check import compare, duck
 
 import __spark_entry__ as entry
+from tallyloom.plans import load_all
 
 SMALL = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 
@@ -15,7 +16,7 @@ def con():
     return duck(SMALL)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(load_all()[0]))
 def test_query(spark, con, name):
     status, _, _, msg = compare(spark, con, SMALL, name)
     assert status != "FAIL", msg
