@@ -10,9 +10,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scale import first_per
 from .common import given, mapped, text_or_empty
 
-SAMPLE_BYTES = 8 << 20
+SAMPLE_ROWS = 2500
 TEXT_BYTES = 1 << 15
 DICTIONARY_BYTES = 110 << 10
 SEGMENT = 2048
@@ -73,41 +74,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50
     return w
 
 
-def sample(labelled: DataFrame, most_bytes: int = SAMPLE_BYTES, text_bytes: int = TEXT_BYTES) -> list:
-    """Labelled rows for the fit, at most about ``most_bytes`` of each label, in the order of a hash of the text.
+def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, text_bytes: int = TEXT_BYTES) -> list:
+    """At most ``rows`` labelled rows of each label, in the order of a hash of the text.
 
-    Whole texts of up to ``text_bytes`` bytes; longer ones are not used to fit (all are scored).
-    Rows come spread by hash buckets, so the bound holds however many rows there are.
+    Whole texts of up to ``text_bytes`` bytes; longer ones are not used to fit (all are scored).  Ranks
+    are cut in each task before the shuffle, so at most ``2 * rows * text_bytes`` bytes reach the driver.
     """
-    rows = labelled.filter(F.col("label").isin(0, 1) & (F.octet_length("text") > 0) & (F.octet_length("text") <= text_bytes)) \
-        .withColumns({"size": F.octet_length("text"), "slot": F.expr("pmod(xxhash64(text, 11), 65536)")})
-    sizes = rows.groupBy("label", "slot").agg(F.sum("size").alias("size")).collect()  # at most 2 x 65536 rows
-    last = {}
-    for label in (0, 1):
-        total = 0
-        for slot, size in sorted((r["slot"], r["size"]) for r in sizes if r["label"] == label):
-            total += size
-            if total > most_bytes and label in last:
-                break
-            last[label] = slot
-    cut = F.lit(False)
-    for label, slot in last.items():
-        cut = cut | ((F.col("label") == label) & (F.col("slot") <= slot))
-    taken = rows.filter(cut).select("label", "text", F.expr("pmod(xxhash64(text, 12), 2)").alias("half"), F.xxhash64("text").alias("order"))
-    return sorted(taken.collect(), key=lambda r: (r["label"], r["order"], r["text"]))
-
-
-def fit(labelled: DataFrame, most_bytes: int = SAMPLE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES,
+    fit_for = labelled.filter(F.col("label").isin(0, 1) & (F.octet_length("text") > 0) & (F.octet_length("text") <= text_bytes))
+    fit_for = fit_for.select("label", "text", F.expr("pmod(xxhash64(text, 12), 2)").alias("half"), F.xxhash64("text", F.lit(11)).alias("order"))
+    return sorted(first_per(fit_for, ["label"], ["order", "text"], rows).collect(), key=lambda r: (r["label"], r["order"], r["text"]))
+
+
+def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES,
         segment: int = SEGMENT, level: int = LEVEL) -> Model | None:
     """Fit on ``labelled(text, label)``: one half of a bounded sample makes the dictionaries, the other calibrates.
 
     Returns None when one of the labels is missing: then nothing can be told.
     """
-    rows = [(r["label"], r["text"].encode(), r["half"]) for r in sample(labelled, most_bytes)]
+    taken = [(r["label"], r["text"].encode(), r["half"]) for r in sample(labelled, rows)]
     dictionaries = []
     for label in (1, 0):
-        own = [t[i:i + segment] for y, t, half in rows if y == label and (half == 0) for i in range(0, len(t), segment)]
-        own = own or [t for y, t, _ in rows if y == label]
+        own = [t[i:i + segment] for y, t, half in taken if y == label and (half == 0) for i in range(0, len(t), segment)]
+        own = own or [t for y, t, _ in taken if y == label]
         if not own:
             return None
         try:
@@ -115,9 +103,9 @@ def fit(labelled: DataFrame, most_bytes: int = SAMPLE_BYTES, dictionary_bytes: i
         except zstandard.ZstdError:  # too few samples for training: the text itself serves
             dictionaries.append(b"".join(own)[-dictionary_bytes:])
     engines = _engines(*dictionaries, level)
-    other = [r for r in rows if r[2] == 1] or rows
+    other = [r for r in taken if r[2] == 1] or taken
     if len({y for y, _, _ in other}) < 2:
-        other = rows
+        other = taken
     x = np.array([features(t, engines, segment) for _, t, _ in other])
     y = np.array([label for label, _, _ in other], float)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
@@ -175,7 +163,13 @@ def held_out(id_col: str = "doc_id"):
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-          **settings) -> Model | None:
-    """Fit on the labelled rows outside the held-out fold.  Null labels and ids teach nothing; a label row counts once."""
-    marks = given(labels, id=id_col, label=label_col).filter(~held_out("id") & F.col("label").isNotNull()).distinct()
-    return fit(given(docs, id=id_col, text=text_col).join(marks, "id").select("text", "label"), **settings)
+          rows: int = SAMPLE_ROWS, **settings) -> Model | None:
+    """Fit on labelled rows outside the held-out fold: at most ``rows`` labels of each kind, drawn by a hash of the id.
+
+    The labels drawn are few (the broadcast holds ``4 * rows`` rows at most), so documents are
+    filtered where they are read and no text is shuffled but the sample.  Null labels and ids teach nothing; a
+    label row counts once.
+    """
+    marks = given(labels, id=id_col, label=label_col).filter(~held_out("id") & F.col("label").isin(0, 1)).distinct()
+    marks = first_per(marks, ["label"], [F.xxhash64("id", F.lit(13)), "id"], 2 * rows)
+    return fit(given(docs, id=id_col, text=text_col).join(F.broadcast(marks), "id").select("text", "label"), rows, **settings)
