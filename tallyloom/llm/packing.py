@@ -67,38 +67,57 @@ class Encoder:
     """Token ids of texts, through a bounded memory of blank-separated chunks.
 
     The vocabulary's pre-tokeniser drops white space and never joins across it, so a text's ids are
-    those of its chunks in turn.  Unknown chunks are encoded many at once, set apart by a mark
-    that stands for itself.
+    those of its chunks in turn; a stop mark after a letter stands alone too.  Unknown chunks are
+    encoded many at once: one that is all letters ends at the first token that closes a word.
     """
 
-    MARK = "§"
     CHARS = 1 << 20
+    STOPS = frozenset(".,;:!?")
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokens = Tokenizer.from_file(path)
         self.tokens.no_truncation()
         self.tokens.no_padding()
-        self.limit, self.known = limit, {"": b""}
-        self.mark = self._plain([self.MARK])[0]
+        size = self.tokens.get_vocab_size()
+        self.closes = np.array([(self.tokens.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.limit, self.known, self.older = limit, {"": b""}, {}
+        self.stops = dict(zip(self.STOPS, self._plain(list(self.STOPS))))
 
     def _plain(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokens.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) > self.limit:
-            self.known = {"": b""}
-        odd = [c for c in chunks if self.MARK in c] if len(self.mark) == 4 else chunks
-        self.known.update(zip(odd, self._plain(odd)))
-        even = [c for c in chunks if self.MARK not in c] if len(self.mark) == 4 else []
-        for i in range(0, len(even), 20_000):
-            part = even[i:i + 20_000]
-            ids = np.frombuffer(self._plain([f" {self.MARK} ".join(part)])[0], "<u4")
-            cuts = np.flatnonzero(ids == int.from_bytes(self.mark, "little"))
-            begins, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
-            self.known.update((c, ids[b:e].tobytes()) for c, b, e in zip(part, begins.tolist(), ends.tolist()))
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Chunks of letters, encoded as one text and cut where words close."""
+        ids = np.array(self.tokens.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words):  # a letter that falls apart when its case is dropped
+            return self._plain(words)
+        ends = (4 * ends).tolist()
+        data = ids.tobytes()
+        return [data[i:j] for i, j in zip([0, *ends], ends)]
+
+    def _recall(self, chunks: set[str]) -> set[str]:
+        """Bring back what the older half of the memory holds; the others are returned."""
+        back = chunks & self.older.keys()
+        self.known.update((c, self.older[c]) for c in back)
+        return chunks - back
+
+    def _learn(self, new: set[str]) -> None:
+        known, stops = self.known, self.stops
+        new = self._recall(new)
+        letters = set(filter(str.isalpha, new))
+        rest = new - letters
+        stopped = [c for c in rest if c[-1] in stops and c[:-1].isalpha()]
+        letters |= self._recall({c[:-1] for c in stopped} - known.keys())
+        others = list(rest.difference(stopped))
+        known.update(zip(others, self._plain(others)))
+        words = list(letters)
+        for i in range(0, len(words), 20_000):
+            known.update(zip(words[i:i + 20_000], self._words(words[i:i + 20_000])))
+        known.update((c, known[c[:-1]] + stops[c[-1]]) for c in stopped)
 
     def _segments(self, text: str) -> Iterator[str]:
         at = 0
@@ -114,12 +133,9 @@ class Encoder:
 
     def _some(self, texts: list[str]) -> list[bytes]:
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*chunks) - self.known.keys()
-        if new:
-            held = len(self.known)
-            self._learn(list(new))
-            if held > self.limit:
-                self._learn(list(set().union(*chunks) - self.known.keys()))
+        if len(self.known) > self.limit:
+            self.known, self.older = {"": b""}, self.known
+        self._learn(set().union(*chunks) - self.known.keys())
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in chunks]
 
