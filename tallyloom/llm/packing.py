@@ -159,9 +159,10 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remember: int) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].limit = remember
     return _ENCODERS[path]
 
 
@@ -197,11 +198,11 @@ def _packed(items: Iterator[tuple], capacity: int, most: int, first: int, hold:
         yield batch()
 
 
-def _texts_to_sequences(path: str, capacity: int, most: int, end_id: int):
+def _texts_to_sequences(path: str, capacity: int, most: int, end_id: int, remember: int):
     tail = int(end_id).to_bytes(4, "little")
 
     def items(batches):
-        enc = encoder(path)
+        enc = encoder(path, remember)
         for batch in batches:
             docs = batch.column("doc").to_pylist()
             texts = (t for t in batch.column("text").to_pylist())
@@ -228,7 +229,7 @@ def _pieces_to_sequences(capacity: int, most: int):
 
 
 def sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-              open_bins: int = OPEN_BINS, end_id: int = 0) -> DataFrame:
+              open_bins: int = OPEN_BINS, end_id: int = 0, remember: int = 350_000) -> DataFrame:
     """One row per packed sequence: parallel arrays of its pieces, its ids (little-endian uint32), ``filled``, ``sequence``.
 
     A document is its token ids and ``end_id``; only documents longer than ``capacity`` are cut.
@@ -236,11 +237,12 @@ def sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     open at a task's end (at most ``open_bins`` sequences a task, a share that falls as tasks grow)
     is packed again, largest piece first, in groups of about ``LEFT_OVER`` pieces; no other ids move.
 
+    ``remember`` bounds the words whose ids a worker keeps (about 0.5 KB each); it changes the time, not the result.
     Null texts count as empty and give ``end_id`` alone.  Null ids and repeated rows are packed
     like others.  Further columns are ignored.  An empty table gives an empty result.
     """
     base = given(docs, doc=id_col, text=text_col).select(F.col("doc").cast("long"), text_or_empty().alias("text"))
-    first = written(mapped(base, _texts_to_sequences(tokenizer, capacity, open_bins, end_id), SEQUENCES), "packed")
+    first = written(mapped(base, _texts_to_sequences(tokenizer, capacity, open_bins, end_id, remember), SEQUENCES), "packed")
     left = pieces(first.filter("open")).select("doc", "piece", "start", "length", "ids")
     tasks = max(1, -(-first.filter("open").agg(F.coalesce(F.sum(F.size("docs")), F.lit(0))).first()[0] // LEFT_OVER))
     again = left.repartition(tasks).sortWithinPartitions(F.desc("length"), "doc", "piece", "start").select("doc", "piece", "start", "length", "ids")
