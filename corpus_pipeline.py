@@ -58,7 +58,7 @@ def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of at most 2048 tokens, with their ids."""
-    packed = packing.sequences(docs, queries.tokenizer_path("word_bpe_49k.json"), id_col=ID, text_col=TEXT)
+    packed = packing.sequences(docs, queries.tokenizer_path("word_bpe_49k.json"), id_col=ID, text_col=TEXT, remember=80_000)
     return packing.pieces(packed).select(F.col("doc").alias(ID), "piece", "start", "length", "ids", F.col("sequence").alias("sequence_id"), "offset")
 
 
