@@ -44,35 +44,38 @@ TEMPLATES = {
 
 WIDTH = 5
 WORD_GAP = r"[^\p{L}\p{N}]+"
-# One constant per MinHash function (the shingle hash, exclusive-or this constant, is its order).
-ORDERS = (0x1B873593CC9E2D51, 0x3C6EF372A54FF53A, 0x510E527F9B05688C, 0x6A09E667BB67AE85)
+#: The four MinHash functions: least and greatest shingle hash, plain and after exclusive-or with this constant.
+FLIP = 0x3C6EF372A54FF53A
 #: Window sizes in shingles.  A template is looked up by the largest that is no longer than 0.8 of it.
 WINDOWS = (1, 4, 16)
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), WORD_GAP), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), WORD_GAP), "")
 
 
 def shingles(of: Column) -> Column:
-    """Hash of every run of ``WIDTH`` words, in order; fewer words make no shingle."""
-    def runs(hashed: Column) -> Column:
-        return F.when(F.size(hashed) >= WIDTH, F.transform(
-            F.sequence(F.lit(0), F.size(hashed) - WIDTH),
-            lambda i: F.xxhash64(*[F.get(hashed, i + k) for k in range(WIDTH)]))).otherwise(F.array().cast("array<bigint>"))
+    """Hash of every run of ``WIDTH`` words, in order; fewer words make no shingle.
 
-    # A one-element array holds the hashes, so that they are worked out once and not for every run.
-    return F.transform(F.array(F.transform(of, lambda w: F.xxhash64(w))), runs)[0]
+    Runs grow from pairs to fours to fives, each from two hashes of the step before.
+    """
+    def joined(left: Column, right: Column, ahead: int) -> Column:
+        length = F.greatest(F.size(right) - ahead, F.lit(0))
+        return F.zip_with(F.slice(left, F.lit(1), length), F.slice(right, F.lit(ahead + 1), length), lambda a, b: F.xxhash64(a, b))
+
+    def fives(hashed: Column) -> Column:
+        return F.transform(F.array(joined(hashed, hashed, 1)), lambda twos: F.transform(
+            F.array(joined(twos, twos, 2)), lambda fours: joined(fours, hashed, WIDTH - 1))[0])[0]
+
+    # One-element arrays hold each step, so that it is worked out once.
+    return F.transform(F.array(F.transform(of, lambda w: F.xxhash64(w))), fives)[0]
 
 
-def _window_minima(shingle_col: str, size: int, stride: int, order: int) -> str:
-    """SQL text: minima of windows of ``size`` shingles at every ``stride``-th place; a shorter text is one window."""
-    if size == 1:
-        return shingle_col
-    keyed = f"transform({shingle_col}, x -> x ^ {order}L)"
-    return (f"CASE WHEN size({shingle_col}) = 0 THEN CAST(array() AS array<bigint>) ELSE "
-            f"transform(array({keyed}), a -> transform(sequence(0, greatest(0, int(ceil((size(a) - {size}) / {stride}.0))), 1), "
-            f"i -> array_min(slice(a, i * {stride} + 1, {size}))))[0] END")
+def _window_minima(column: str, size: int, stride: int) -> str:
+    """SQL text: least (lo) and greatest (hi) hash of windows of ``size`` shingles at every ``stride``-th place; a shorter text is one window."""
+    windows = (f"transform(sequence(0, greatest(0, int(ceil((size({column}) - {size}) / {stride}.0))), 1), "
+               f"i -> slice({column}, i * {stride} + 1, {size}))")
+    return f"transform(array({windows}), ws -> struct(transform(ws, w -> array_min(w)) AS lo, transform(ws, w -> array_max(w)) AS hi))[0]"
 
 
 def _size_class(shingle_count: int) -> int:
@@ -82,11 +85,12 @@ def _size_class(shingle_count: int) -> int:
 def _indexed(spark, templates: dict[str, str]) -> list[dict]:
     """The templates' shingles and, for every window at every place, the minima: bounded by the template texts."""
     frame = spark.createDataFrame(sorted(templates.items()), "name string, text string")
-    frame = frame.select("name", F.array_distinct(shingles(words(F.col("text")))).alias("set"), shingles(words(F.col("text"))).alias("sh"))
-    columns = ["name", "set", F.expr("sh").alias("m1_0")]
-    for size in WINDOWS[1:]:
-        columns += [F.expr(_window_minima("sh", size, 1, order)).alias(f"m{size}_{k}") for k, order in enumerate(ORDERS)]
-    rows = [r.asDict() for r in frame.select(*columns).collect()]
+    frame = frame.select("name", shingles(words(F.col("text"))).alias("sh"))
+    frame = frame.select("name", "sh", F.array_distinct("sh").alias("set"), F.expr(f"transform(sh, x -> x ^ {FLIP}L)").alias("sx"))
+    rows = []
+    for r in frame.select("name", "set", *[F.expr(_window_minima(c, size, 1)).alias(f"{c}{size}") for size in WINDOWS[1:] for c in ("sh", "sx")]).collect():
+        minima = {(size, c, end): list(r[f"{c}{size}"][end]) for size in WINDOWS[1:] for c in ("sh", "sx") for end in ("lo", "hi")}
+        rows.append({"name": r["name"], "set": list(r["set"]), "minima": minima | {(1, "sh", ""): list(r["set"])}})
     short = [r["name"] for r in rows if not r["set"]]
     if short:
         raise ValueError(f"templates of fewer than {WIDTH} words: {short}")
@@ -106,7 +110,7 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     4 and 16 shingles overlap by half (single shingles for the shortest templates); a template's windows are
     indexed at every place.  A window that lies inside an unaltered stretch of the template shares all its
     minima with the index; a window of similarity 0.8 shares one of the four with probability
-    1 - 0.2^4 = 0.998, and a notice spans several.  For the templates so retrieved the whole text's
+    1 - 0.2^4 = 0.998, and a notice spans several windows.  For the templates so retrieved the whole text's
     shingles are compared with the template's: reported when at least ``containment`` of them occur.
     ``first_word`` and ``last_word`` (from 0) bound the places of shared shingles.
 
@@ -116,21 +120,28 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     index = _indexed(docs.sparkSession, templates or TEMPLATES)
     base = given(docs, id=id_col, text=text_col).select("id", text_or_empty().alias("text"))
-    hashed = base.select("id", words(F.col("text")).alias("w")).filter(F.size("w") >= WIDTH).select("id", shingles(F.col("w")).alias("sh"))
+    hashed = base.select("id", words(F.col("text")).alias("w")).select("id", shingles(F.col("w")).alias("sh"))
 
     used = sorted({_size_class(len(r["set"])) for r in index})
-    bands = [(1, 0)] * (1 in used) + [(s, k) for s in used if s > 1 for k in range(len(ORDERS))]
-    minima = {(s, k): _window_minima("sh", s, max(1, s // 2), ORDERS[k]) for s, k in bands}
-    known = {b: [v for r in index if _size_class(len(r["set"])) == b[0] for v in r[f"m{b[0]}_{b[1]}"]] for b in bands}
-    hits = hashed.select("id", "sh", *[F.array_intersect(F.expr(minima[b]), _longs(known[b])).alias(f"h{b[0]}_{b[1]}") for b in bands])
-    hits = hits.filter(" OR ".join(f"size(h{s}_{k}) > 0" for s, k in bands))
+    # A row mark in each step keeps the optimizer from moving the filter below it and working the arrays out anew there.
+    mark = F.monotonically_increasing_id
+    flipped = hashed.select("id", "sh", mark().alias("r1")).select("id", "sh", "r1", F.expr(f"transform(sh, x -> x ^ {FLIP}L)").alias("sx"), mark().alias("r2"))
+    windowed = flipped.select("id", "sh", "r1", "r2", mark().alias("r3"), *[F.expr(_window_minima(c, s, s // 2)).alias(f"{c}{s}") for s in used if s > 1 for c in ("sh", "sx")])
+    bands = [(1, "sh", "")] * (1 in used) + [(s, c, end) for s in used if s > 1 for c in ("sh", "sx") for end in ("lo", "hi")]
+    known = {b: [v for r in index if _size_class(len(r["set"])) == b[0] for v in r["minima"][b]] for b in bands}
+
+    def name(band) -> str:
+        return "h_" + "_".join(map(str, band))
+
+    hits = windowed.select("id", "sh", "r1", "r2", "r3", mark().alias("r4"), *[F.array_intersect(
+        F.col("sh") if s == 1 else F.col(f"{c}{s}")[end], _longs(known[s, c, end])).alias(name((s, c, end))) for s, c, end in bands])
+    hits = hits.filter("r1 >= 0 AND r2 >= 0 AND r3 >= 0 AND r4 >= 0 AND (" + " OR ".join(f"size({name(b)}) > 0" for b in bands) + ")")
 
     def retrieved(r) -> Column:
-        size = _size_class(len(r["set"]))
         found = F.lit(False)
-        for s, k in bands:
-            if s == size:
-                found = found | F.arrays_overlap(F.col(f"h{s}_{k}"), _longs(r[f"m{s}_{k}"]))
+        for b in bands:
+            if b[0] == _size_class(len(r["set"])):
+                found = found | F.arrays_overlap(F.col(name(b)), _longs(r["minima"][b]))
         return found
 
     def candidate(r) -> Column:
