@@ -41,6 +41,8 @@ class Lattice:
         self.starts_words = all(SPACE not in n.lstrip(SPACE) and (n.strip(SPACE) == "" or n.count(SPACE) <= 1) for n in self.ids)
         #: Neighbouring characters inside pieces: between any others every path has a boundary.
         self.joints = {n[i:i + 2] for n in self.ids for i in range(len(n) - 1)}
+        self.lines_apart = not any("\n" in n and n != "\n" for n in self.ids)
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else n.replace(SPACE, " ").encode() for i, n in enumerate(self.names)]
         self.steps: dict[str, tuple] = {}
         self.codes: dict[str, bytes] = {}
         self.sound = {p for p in self.ids if self._merged(p)[0] == [p]}
@@ -181,12 +183,16 @@ class Lattice:
 class Codec:
     """Encodes and decodes whole texts; words are encoded once while they are remembered."""
 
-    def __init__(self, path: str, remember: int = 300_000):
-        self.lattice, self.remember, self.known = Lattice(path), remember, {}
+    def __init__(self, path: str, remember: int = 500_000):
+        self.lattice, self.remember, self.known, self.older = Lattice(path), remember, {}, {}
 
     def _word(self, word: str) -> bytes:
         found = self.known.get(word)
         if found is None:
+            found = self.older.get(word)
+            if found is not None:
+                self.known[word] = found
+                return found
             if len(word) > 64:
                 return b"".join(map(self.lattice.code, self.lattice.stream(word)))
             if len(word) > 1 and word[-2:] not in self.lattice.joints:
@@ -194,7 +200,7 @@ class Codec:
             else:
                 found = self.lattice.short(word)
             if len(self.known) >= self.remember:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[word] = found
         return found
 
@@ -218,25 +224,19 @@ class Codec:
         if not text:
             return b""
         chars = SPACE + text.replace(" ", SPACE)
-        if self.lattice.starts_words and SPACE * 2 not in chars:
-            head, *rest = chars[1:].split(SPACE)
-            known, word = self.known.get, self._word
-            return b"".join([known(SPACE + w) or word(SPACE + w) for w in [head, *rest]])
-        return b"".join(map(self._word, self._words(chars)))
+        if not self.lattice.starts_words or not self.lattice.lines_apart or SPACE * 2 in chars:
+            return b"".join(map(self._word, self._words(chars)))
+        word, out = self._word, []
+        for line in chars.split("\n"):  # no piece crosses a line break either
+            head, *rest = line.split(SPACE)
+            known = self.known.get
+            out.append((word(head) if head else b"") + b"".join([known(w) or word(w) for w in map(SPACE.__add__, rest)]))
+        return self.lattice.code("\n").join(out)
 
     def decode(self, ids: bytes) -> str:
-        parts, pending, lat = [], bytearray(), self.lattice
-        for i in np.frombuffer(ids, "<u4").tolist():
-            if i in lat.byte_of:
-                pending.append(lat.byte_of[i])
-                continue
-            if pending:
-                parts.append(pending.decode(errors="replace"))
-                pending = bytearray()
-            parts.append(lat.names[i])
-        if pending:
-            parts.append(pending.decode(errors="replace"))
-        return "".join(parts).replace(SPACE, " ")[1:]
+        """Pieces and bytes put together; bytes that are no UTF-8 become U+FFFD."""
+        raw = self.lattice.raw.__getitem__
+        return b"".join(map(raw, np.frombuffer(ids, "<u4").tolist())).decode(errors="replace")[1:]
 
 
 _CODECS: dict[str, Codec] = {}
