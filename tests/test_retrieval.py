@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 
@@ -147,3 +148,16 @@ def test_embedding_hook(spark):
     d = spark.createDataFrame([("a", "xx"), ("b", "yyy")], "document_id string, text string")
     r = C.embed(d, lambda texts: [[float(len(t)), 1.0] for t in texts]).orderBy("document_id").collect()
     assert [x.embedding for x in r] == [[2.0, 1.0], [3.0, 1.0]]
+
+
+def test_strategies_are_judged_on_documents_without_vectors_too(spark, tmp_path):
+    from check import compare, duck
+    from conftest import SMALL
+
+    for f in os.listdir(SMALL):
+        if f.endswith(".parquet") and f != "embeddings.parquet":
+            os.symlink(f"{SMALL}/{f}", tmp_path / f)
+    spark.read.parquet(f"{SMALL}/embeddings.parquet").filter("vec_id % 3 = 0").coalesce(1).write.parquet(str(tmp_path / "part"))
+    os.symlink(next((tmp_path / "part").glob("*.parquet")), tmp_path / "embeddings.parquet")
+    status, rows, _, msg = compare(spark, duck(tmp_path), str(tmp_path), "compare_strategies")
+    assert (status, rows) == ("ok", 3), msg
