@@ -12,7 +12,7 @@ from .common import cut_lineage, given, written
 
 # The forms of the entities (Java regular expressions).
 EMAIL = r"(?<![\p{L}\p{N}_.+%-])[\p{L}\p{N}_.+%-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
-SECRET = r"\b(?:[Pp]assword|[Pp]asswd|PASSWORD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_KEY)\b ?[=:] ?[\"']?[^\s\"']{6,}"
+SECRET = r"\b(?:[Pp]assword|[Pp]asswd|PASSWORD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_KEY)\b ?[=:] ?[\"']?(?=[^\s\"']*[\p{L}\p{N}])[^\s\"']{6,}"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])"
 ADDRESS = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[\p{L}\p{N}])"
 PHONE = (r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,4}(?![0-9])"
@@ -41,7 +41,8 @@ SYLLABLES = {
     "cyrillic": "бал вор ган дол зем кар лен мор нов пет рос сол тар фед хол чер",
 }
 ENDINGS = {"m-latin": "o", "f-latin": "a", "n-latin": "i", "m-cyrillic": "ей", "f-cyrillic": "ия", "n-cyrillic": "и"}
-TRIES = 64
+#: Draws in the form of the entity; later ones are one character longer every so many draws.
+IN_FORM = 3
 
 
 def _words(text: str) -> str:
@@ -89,34 +90,43 @@ def occurrences(texts: DataFrame) -> DataFrame:
 def _proposed(entities: DataFrame, key: str) -> DataFrame:
     """Add ``surrogate`` to ``(kind, canon, attempt)``: drawn from a keyed hash stream of 16 bits a character."""
     secret = key.replace("\\", "\\\\").replace("'", "\\'")
-    stream = (f"array_join(transform(sequence(0, int((length(canon) + 40) / 32)), "
+    stream = (f"array_join(transform(sequence(0, int((length(canon) + 40 + attempt) / 32)), "
               f"b -> sha2(concat('{secret}', sha2(concat_ws('|', '{secret}', kind, canon, attempt, b), 256)), 512)), '')")
 
     def n(i) -> str:
         return f"int(conv(substring(stream, 4 * ({i}) + 1, 4), 16, 10))"
 
     def drawn(text: str, shift: str = "0", hexed: bool = False) -> str:
-        """A character of the same class for each: digit, lower, upper, Cyrillic lower and upper, Greek; others stay."""
+        """A character of the same class for each: digit, lower, upper, Cyrillic lower and upper, Greek; other digits become plain, the rest stays."""
         k = n(f"i + {shift}")
         letters = f"WHEN c RLIKE '[a-f]' AND hexed THEN substring('abcdef', {k} % 6 + 1, 1) " if hexed else ""
         return (f"array_join(transform(filter(split({text}, ''), c -> c <> ''), (c, i) -> CASE WHEN c RLIKE '[0-9]' THEN string({k} % 10) {letters}"
                 f"WHEN c RLIKE '[а-яё]' THEN substring('абвгдежзиклмнопрстуфхцчшэюя', {k} % 27 + 1, 1) "
                 f"WHEN c RLIKE '[А-ЯЁ]' THEN substring('АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ', {k} % 27 + 1, 1) "
                 f"WHEN c RLIKE '[α-ω]' THEN substring('αβγδεζηθικλμνξοπρστυφχψω', {k} % 24 + 1, 1) "
-                f"WHEN c RLIKE '\\\\p{{Lu}}' THEN char(65 + {k} % 26) WHEN c RLIKE '\\\\p{{L}}' THEN char(97 + {k} % 26) ELSE c END), '')")
+                f"WHEN c RLIKE '\\\\p{{Lu}}' THEN char(65 + {k} % 26) WHEN c RLIKE '\\\\p{{L}}' THEN char(97 + {k} % 26) WHEN c RLIKE '\\\\p{{N}}' THEN string({k} % 10) ELSE c END), '')")
 
     length = "length(canon)"
-    host = f"array_join(transform(sequence(0, 7), i -> char(97 + {n(f'{length} + i')} % 26)), '')"
+
+    def more(one: str, join: str = "", after: int = IN_FORM) -> str:
+        """What draws from ``after`` on add, so that no space is too small: ``one`` of a random number each, with ``join`` before it."""
+        drawn_one = one.format(n(f"{length} + 40 + i"))
+        return f"CASE WHEN attempt < {after} THEN '' ELSE array_join(transform(sequence(1, 1 + int((attempt - {after}) / {IN_FORM})), i -> concat('{join}', {drawn_one})), '') END"
+
+    digit, letter = more("string({} % 10)"), more("char(97 + {} % 26)")
+    either = more("CASE WHEN hexed THEN substring('0123456789abcdef', {0} % 16 + 1, 1) ELSE char(97 + {0} % 26) END")
+    host = f"concat(array_join(transform(sequence(0, 7), i -> char(97 + {n(f'{length} + i')} % 26)), ''), {letter})"
     email = f"concat({drawn(chr(39).join(['substring_index(canon, ', '@', ', 1)']))}, '@', {host}, '.example.', element_at(array('com', 'org', 'net'), {n(f'{length} + 8')} % 3 + 1))"
     keep = "CASE WHEN canon LIKE '+1%' OR canon LIKE '+7%' THEN 2 WHEN canon LIKE '+%' THEN 3 ELSE 0 END"
-    phone = f"concat(substring(canon, 1, {keep}), string(2 + {n(34)} % 8), {drawn(f'substring(canon, {keep} + 2)')})"
-    body = f"concat(substring(canon, 1, 1), {drawn('substring(canon, 2, length(canon) - 2)')})"
+    phone = f"concat(substring(canon, 1, {keep}), string(2 + {n(34)} % 8), {drawn(f'substring(canon, {keep} + 2)')}, {digit})"
+    body = f"concat(substring(canon, 1, 1), {drawn('substring(canon, 2, length(canon) - 2)')}, {digit})"
     luhn = (f"transform(array({body}), b -> concat(b, string((10 - aggregate(transform(filter(split(reverse(b), ''), c -> c <> ''), "
             "(c, i) -> CASE WHEN i % 2 = 1 THEN int(c) WHEN int(c) > 4 THEN 2 * int(c) - 9 ELSE 2 * int(c) END), 0, (s, v) -> s + v) % 10) % 10)))[0]")
-    inner = drawn("substring(canon, 5)")
+    inner = f"concat({drawn('substring(canon, 5)')}, {digit})"
     iban = (f"transform(array({inner}), b -> concat(substring(canon, 1, 2), lpad(string(98 - aggregate(filter(split(concat(b, substring(canon, 1, 2), '00'), ''), c -> c <> ''), "
             "0, (s, c) -> CASE WHEN c RLIKE '[0-9]' THEN (s * 10 + int(c)) % 97 ELSE (s * 100 + ascii(c) - 55) % 97 END)), 2, '0'), b))[0]")
-    address = f"concat_ws('.', 240 + {n(0)} % 15, {n(1)} % 256, {n(2)} % 256, 1 + {n(3)} % 254)"
+    part = more("string({} % 256)", ".", after=8 * IN_FORM)  # 250 million addresses have four parts
+    address = f"concat(concat_ws('.', 240 + {n(0)} % 15, {n(1)} % 256, {n(2)} % 256, 1 + {n(3)} % 254), {part})"
     family, made = "CASE kind ", "CASE kind "
     for script, syllables in SYLLABLES.items():
         list_ = _words(syllables)
@@ -127,8 +137,8 @@ def _proposed(entities: DataFrame, key: str) -> DataFrame:
                 made += (f"WHEN 'given-{group}' THEN CASE WHEN attempt < 3 THEN element_at({_words(names)}, {n(0)} % {len(names.split())} + 1) "
                          f"ELSE initcap(concat({several}, '{ENDINGS[group]}')) END ")
     surrogate = (f"CASE WHEN kind = 'email' THEN {email} WHEN kind = 'phone' THEN {phone} WHEN kind = 'card' THEN {luhn} "
-                 f"WHEN kind = 'iban' THEN {iban} WHEN kind = 'address' THEN {address} WHEN kind = 'social' THEN concat('9', {drawn('substring(canon, 2)')}) "
-                 f"WHEN kind = 'secret' THEN {drawn('canon', hexed=True)} WHEN kind LIKE 'family%' THEN {family} END ELSE {made} END END")
+                 f"WHEN kind = 'iban' THEN {iban} WHEN kind = 'address' THEN {address} WHEN kind = 'social' THEN concat('9', {drawn('substring(canon, 2)')}, {digit}) "
+                 f"WHEN kind = 'secret' THEN concat({drawn('canon', hexed=True)}, {either}) WHEN kind LIKE 'family%' THEN {family} END ELSE {made} END END")
     return entities.withColumn("stream", F.expr(stream)).withColumn("hexed", F.expr("canon RLIKE '^[0-9a-f]+$'")) \
         .withColumn("surrogate", F.expr(surrogate)).select("kind", "canon", "attempt", "surrogate")
 
@@ -137,11 +147,12 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
     """``(kind, canon, surrogate)`` for distinct ``(kind, canon)``: no two share a surrogate, none is an entity of the corpus.
 
     Of entities that draw the same surrogate, the smallest keeps it; the others, and all that draw a
-    real entity, draw again.  Rounds end when nothing clashes; clashes shrink by the size of the type's space.
+    real entity, draw again.  Rounds end when nothing clashes; as every type's space grows with the draws
+    (a character or a syllable more), they do end, however small the space of the entity's own form.
     """
     now = cut_lineage(_proposed(entities.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)), key))
     real = now.select("kind", F.col("canon").alias("taken")).withColumn("real", F.lit(True))
-    for _ in range(TRIES):
+    while True:
         drawn = F.lower("surrogate")
         first = now.groupBy("kind", drawn.alias("taken")).agg(F.min("canon").alias("first"))
         judged = now.withColumn("taken", drawn).join(first, ["kind", "taken"]).join(
@@ -152,13 +163,13 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
             return judged.select("kind", "canon", "surrogate")
         redrawn = _proposed(judged.filter("again").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), key)
         now = cut_lineage(judged.filter("NOT again").select("kind", "canon", "attempt", "surrogate").unionByName(redrawn))
-    raise ValueError(f"no distinct surrogates after {TRIES} draws")
 
 
 def _laid_out(found: str, digits: str) -> str:
-    """Surrogate digits in the layout of the text found."""
-    return (f"array_join(transform(filter(split({found}, ''), c -> c <> ''), (c, i) -> CASE WHEN c RLIKE '[0-9]' "
-            f"THEN substring({digits}, length(regexp_replace(substring({found}, 1, i + 1), '[^0-9]', '')), 1) ELSE c END), '')")
+    """Surrogate digits in the layout of the text found, those of a longer surrogate behind it."""
+    return (f"concat(array_join(transform(filter(split({found}, ''), c -> c <> ''), (c, i) -> CASE WHEN c RLIKE '[0-9]' "
+            f"THEN substring({digits}, length(regexp_replace(substring({found}, 1, i + 1), '[^0-9]', '')), 1) ELSE c END), ''), "
+            f"substring({digits}, length(regexp_replace({found}, '[^0-9]', '')) + 1))")
 
 
 def surrogate_text(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -167,7 +178,8 @@ def surrogate_text(docs: DataFrame, key: str, text_col: str = "text", count_col:
     Types: e-mail and IPv4 addresses, phone, card, account (IBAN) and social security numbers, passwords and tokens, and
     names after a form of address.  One entity gets one surrogate in all texts and spellings (by name
     word, so "Dr. Ada Poe" and "Mrs. Poe" stay related), keyed by ``key``.  Card and account numbers get right
-    check digits; addresses come from ranges that nobody holds; digits keep their layout.
+    check digits; addresses come from ranges that nobody holds; digits keep their layout.  Where the entities of a
+    form leave no free surrogate of that form, it gets longer.  A secret without letters and digits is masked and stays.
 
     Only texts with an entity are shuffled, by fingerprint; equal texts are worked out once.  A null text
     stays null, an empty one empty; texts without an entity are untouched.  ``count_col`` adds the number of

@@ -74,6 +74,24 @@ def test_surrogates_stay_distinct_when_draws_clash(spark):
     assert len(rows) == 310 == len(set(made)) and not set(made) & {r["canon"] for r in rows}
 
 
+def test_surrogates_find_room_when_a_form_has_none(spark):
+    full = {"phone": [f"+1{k}" for k in range(2000, 10_000)], "secret": [*(f"{c}*******" for c in "abcdefghijklmnopqrstuvwxyz"), "²²²²²²"]}
+    rows = surrogates.assigned(spark.createDataFrame([(k, c) for k, v in full.items() for c in v], "kind string, canon string"), KEY).collect()
+    made = [(r["kind"], r["surrogate"]) for r in rows]
+    assert len(rows) == sum(map(len, full.values())) == len(set(made)) and not {(k, c) for k, v in full.items() for c in v} & set(made)
+
+
+def test_surrogates_pass_masked_secrets_and_show_longer_numbers(spark, docs_of):
+    texts = ["password: ********", "token = ......", "password: 'x*****'", "secret=x***** and +1 23 45"]
+    texts += [f"token={c}*****" for c in "abcdefghijklmnopqrstuvwyz"] + [f"+1 {k // 100} {k % 100:02d}" for k in range(2000, 10_000)]
+    got = replaced(docs_of([*enumerate(texts)]))
+    assert got[0] == texts[0] and got[1] == texts[1]
+    assert got[2].split("'")[1] == got[3].split("=")[1].split()[0] != "x*****"
+    phones = [got[k] for k in range(29, len(texts))]
+    assert len(set(phones)) == 8000 and not set(phones) & set(texts) and all(re.fullmatch(r"\+1 \d\d \d{2,}", p) for p in phones)
+    assert got[3].endswith(phones[345])
+
+
 def fuzz(seed, n):
     rng = random.Random(seed)
     alphabet = "abcdeéñß漢字 \n\t▁ 😀𐍈.,AA000<the ing tion"
