@@ -12,18 +12,22 @@ from .common import cut_lineage, given, written
 
 # The forms of the entities (Java regular expressions).
 EMAIL = r"(?<![\p{L}\p{N}_.+%-])[\p{L}\p{N}_.+%-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
-SECRET = r"\b(?:[Pp]assword|[Pp]asswd|PASSWORD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_KEY)\b ?[=:] ?[\"']?(?=[^\s\"']*[\p{L}\p{N}])[^\s\"']{6,}"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])"
 ADDRESS = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[\p{L}\p{N}])"
 PHONE = (r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,4}(?![0-9])"
          r"|(?<![\p{L}\p{N}+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}(?![0-9])")
 SOCIAL = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"
 CARD = r"(?<![\p{L}\p{N}.-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.-])3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5}(?![\p{L}\p{N}])"
+# A key word anywhere in a name such as DB_PASSWORD or password_hash, but not secretary or tokenizer; the rest of the
+# name ends where another key word or entity begins.
+KEY_WORD = r"(?i:password|passwd|secret|token|api[ _-]?key)(?!ar[iy]|ion|i[sz](?:e|ation|ing))"
+SECRET = (rf"{KEY_WORD}(?:(?!{KEY_WORD}|{IBAN}|{PHONE}|{SOCIAL}|{CARD}|{ADDRESS})[A-Za-z0-9_.-])*+[\"']? ?[=:] ?[\"']?"
+          r"(?=[^\s\"']*[\p{L}\p{N}])[^\s\"']{6,}")
 NAME = (r"(?<![\p{L}\p{N}])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Srta)\.? \p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2}"
         r"|(?<![\p{L}\p{N}])(?:г-н|г-жа|[Гг]осподин|[Гг]оспожа) \p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2}")
 ENTITY = "|".join((EMAIL, SECRET, IBAN, PHONE, SOCIAL, CARD, ADDRESS, NAME))
 #: What every entity has: a cheap test that spares most texts the full one.
-HINT = r"[0-9@]|(?i:password|passwd|secret|token|api_?-?key)|(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Srta)\.? \p{Lu}|г-н|г-жа|осподин|оспожа"
+HINT = r"[0-9@]|(?i:password|passwd|secret|token|api[ _-]?key)|(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Srta)\.? \p{Lu}|г-н|г-жа|осподин|оспожа"
 MALE = r"^(?:Mr|Herr|Sr|г-н|[Гг]осподин)\b"
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Mme|Mlle|Sra|Srta|г-жа|[Гг]оспожа)"
 
@@ -51,8 +55,7 @@ def _words(text: str) -> str:
 
 def _kind(e: str) -> str:
     digits = f"length(regexp_replace({e}, '[^0-9]', ''))"
-    return (f"CASE WHEN contains({e}, '@') AND NOT {e} RLIKE '^(?i:password|passwd|secret|token|api_?-?key)' THEN 'email' "
-            f"WHEN {e} RLIKE '^(?i:password|passwd|secret|token|api_?-?key)' THEN 'secret' "
+    return (f"CASE WHEN {e} RLIKE '[=:]' THEN 'secret' WHEN contains({e}, '@') THEN 'email' "  # no other entity has = or :
             f"WHEN {e} RLIKE '^[A-Z]{{2}}[0-9]{{2}}' THEN 'iban' "
             f"WHEN {e} RLIKE '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' THEN 'address' "
             f"WHEN {e} RLIKE '^[+(]' THEN 'phone' WHEN {e} RLIKE '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN 'social' "
@@ -80,7 +83,7 @@ def occurrences(texts: DataFrame) -> DataFrame:
                 F.when((F.col("part") == 0) & (F.col("n") > 1), F.concat(F.lit("given-"), "gender", F.lit("-"), "script"))
                 .otherwise(F.concat(F.lit("family-"), "script")).alias("kind"), F.lower("word").alias("canon"))
     canon = F.expr(
-        "CASE kind WHEN 'email' THEN lower(found) WHEN 'secret' THEN regexp_extract(found, '[=:] ?[\"\\']?(.*)$', 1) "
+        "CASE kind WHEN 'email' THEN lower(found) WHEN 'secret' THEN regexp_extract(found, '(?s)[=:] ?[\"\\']?(.*)$', 1) "
         "WHEN 'iban' THEN replace(found, ' ', '') WHEN 'phone' THEN regexp_replace(found, '[^0-9+]', '') "
         "WHEN 'address' THEN found ELSE regexp_replace(found, '[^0-9]', '') END")
     other = each.filter("kind <> 'name'").select("f1", "f2", "place", F.lit(0).alias("part"), "found", "kind", canon.alias("canon"))

@@ -92,6 +92,18 @@ def test_surrogates_pass_masked_secrets_and_show_longer_numbers(spark, docs_of):
     assert got[3].endswith(phones[345])
 
 
+def test_surrogates_find_secrets_under_any_name(spark, docs_of):
+    heads = ["client_secret=", "access_token=", "DB_PASSWORD=", "db_password=", "password_hash=", '{"password": "', "PASSWD=", "api key: ", "Api-Key = '",
+             "x-api-key: ", "tokenId: ", "passwordhash=", "'client.secret' : '", "MY_API_KEY_2=", "token_secret=", "password=", 'token = "']
+    texts = [f"{h}hunter2{k:02d}' rest" if h.endswith("'") else f'{h}hunter2{k:02d}" rest' if h.endswith('"') else f"{h}hunter2{k:02d} rest" for k, h in enumerate(heads)]
+    same = ["Secretary: Johannes", "tokenizer: sentencepiece", "the password is secret", "tokens " * 2000]
+    got = replaced(docs_of([*enumerate(texts + same + ["token@corp.test and token-212-867-5309: x", "secret" * 20_000])]))
+    for k, h in enumerate(heads):
+        assert re.fullmatch(re.escape(h) + r"[a-z]{6}\d{3}" + re.escape(texts[k][len(h) + 9:]), got[k]) and "hunter" not in got[k], h
+    assert [got[len(heads) + k] for k in range(len(same))] == same
+    assert re.fullmatch(r"[a-z]{5}@\w+\.example\.\w+ and token-\d{3}-\d{3}-\d{4}: x", got[len(texts + same)]) and "867" not in got[len(texts + same)]
+
+
 def fuzz(seed, n):
     rng = random.Random(seed)
     alphabet = "abcdeéñß漢字 \n\t▁ 😀𐍈.,AA000<the ing tion"
