@@ -31,12 +31,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays; of rows that repeat id and text, one."""
     groups = exact.exact_groups(docs, id_col=ID, text_col=TEXT)
-    twice = written(groups.filter("kept").groupBy(ID).agg(F.count(F.lit(1)).alias("rows")), "kept")
-    once = _only(docs, twice.filter("rows = 1"))
-    again = _only(docs, twice.filter("rows > 1"))
-    again = again.withColumn("__text", F.sha2(F.coalesce(F.col(TEXT), F.lit("")), 256))
+    counts = groups.groupBy(ID).agg(F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("stay")).filter(f"stay > 0 AND {ID} IS NOT NULL")
+    ids = written(counts, "kept")
+    named, nameless = docs.filter(F.col(ID).isNotNull()), docs.filter(F.col(ID).isNull())
+    once = _only(named, ids.filter("rows = 1"))
+    # a repeated or null id says nothing about its rows: these are judged by id and text
+    again = _only(named, ids.filter("rows > 1")).unionByName(nameless).withColumn("__text", F.sha2(F.coalesce(F.col(TEXT), F.lit("")), 256))
     dropped = groups.filter("NOT kept").select(F.col(ID).alias("__id"), F.col("text_sha256").alias("__sha"))
-    again = again.join(dropped, (F.col(ID) == F.col("__id")) & (F.col("__text") == F.col("__sha")), "left_anti")
+    again = again.join(dropped, F.col(ID).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__sha")), "left_anti")
     return once.unionByName(again.dropDuplicates([ID, "__text"]).drop("__text"))
 
 

@@ -39,6 +39,12 @@ def test_exact_stage_keeps_one_row_of_each_text(spark, odd):
     assert sorted((t or "", -1 if i is None else i) for i, t in got) == sorted(best.items())
 
 
+def test_exact_stage_judges_repeated_and_null_ids_by_row(spark, docs_of, clashing):
+    rows = [(7, "A"), (7, "B"), (9, "B"), (None, "A"), (None, "C"), (None, "C"), (5, "D"), (5, "D"), (5, "E"), (4, "E"), (None, "E"), (None, None), (3, "")]
+    got = passed(spark, P.exact_stage, clashing(docs_of(rows)))
+    assert sorted(map(repr, got)) == sorted(map(repr, [(7, "A"), (9, "B"), (None, "C"), (5, "D"), (5, "E"), (3, "")]))
+
+
 def test_near_stage_keeps_the_smallest_of_each_group(spark, odd):
     rows, docs = odd
     sets = {}
