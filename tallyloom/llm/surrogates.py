@@ -190,9 +190,10 @@ def surrogate_text(docs: DataFrame, key: str, text_col: str = "text", count_col:
     """
     text = F.col(f"`{text_col}`")
     has = F.coalesce(text.rlike(HINT) & text.rlike(ENTITY), F.lit(False))
-    fingerprint = [F.xxhash64(text).alias("f1"), F.xxhash64(text, F.lit(17)).alias("f2")]
+    # the constant first: behind the text it would only hash the first hash again
+    fingerprint = [F.xxhash64(text).alias("f1"), F.xxhash64(F.lit(17), text).alias("f2")]
     touched = given(docs, text=text_col).filter(F.coalesce(F.col("text").rlike(HINT), F.lit(False)) & F.col("text").rlike(ENTITY))
-    found = written(occurrences(touched.select(F.xxhash64("text").alias("f1"), F.xxhash64("text", F.lit(17)).alias("f2"), "text")
+    found = written(occurrences(touched.select(F.xxhash64("text").alias("f1"), F.xxhash64(F.lit(17), "text").alias("f2"), "text")
                                 ).dropDuplicates(["f1", "f2", "place", "part"]), "entities")
     chosen = assigned(found, key)
 

@@ -169,7 +169,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     kind = "<f8" if wide else "<f4"
     base = given(vectors, id=id_col, v=vector_col).select(F.col("id").cast("long"), F.col("v").cast("array<double>" if wide else "array<float>").alias("v"))
     raw = mapped(base, _valid(kind), "id long, raw binary")
-    raw = written(raw.withColumns({"f1": F.xxhash64("raw"), "f2": F.xxhash64("raw", F.lit(3))}), "vectors")
+    raw = written(raw.withColumns({"f1": F.xxhash64("raw"), "f2": F.xxhash64(F.lit(3), "raw")}), "vectors")
     live = raw.filter("raw IS NOT NULL AND id IS NOT NULL")
     nodes = written(live.groupBy("f1", "f2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m"), F.first("raw").alias("raw")), "nodes")
 

@@ -13,7 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyloom.llm import archives, licenses, packing, pieces, quality, sharding, surrogates
+from tallyloom.llm import archives, licenses, packing, pieces, quality, sharding, surrogates, vectors
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -104,6 +104,18 @@ def test_surrogates_find_secrets_under_any_name(spark, docs_of):
     assert re.fullmatch(r"[a-z]{5}@\w+\.example\.\w+ and token-\d{3}-\d{3}-\d{4}: x", got[len(texts + same)]) and "867" not in got[len(texts + same)]
 
 
+def test_what_shares_a_first_hash_stays_apart(spark, docs_of):
+    """Word 0 and word 4 of 64 bytes are chosen so that xxhash64 under Spark's seed is the same."""
+    texts = [f"{a} {'writes to a house':<23}{b} {'twice a week':<23}" for a, b in (("g@d.corp", "pzYHxOsQ"), ("t@r.corp", "YczdfWxx"))]
+    frame = docs_of([*enumerate(texts)])
+    assert frame.select(F.xxhash64("text")).distinct().count() == 1
+    got = replaced(frame)
+    assert got[0].split()[0] != got[1].split()[0] and [got[k].split()[1:] for k in (0, 1)] == [t.split()[1:] for t in texts]
+    rows = [(0, [1.0] * 8), (1, [80 / 7, 1.0, 1.0, 1.0, 1.935166481864243e+39, 1.0, 1.0, 1.0])]
+    found = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), threshold=0.95)
+    assert {(r["vec_id"], r["n_links"], r["kept"]) for r in found.collect()} == {(0, 0, True), (1, 0, True)}
+
+
 def fuzz(seed, n):
     rng = random.Random(seed)
     alphabet = "abcdeéñß漢字 \n\t▁ 😀𐍈.,AA000<the ing tion"
