@@ -190,6 +190,46 @@ def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def _merkle_sql() -> str:
+    field = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+    leaf = "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ord(s)::BIGINT)), lambda c, b: {step}), 4294967295)"
+
+    def up(name, start):
+        return f"""{name}(k, lvl, idx, n, h) AS ({start} UNION ALL
+  SELECT k, lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM {name} WHERE n > 1 GROUP BY k, lvl, n, idx // 3)"""
+
+    def fold(name, nodes, start):
+        return f"""{name}(r, k, lvl, idx, h, sib) AS ({start} UNION ALL
+  SELECT f.r, f.k, f.lvl + 1, f.idx // 3, sha256(string_agg(CASE WHEN s.idx = f.idx THEN f.h ELSE s.h END, '' ORDER BY s.idx)),
+         f.sib || coalesce(string_agg(s.h, '' ORDER BY s.idx) FILTER (s.idx <> f.idx), '')
+  FROM {name} f JOIN {nodes} s ON s.k = f.k AND s.lvl = f.lvl AND s.idx // 3 = f.idx // 3 AND s.n > 1 GROUP BY f.r, f.k, f.lvl, f.idx, f.h, f.sib)"""
+
+    return f"""
+WITH RECURSIVE rows AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('g' || source, '') AS k, {leaf.format("text")} AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND {crc} % 2 = 0 THEN {leaf.format("replace(text, chr(10), '')")} END AS other FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY k) AS n FROM rows),
+{up("low", "SELECT k, 0, idx, n, leaf FROM placed")},
+sub AS (SELECT k, h, row_number() OVER (ORDER BY k) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1),
+{up("high", "SELECT '', 0, idx, n, h FROM sub")},
+{fold("one", "low", "SELECT r, k, 0, idx, coalesce(other, leaf), '' FROM placed")},
+tops AS (SELECT r, max_by(k, lvl) AS k, max_by(h, lvl) AS h, max_by(sib, lvl) AS sib FROM one GROUP BY r),
+{fold("two", "high", "SELECT r, '', 0, sub.idx, tops.h, sib FROM tops JOIN sub USING (k)")},
+ends AS (SELECT r, max_by(h, lvl) AS h, max_by(sib, lvl) AS sib FROM two GROUP BY r)
+SELECT doc_id, leaf, sub.h AS subroot, top.h AS root, sha256(sib) AS proof_sha256, ends.h AS folded_root, ends.h = top.h AS verified
+FROM placed JOIN sub USING (k) JOIN ends USING (r), (SELECT h FROM high WHERE n = 1) top
+"""
+
+
+@query(_merkle_sql())
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents")).drop("copied")
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
