@@ -230,6 +230,14 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents")).drop("copied")
 
 
+@query()
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import digests, periodic_runs
+
+    found = periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+    return found.select("doc_id", *digests(found))
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
