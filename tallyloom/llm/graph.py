@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked with the smallest of the node and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    out = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return out.filter("a <> b").distinct()
+    """Every larger neighbour of a node is linked with the smallest of the node and its neighbours.  Edges point down (a > b)."""
+    ends = edges.select(F.col("b").alias("c"), F.col("b").alias("m")).unionByName(edges.select(F.col("a").alias("c"), F.col("b").alias("m")))
+    low = ends.groupBy("c").agg(F.min("m").alias("m"))
+    return edges.join(low, F.col("b") == F.col("c")).select("a", F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -23,28 +22,33 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, with their number and a checksum that the same job observes."""
+    seen = Observation()
+    out = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+    return out, (seen.get["n"], seen.get["sum"])
+
+
+def components(edges: DataFrame, stars: DataFrame | None = None) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; component = smallest reachable node.
 
-    One round is a large-star and a small-star, each two shuffles with map-side aggregation; a
-    node with many links is split by the adaptive join.  Rounds grow with the logarithm of the
-    number of nodes.  The only figures that reach the driver are a count and a checksum per round.
+    ``stars``: components found before, as this function returns them; the edges are added to these.
+
+    One round is a large-star and a small-star, aggregated before each shuffle; a node with many links is split by the
+    adaptive join.  Rounds grow with the logarithm of the number of nodes.  The only figures that
+    reach the driver are a count and a checksum per round, taken by the job that writes the round; a task run twice can
+    make them differ once more than needed, which costs a round.
     Null ends and self-links are ignored; an empty input gives an empty table.
     """
-    now = cut_lineage(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
-    )
-
-    def state(df):
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    before = state(now)
+    edges = edges.select("a", "b")
+    if stars is not None:
+        edges = edges.unionByName(stars.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    now, before = _kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                        .filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct())
     while before[0]:
-        now = cut_lineage(_small_star(_large_star(now)))
-        after = state(now)
+        now, after = _kept(_small_star(_large_star(now)))
         if after == before:
             break
         before = after
-    stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    found = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())

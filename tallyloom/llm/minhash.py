@@ -239,8 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = cut_lineage(rest.groupBy("key", "i", "j").applyInArrow(_marked(least, num, den), rest.schema))
     if not marked.isEmpty():
         more = marked.join(base, "id").groupBy("key", "i", "j").applyInArrow(_linked(least, num, den, width), "a long, b long")
-        links = cut_lineage(links.unionByName(more))
-        found = components(links)
+        found = components(more, found)
 
     classes = nodes.select("f1", "f2", "n", "id").join(found.withColumnRenamed("node", "id"), "id", "left") \
         .select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))

@@ -89,6 +89,17 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_go_on_from_earlier_ones(spark, seed):
+    rng = random.Random(seed)
+    links = [[(rng.randrange(150), rng.randrange(150)) for _ in range(70)] for _ in range(2)]
+    one, two = (spark.createDataFrame(x, "a long, b long") for x in links)
+    want = reach(range(150), links[0] + links[1])
+    for got in (components(two, components(one)), components(one.unionByName(two))):
+        found = {r["node"]: r["component"] for r in got.collect()}
+        assert found == {i: want[i] for a, b in links[0] + links[1] for i in (a, b) if a != b}
+
+
 @pytest.mark.parametrize("every", [True, False])
 def test_exact_groups(spark, docs_of, clashing, every):
     long = "z" * 400
