@@ -46,10 +46,28 @@ def _(t):
     return J.run_to_table(J.guard(messages(S), "text"), scratch_dir(t.spark, "guard"))
 
 
-@query("stream_sessions", f"WITH {SESSIONS_SQL} SELECT key, start_id, epoch_us(s) AS start_us, epoch_us(e) AS end_us FROM ses WHERE NOT is_open")
+#: What a watermark of ten minutes has settled at the end of the log.
+PASSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events WHERE event_type IN ('view', 'purchase'))"
+
+
+@query("stream_sessions", f"WITH {SESSIONS_SQL} SELECT key, start_id, epoch_us(s) AS start_us, epoch_us(e) AS end_us FROM ses WHERE NOT is_open AND e <= {PASSED}")
 def _(t):
     s = J.toggle_sessions(_events(t), "user_id", "ts", "event_id", fx.view_(), fx.buy_())
-    return J.run_to_table(s, scratch_dir(t.spark, "toggle"))
+    return J.run_to_table(s, scratch_dir(t.spark, "toggle"), store=J.ROCKS)
+
+
+@query("stream_logon_sessions", f"""WITH a AS (SELECT user_id AS key, event_id, ts, event_type = 'view' AS opens,
+   coalesce(lag(event_type = 'view') OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id), false) AS was FROM events WHERE event_type IN ('view', 'purchase')),
+ b AS (SELECT *, lead(ts) OVER (PARTITION BY key, ts::DATE ORDER BY ts, event_id) AS stop FROM a WHERE opens <> was)
+ SELECT key, event_id AS start_id, epoch_us(ts) AS start_us, epoch_us(coalesce(stop, greatest(ts, date_trunc('day', ts) + INTERVAL '23:59:59'))) AS end_us, stop IS NULL AS is_open
+ FROM b WHERE opens AND coalesce(stop, date_trunc('day', ts) + INTERVAL 1 DAY) <= {PASSED}""")
+def _(t):
+    """Logon and logoff couples by event time, from several files; an open logon ends with its day."""
+    files = scratch_dir(t.spark, "log")
+    t.events.withColumn("part", F.to_date("ts")).repartition("part").write.partitionBy("part").parquet(files)
+    e = t.spark.readStream.schema(t.events.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1000).parquet(files)
+    s = J.couples(e.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "event_id", fx.view_(), fx.buy_(), by_day=True)
+    return J.run_to_table(s, scratch_dir(t.spark, "logon"), store=J.ROCKS)
 
 
 @query("rate_limit_audit", "SELECT event_type, event_id, n > 2 AS over_limit FROM (SELECT event_type, event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS n FROM events)")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import privacy as pv
@@ -21,10 +22,21 @@ def stream_table(spark: SparkSession, folder: str, name: str, ts: str | None = N
     return df.withColumn(ts, F.col(ts).cast("timestamp")) if ts else df
 
 
-def run_to_table(df: DataFrame, out: str, mode: str = "append") -> DataFrame:
-    """Process what is available now into a parquet folder and read it back."""
-    q = df.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/data").option(
-        "checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_to_table(df: DataFrame, out: str, mode: str = "append", store: str | None = None) -> DataFrame:
+    """Process what is available now into a parquet folder and read it back.  ``store``: the state store of this query alone."""
+    conf = df.sparkSession.conf
+    before = conf.get(STORE, None)
+    if store:
+        conf.set(STORE, store)
+    try:  # the query takes its settings when it starts
+        q = df.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/data").option(
+            "checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
+    finally:
+        if store:
+            conf.set(STORE, before) if before else conf.unset(STORE)
     q.awaitTermination()
     if q.exception():
         raise q.exception()
@@ -76,24 +88,116 @@ def rate_limit(df: DataFrame, key: str, ts: str, rid: str, per_minute: int) -> D
     return d.groupBy("key").applyInPandasWithState(step, "key bigint, rid bigint, admitted boolean", "kept array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
-def toggle_sessions(df: DataFrame, key: str, ts: str, rid: str, is_start: Column, is_stop: Column) -> DataFrame:
-    """Closed sessions as their closing event arrives; the open one waits in state."""
+DAY = 86_400_000_000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SESSIONS = "key long, start_id long, start_us long, end_us long, is_open boolean"
 
-    def step(k, pdfs, state: GroupState):
-        opened = state.get if state.exists else (None, None)
-        out = []
-        for row in _rows(pdfs, ["us", "rid"]).itertuples(index=False):
-            if row.opens and opened[0] is None:
-                opened = (row.us, row.rid)
-            elif not row.opens and opened[0] is not None:
-                out.append((k[0], opened[1], opened[0], row.us))
-                opened = (None, None)
-        state.update(opened)
-        yield pd.DataFrame(out, columns=["key", "start_id", "start_us", "end_us"])
-
-    d = df.filter(is_start != is_stop).select(F.col(key).alias("key"), F.col(rid).alias("rid"), micros(ts).alias("us"), is_start.alias("opens"))
-    return d.groupBy("key").applyInPandasWithState(step, "key bigint, start_id bigint, start_us bigint, end_us bigint", "us bigint, rid bigint",
-                                                  "append", GroupStateTimeout.NoTimeout)
+
+class _Couples(StatefulProcessor):
+    """Logon and logoff events of one key, put in time order up to the watermark and then paired.
+
+    Events wait in a list until the watermark has passed them; a timer at the earliest one wakes the key.  An
+    opened session waits for its closing event; ``by_day`` closes it at the end of its day, ``idle_us`` after that long
+    without any event of the key.  Whatever is settled leaves the state.
+    """
+
+    def __init__(self, by_day: bool, idle_us: int | None):
+        self.by_day, self.idle_us = by_day, idle_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, rid long, opens boolean")
+        self.opened = handle.getValueState("opened", "us long, rid long, last long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        first = None
+        for pdf in rows:
+            if len(pdf):
+                self.waiting.appendList([(int(u), int(r), None if o is None else bool(o)) for u, r, o in zip(pdf.us, pdf.rid, pdf.opens)])
+                first = int(pdf.us.min()) if first is None else min(first, int(pdf.us.min()))
+        if first is not None:
+            self._wake(first)
+        return iter(())
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(-(-us // 1000))
+
+    def _limit(self, opened: tuple) -> int | None:
+        """When an opened session is given up if nothing closes it: the next midnight, or idle time after the last event."""
+        if self.by_day:
+            return (opened[0] // DAY + 1) * DAY
+        return None if self.idle_us is None else opened[2] + self.idle_us
+
+    def _given_up(self, opened: tuple) -> tuple:
+        end = max(opened[0], opened[0] // DAY * DAY + DAY - 1_000_000) if self.by_day else opened[2]
+        return opened[1], opened[0], end, True
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((r[0], r[1], r[2]) for r in self.waiting.get()) if self.waiting.exists() else []
+        ready = [r for r in rows if r[0] <= passed]
+        later = rows[len(ready):]
+        held = tuple(self.opened.get()) if self.opened.exists() else None
+        out, opened = [], held
+        for us, rid, opens in ready:
+            if opened and (limit := self._limit(opened)) is not None and us >= limit:
+                out.append(self._given_up(opened))
+                opened = None
+            if opened and opens is False:
+                out.append((opened[1], opened[0], us, False))
+                opened = None
+            elif opened:
+                opened = (opened[0], opened[1], us)
+            elif opens:
+                opened = (us, rid, us)
+        limit = self._limit(opened) if opened else None
+        if limit is not None and limit <= passed:
+            out.append(self._given_up(opened))
+            opened = None
+        elif limit is not None:
+            self._wake(limit)
+        if ready and later:
+            self.waiting.put(later)
+        elif ready:
+            self.waiting.clear()
+        if later:
+            self._wake(later[0][0])
+        if opened and opened != held:
+            self.opened.update(opened)
+        elif held and not opened:
+            self.opened.clear()
+        if out:
+            yield pd.DataFrame([(key[0], *x) for x in out], columns=["key", "start_id", "start_us", "end_us", "is_open"])
+
+    def close(self) -> None:
+        pass
+
+
+def couples(df: DataFrame, key: str, ts: str, rid: str, is_start: Column, is_stop: Column, delay: str = "10 minutes",
+            by_day: bool = False, idle_seconds: int | None = None) -> DataFrame:
+    """Sessions ``(key, start_id, start_us, end_us, is_open)`` by event time, each row once, as soon as the watermark settles it.
+
+    The first start opens, the first stop after it closes; repeats and stops without a start are passed over, and
+    rows that match both or neither only tell that the key is alive.  ``by_day``: a session still open at
+    midnight ends at 23:59:59 of its day (``is_open``), and the next day begins anew.  ``idle_seconds``: a session whose key is
+    silent for so long ends at its last event (``is_open``).  With neither, an open session waits for its stop.
+
+    Rows may come in any order up to ``delay``; the result does not depend on how they fall into micro-batches.  Later rows are
+    dropped (``split_late`` shows them).  State holds events younger than the watermark and open sessions, nothing else.
+    Rows without key, time or id are passed over.  Start the query with ``run_to_table(..., store=ROCKS)``.
+    """
+    opens = F.when(is_start & ~is_stop, True).when(is_stop & ~is_start, False)
+    d = df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull() & F.col(rid).isNotNull()).withWatermark(ts, delay)
+    d = d.select(F.col(key).cast("long").alias("key"), F.col(rid).cast("long").alias("rid"), micros(ts).alias("us"), opens.alias("opens"), F.col(ts).alias("at"))
+    if by_day or idle_seconds is None:
+        d = d.filter("opens IS NOT NULL")
+    return d.groupBy("key").transformWithStateInPandas(
+        _Couples(by_day, None if idle_seconds is None else idle_seconds * 1_000_000), SESSIONS, "append", "eventtime")
+
+
+def toggle_sessions(df: DataFrame, key: str, ts: str, rid: str, is_start: Column, is_stop: Column, delay: str = "10 minutes") -> DataFrame:
+    """Closed sessions by event time; the open one waits in state for its stop."""
+    return couples(df, key, ts, rid, is_start, is_stop, delay).select("key", "start_id", "start_us", "end_us")
 
 
 def ttl_kv(df: DataFrame, keys: list[str], ts: str, rid: str, value: str, ttl_seconds: int, delay: str = "1 minute") -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,11 +30,59 @@ def at(m):
 
 
 def test_toggle_sessions_survive_batch_borders(spark):
-    s = batches(spark, [[(1, 1, at(0), "on"), (2, 2, at(1), "off")], [(3, 1, at(5), "on"), (4, 1, at(9), "off")], [(5, 2, at(10), "on"), (6, 2, at(12), "off")]], EV)
-    r = J.run_to_table(J.toggle_sessions(s, "k", "ts", "id", F.col("kind") == "on", F.col("kind") == "off"), scratch_dir(spark, "t")).collect()
+    s = batches(spark, [[(1, 1, at(0), "on"), (2, 2, at(1), "off")], [(3, 1, at(5), "on"), (4, 1, at(9), "off")], [(5, 2, at(10), "on"), (6, 2, at(12), "off")],
+                        [(7, 9, at(100), "off")]], EV)
+    r = J.run_to_table(J.toggle_sessions(s, "k", "ts", "id", F.col("kind") == "on", F.col("kind") == "off"), scratch_dir(spark, "t"), store=J.ROCKS).collect()
     assert sorted((x.key, x.start_id, (x.end_us - x.start_us) // 60_000_000) for x in r) == [(1, 1, 9), (2, 5, 2)]
 
 
+def _couples(rows, passed, by_day, idle):
+    """Sessions of (id, key, time, kind) rows up to the watermark, as one loop over each key."""
+    out = []
+    for k in {r[1] for r in rows}:
+        opened = None
+        for i, _, t, kind in sorted((r for r in rows if r[1] == k), key=lambda r: (r[2], r[0])):
+            if t > passed:
+                break
+            if opened and ((by_day and t.date() > opened[1].date()) or (idle and t - opened[2] >= idle)):
+                out.append((k, opened[0], opened[1], dt.datetime.combine(opened[1], dt.time(23, 59, 59)) if by_day else opened[2], True))
+                opened = None
+            if opened and kind == "off":
+                out.append((k, opened[0], opened[1], t, False))
+                opened = None
+            elif opened:
+                opened = (opened[0], opened[1], t if idle or kind != "noise" else opened[2])
+            elif kind == "on":
+                opened = (i, t, t)
+        if opened and by_day and dt.datetime.combine(opened[1], dt.time()) + dt.timedelta(days=1) <= passed:
+            out.append((k, opened[0], opened[1], dt.datetime.combine(opened[1], dt.time(23, 59, 59)), True))
+        elif opened and idle and opened[2] + idle <= passed:
+            out.append((k, opened[0], opened[1], opened[2], True))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("by_day,idle", [(True, None), (False, 7200), (False, None)])
+@pytest.mark.parametrize("parts", [1, 5])
+def test_couples_do_not_depend_on_micro_batches(spark, by_day, idle, parts):
+    rng = random.Random(4)
+    rows = sorted(((i, rng.randrange(4), at(rng.randrange(4 * 1440)), rng.choice(["on", "off", "noise"])) for i in range(160)), key=lambda r: r[2])
+    # out of order by less than the delay of an hour, across files
+    rows.sort(key=lambda r: r[2] + dt.timedelta(minutes=rng.randrange(59)))
+    end = (900, 77, at(9 * 1440), "off")
+    step = -(-len(rows) // parts)
+    files = [rows[i:i + step] for i in range(0, len(rows), step)] + [[end]]
+    s = batches(spark, files if parts > 1 else [rows + [end]], EV)
+    out = scratch_dir(spark, "c")
+    got = J.run_to_table(J.couples(s, "k", "ts", "id", F.col("kind") == "on", F.col("kind") == "off", "1 hour", by_day, idle), out, store=J.ROCKS).collect()
+    day0 = dt.datetime(1970, 1, 1)
+    assert sorted((r.key, r.start_id, day0 + dt.timedelta(microseconds=r.start_us), day0 + dt.timedelta(microseconds=r.end_us), r.is_open) for r in got) \
+        == _couples(rows, end[2] - dt.timedelta(hours=1), by_day, idle and dt.timedelta(seconds=idle))
+    state = spark.read.format("statestore").option("path", f"{out}/progress")
+    open_keys = {r.key.key for r in state.option("stateVarName", "opened").load().select("key").collect()}
+    assert {r.key.key for r in state.option("stateVarName", "waiting").load().select("key").collect()} == {77}  # younger than the watermark
+    assert not open_keys if by_day or idle else open_keys <= {0, 1, 2, 3}
+
+
 def test_only_admitted_events_count_against_the_limit(spark):
     rows = [(i, 1, T0 + dt.timedelta(seconds=20 * i), "x") for i in range(10)]
     s = batches(spark, [rows[:4], rows[4:]], EV)
@@ -53,10 +102,11 @@ def test_late_rows_go_to_a_counted_side_table(spark):
     assert (good.count(), [r.id for r in late.collect()]) == (3, [3])
 
 
-def test_ingest_keeps_one_copy_across_batches(spark):
-    s = batches(spark, [[("a", "same"), ("b", "one")], [("c", "same"), ("d", "two")]], "doc string, text string")
+def test_ingest_keeps_one_copy_of_a_chunk_in_each_document(spark):
+    parts = [[("a", "same"), ("a", "same"), ("b", "one")], [("c", "same"), ("d", "two")]]
+    s = batches(spark, parts, "doc string, text string")
     out = J.ingest(s, lambda b: b.withColumn("content_hash", F.sha2("text", 256)), scratch_dir(spark, "i"), "doc", "content_hash")
-    assert sorted(r.text for r in out.collect()) == ["one", "same", "two"]
+    assert sorted((r.doc, r.text) for r in out.collect()) == [("a", "same"), ("b", "one"), ("c", "same"), ("d", "two")]
 
 
 def test_dedup_across_batches(spark):
