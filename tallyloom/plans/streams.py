@@ -101,6 +101,32 @@ def _(t):
     return J.ingest(docs, to_chunks, scratch_dir(t.spark, "ingest"), "doc_id", "content_hash").select("doc_id", "content_hash")
 
 
+@query("stream_ingest_files", """SELECT doc_id // 64 AS part, sha256(CASE WHEN doc_id // 64 % 3 = 1 THEN text || ' v2' ELSE text END) AS content_hash
+ FROM documents WHERE text <> '' AND doc_id // 64 % 5 <> 4""")
+def _(t):
+    """Text files of some documents each, taken in; then some are written anew, some removed, and the store follows."""
+    from ..streaming import ingest as I
+
+    folder, out = scratch_dir(t.spark, "files"), scratch_dir(t.spark, "store")
+    part = F.floor(F.col("doc_id") / 64).cast("long")
+    docs = t.documents.filter("text <> ''").select(part.alias("part"), F.col("text").alias("value"))
+
+    def put(df):
+        df.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").option("lineSep", "\x1e").text(folder)
+
+    def records(files):
+        return files.select("path", "hash", F.explode(F.split("text", "\x1e")).alias("text")).filter("text <> ''")
+
+    store = I.FileIngest(t.spark, folder, out, records, per_batch=64, compact_every=4)
+    put(docs)
+    store.sync()
+    put(docs.filter("part % 3 = 1").withColumn("value", F.concat("value", F.lit(" v2"))))
+    for name in I.children(t.spark, folder):
+        if name.startswith("part=") and int(name[5:]) % 5 == 4:
+            I.remove(t.spark, f"{folder}/{name}")
+    return store.sync().select(F.regexp_extract("path", r"part=(\d+)/", 1).cast("long").alias("part"), F.sha2("text", 256).alias("content_hash"))
+
+
 @query("stream_late_rows", "SELECT count(*) AS on_time, 0 AS late FROM events")
 def _(t):
     good, late = J.split_late(_events(t), "ts", 600, scratch_dir(t.spark, "late"))

@@ -194,9 +194,17 @@ def scan_eval_dataset(spark: SparkSession, path: str) -> DataFrame:
     return eval_items(spark.read.schema(schema).option("multiLine", True).json(path))
 
 
-def scan_text_files(spark: SparkSession, path: str) -> DataFrame:
+TEXT_KINDS = ["md", "txt", "html", "htm"]
+
+
+def scan_text_files(spark: SparkSession, path: str, **options) -> DataFrame:
     """.md .txt .html .htm files as text with their headings; broken bytes become U+FFFD."""
-    b = spark.read.format("binaryFile").load(path).filter(tx.extension("path").isin("md", "txt", "html", "htm"))
+    return file_texts(spark.read.format("binaryFile").options(**options).load(path))
+
+
+def file_texts(files: DataFrame) -> DataFrame:
+    """Text and headings of binary file rows ``(path, length, content)`` of the accepted kinds."""
+    b = files.filter(tx.extension("path").isin(*TEXT_KINDS))
     raw = F.make_valid_utf8(F.col("content").cast("string"))
     d = b.select("path", F.col("length").alias("file_size"), F.sha2("content", 256).alias("file_hash"), tx.extension("path").alias("file_type"), raw.alias("raw"))
     html = tx.html_text(F.when(F.col("file_type").isin("html", "htm"), F.col("raw")))
