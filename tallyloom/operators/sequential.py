@@ -1,20 +1,21 @@
 """Operators whose rule feeds each row's outcome into the next.
 
-``deoverlap`` still runs in pieces: a piece of the row sequence is summarised as a small table
-"end so far -> end afterwards", the tables of a key are folded in order, and every piece is
-then replayed from its known entry state.  No task needs a whole key.
+They still run in pieces: a piece of the row sequence is summarised as a small table "state before -> state
+afterwards", neighbouring tables of a key are combined in a tree, and every piece is then replayed from
+its known entry state.  No task needs a whole key, and none holds all tables of one.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import pickle
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timecols as tc
-from ..scale import Ordered
+from .segments import entry_states, replayed, segmented
 
 _NONE = -(1 << 62)
 
@@ -58,30 +59,34 @@ def _apply(table: list[tuple[int, int]], end: int) -> int:
     return table[i][1] if i < len(table) else end
 
 
-def deoverlap(sessions: DataFrame, key: str, sid: str, gap_minutes: int = 1) -> DataFrame:
+def _then(first: list[tuple[int, int]], second: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The table of two pieces in turn: outcomes of the first go through the second; what passes the first meets the second."""
+    last = first[-1][0] if first else _NONE
+    table: list[tuple[int, int]] = []
+    for b, o in [(b, _apply(second, o)) for b, o in first] + [x for x in second if x[0] > last]:
+        if table and table[-1][1] == o:
+            table[-1] = (b, o)
+        else:
+            table.append((b, o))
+    return table
+
+
+def deoverlap(sessions: DataFrame, key: str, sid: str, gap_minutes: int = 1, fan: int = 2) -> DataFrame:
     """In start order, a session that begins at or before the last kept end starts ``gap_minutes``
     after it; what has no positive length left is dropped."""
     gap = gap_minutes * 60_000_000
     s = sessions.select(F.col(key).alias("key"), F.col(sid).alias("sid"), "start", "end",
                         tc.micros("start").alias("s"), tc.micros("end").alias("e")).filter("e > s")
-    o = Ordered(s, ["key"], ["s", "sid"])
-    rows = o.df.withColumnRenamed(Ordered.SEG, "seg") if o.seg else o.df.withColumn("seg", F.lit(0))
+    kt, st = dict(s.dtypes)["key"], dict(s.dtypes)["sid"]
+    rows = segmented(s, ["key"], ["s", "sid"])
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["s", "sid"])
-        t = _transfer(pdf["s"].tolist(), pdf["e"].tolist(), gap)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "seg": pdf["seg"].iloc[0], "bound": [[b for b, _ in t]], "outcome": [[x for _, x in t]]})
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, end, out = pdf.sort_values("seg"), _NONE, []
-        for r in pdf.itertuples(index=False):
-            out.append((r.key, r.seg, end))
-            end = _apply(list(zip(r.bound, r.outcome)), end)
-        return pd.DataFrame(out, columns=["key", "seg", "entry"])
+        table = _transfer(pdf["s"].tolist(), pdf["e"].tolist(), gap)
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "seg": pdf["seg"].iloc[:1], "t": [pickle.dumps(table)]})
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+    def replay(pdf: pd.DataFrame, end: int) -> pd.DataFrame:
         pdf, out = pdf.sort_values(["s", "sid"]), []
-        end = int(pdf["entry"].iloc[0])
         for r in pdf.itertuples(index=False):
             start = end + gap if r.s <= end else r.s
             if r.e > start:
@@ -89,48 +94,140 @@ def deoverlap(sessions: DataFrame, key: str, sid: str, gap_minutes: int = 1) ->
                 end = r.e
         return pd.DataFrame(out, columns=["key", "sid", "shift", "adjusted"])
 
-    kt, st = dict(s.dtypes)["key"], dict(s.dtypes)["sid"]
-    if o.seg:
-        tables = rows.select("key", "seg", "sid", "s", "e").groupBy("key", "seg").applyInPandas(
-            summarise, f"key {kt}, seg int, bound array<bigint>, outcome array<bigint>")
-        entry = tables.groupBy("key").applyInPandas(fold, f"key {kt}, seg int, entry bigint")
-        rows = rows.join(entry, ["key", "seg"])
-    else:
-        rows = rows.withColumn("entry", F.lit(_NONE))
-    kept = rows.select("key", "seg", "sid", "s", "e", "entry").groupBy("key", "seg").applyInPandas(
-        replay, f"key {kt}, sid {st}, shift bigint, adjusted boolean")
+    thin = rows.select("key", "seg", "sid", "s", "e")
+    tables = thin.groupBy("key", "seg").applyInPandas(summarise, f"key {kt}, seg int, t binary")
+    kept = replayed(thin, entry_states(tables, _then, _apply, _NONE, fan), replay, f"key {kt}, sid {st}, shift bigint, adjusted boolean")
     moved = F.col("start") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("shift") / 1e6).cast("decimal(18,6)"))
     return s.join(kept, ["key", "sid"]).select("key", "sid", moved.alias("start"), "end", "adjusted")
 
 
+class _Budgets:
+    """The sub-activities in turn, their caps in microseconds (0: none), and what a piece of sessions does to (current, used).
+
+    A switch or a used-up budget begins a fresh state, so a piece's table holds, for each current sub-activity, the state
+    afterwards for each range of ``used`` that is overrun at the same row, and for the rest either one state or
+    "the same sub-activity, so much more used".
+    """
+
+    def __init__(self, catalogue: list[tuple[str, float]], overtime: float):
+        self.names = [n for n, _ in catalogue]
+        self.caps = [round(h * overtime * 3_600_000_000) for _, h in catalogue]
+
+    def step(self, now: int, used: int, hint: int, worked: int) -> tuple[int, int]:
+        if hint >= 0 and hint != now:
+            now, used = hint, 0
+        if self.caps[now] > 0 and used >= self.caps[now]:
+            now, used = (now + 1) % len(self.names), 0
+        return now, used + worked
+
+    def table(self, hints: list[int], worked: list[int]) -> list[tuple[list, tuple]]:
+        """For each sub-activity: [(least used, state afterwards)] by falling bounds, and the rest, ("is", state) or ("add", worked)."""
+        n, ran = len(hints), [0]
+        for w in worked:
+            ran.append(ran[-1] + w)
+        # the next row with a hint, and the next row whose hint is another than that
+        ahead, other = [n] * (n + 1), [n] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            j = ahead[i + 1]
+            if hints[i] >= 0:
+                other[i] = j if j == n or hints[j] != hints[i] else other[j]
+            ahead[i] = i if hints[i] >= 0 else j
+
+        def switch(i: int, now: int) -> int:
+            j = ahead[i]
+            return other[j] if j < n and hints[j] == now else j
+
+        def fresh(i: int, now: int, known: dict) -> tuple[int, int]:
+            """The state afterwards when ``now`` begins at row i with nothing used."""
+            trail = []
+            while (i, now) not in known:
+                trail.append((i, now))
+                at = switch(i + 1, now)
+                over = bisect_left(ran, ran[i] + self.caps[now], i + 1, n) if self.caps[now] > 0 else n
+                if over < at:
+                    i, now = over, (now + 1) % len(self.names)
+                elif at < n:
+                    i, now = at, hints[at]
+                else:
+                    known[i, now] = (now, ran[n] - ran[i])
+            for x in trail:
+                known[x] = known[i, now]
+            return known[i, now]
+
+        known: dict = {}
+        out = []
+        for now, cap in enumerate(self.caps):
+            at, over = switch(0, now), []
+            if cap > 0:
+                # rows up to the first that even an unused budget does not reach
+                for i in range(min(at, bisect_left(ran, cap) + 1)):
+                    if i and ran[i] == ran[i - 1]:
+                        continue
+                    then = fresh(i, (now + 1) % len(self.names), known)
+                    if over and over[-1][1] == then:
+                        over[-1] = (cap - ran[i], then)
+                    else:
+                        over.append((cap - ran[i], then))
+            out.append((over, ("is", fresh(at, hints[at], known)) if at < n else ("add", ran[n])))
+        return out
+
+    @staticmethod
+    def apply(table: list, state: tuple[int, int]) -> tuple[int, int]:
+        now, used = state
+        over, (kind, rest) = table[now]
+        for least, then in over:
+            if used >= least:
+                return then
+        return rest if kind == "is" else (now, used + rest)
+
+    @classmethod
+    def then(cls, first: list, second: list) -> list:
+        out = []
+        for now, (over, (kind, rest)) in enumerate(first):
+            pieces = [(least, cls.apply(second, s)) for least, s in over]
+            if kind == "is":
+                end = ("is", cls.apply(second, rest))
+            else:
+                later, end = second[now]
+                pieces += [(least - rest, s) for least, s in later if not over or least - rest < over[-1][0]]
+                end = end if end[0] == "is" else ("add", rest + end[1])
+            merged: list = []
+            for least, s in pieces:
+                if merged and merged[-1][1] == s:
+                    merged[-1] = (least, s)
+                else:
+                    merged.append((least, s))
+            out.append((merged, end))
+        return out
+
+
 def budgeted_assignment(sessions: DataFrame, owner: str, sid: str, catalogue: list[tuple[str, float]], suggestion: str,
-                        initial: int = 0, overtime: float = 1.5) -> DataFrame:
+                        initial: int = 0, overtime: float = 1.5, fan: int = 2) -> DataFrame:
     """Sessions of an owner in start order take the current sub-activity: a suggestion for another
     one switches to it, a used-up budget (estimate x overtime) moves on to the next in the list.
 
-    Rows are one owner's working sessions, which cannot overlap, so time itself bounds them;
-    they are streamed in order through a task that keeps one owner's state.
+    Time is added up in microseconds.  Suggestions outside the catalogue count as none.
     """
-    names = [n for n, _ in catalogue]
-    budget = dict(catalogue)
-    d = sessions.select(F.col(owner).alias("owner"), F.col(sid).alias("sid"), tc.micros("start").alias("s"),
-                        tc.hours_between("start", "end").alias("hours"), F.col(suggestion).alias("hint"))
-
-    def walk(batches):
-        at, now, used = object(), names[initial], 0.0
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if r.owner != at:
-                    at, now, used = r.owner, names[initial], 0.0
-                if r.hint and r.hint != now:
-                    now, used = r.hint, 0.0
-                if budget[now] > 0 and used >= budget[now] * overtime:
-                    now, used = names[(names.index(now) + 1) % len(names)], 0.0
-                used += r.hours
-                out.append((r.owner, r.sid, now, used))
-            yield pd.DataFrame(out, columns=["owner", "sid", "sub_activity", "cumulative_hours"])
-
-    t = dict(d.dtypes)
-    return d.repartition("owner").sortWithinPartitions("owner", "s", "sid").mapInPandas(
-        walk, f"owner {t['owner']}, sid {t['sid']}, sub_activity string, cumulative_hours double")
+    machine = _Budgets(catalogue, overtime)
+    numbers = {n: i for i, n in enumerate(machine.names)}
+    hint = F.coalesce(*[F.when(F.col(suggestion) == n, i) for n, i in numbers.items()], F.lit(-1))
+    d = sessions.select(F.col(owner).alias("key"), F.col(sid).alias("sid"), tc.micros("start").alias("s"),
+                        (tc.micros("end") - tc.micros("start")).alias("worked"), hint.alias("hint"))
+    kt, st = dict(d.dtypes)["key"], dict(d.dtypes)["sid"]
+    rows = segmented(d, ["key"], ["s", "sid"])
+
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["s", "sid"])
+        table = machine.table(pdf["hint"].tolist(), pdf["worked"].tolist())
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "seg": pdf["seg"].iloc[:1], "t": [pickle.dumps(table)]})
+
+    def replay(pdf: pd.DataFrame, state: tuple[int, int]) -> pd.DataFrame:
+        pdf, out = pdf.sort_values(["s", "sid"]), []
+        for k, i, h, w in zip(pdf["key"], pdf["sid"], pdf["hint"].tolist(), pdf["worked"].tolist()):
+            state = machine.step(*state, h, w)
+            out.append((k, i, machine.names[state[0]], state[1] / 3.6e9))
+        return pd.DataFrame(out, columns=["owner", "sid", "sub_activity", "cumulative_hours"])
+
+    tables = rows.groupBy("key", "seg").applyInPandas(summarise, f"key {kt}, seg int, t binary")
+    entries = entry_states(tables, machine.then, machine.apply, (initial, 0), fan)
+    return replayed(rows, entries, replay, f"owner {kt}, sid {st}, sub_activity string, cumulative_hours double")

@@ -3,9 +3,11 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import sequential as Q
+from tallyloom.scale import cut_lineage
 from tallyloom.operators import sessions as S
 
 T0 = dt.datetime(2024, 3, 1)
@@ -227,3 +229,73 @@ def test_budgeted_assignment_matches_sequential_model(spark):
     df = spark.createDataFrame(rows, "o long, id long, start timestamp_ntz, end timestamp_ntz, hint string")
     got = Q.budgeted_assignment(df, "o", "id", cat, "hint").collect()
     assert sorted((r.owner, r.sid, r.sub_activity, r.cumulative_hours) for r in got) == sorted(want)
+
+
+def test_budget_tables_equal_step_by_step():
+    rnd = random.Random(6)
+    for _ in range(400):
+        machine = Q._Budgets([("abcd"[i], rnd.choice([0.0, 1.0, 2.0, 5.0])) for i in range(rnd.randrange(1, 5))], 1.5)
+        hour = 3_600_000_000
+        parts = [[(rnd.choice([-1, -1, -1, rnd.randrange(len(machine.names))]), rnd.choice([0, hour // 2, hour, 3 * hour])) for _ in range(rnd.randrange(1, 9))] for _ in range(3)]
+        tables = [machine.table([h for h, _ in p], [w for _, w in p]) for p in parts]
+        whole = machine.then(machine.then(tables[0], tables[1]), tables[2])
+        for now in range(len(machine.names)):
+            for used in range(0, 10 * hour, hour // 2):
+                state = by_table = (now, used)
+                for p, t in zip(parts, tables):
+                    for h, w in p:
+                        state = machine.step(*state, h, w)
+                    by_table = machine.apply(t, by_table)
+                    assert by_table == state
+                assert machine.apply(whole, (now, used)) == state
+
+
+def test_combined_transfer_tables_equal_step_by_step():
+    rnd = random.Random(8)
+    for _ in range(300):
+        ss = sorted(rnd.randrange(200) for _ in range(12))
+        es = [s + rnd.randrange(1, 60) for s in ss]
+        cuts = sorted(rnd.sample(range(1, 12), 2))
+        parts = [Q._transfer(ss[i:j], es[i:j], 5) for i, j in zip([0, *cuts], [*cuts, 12])]
+        whole, other = Q._then(Q._then(*parts[:2]), parts[2]), Q._then(parts[0], Q._then(*parts[1:]))
+        plain = Q._transfer(ss, es, 5)
+        for entry in range(-5, 270, 3):
+            assert Q._apply(whole, entry) == Q._apply(other, entry) == Q._apply(plain, entry)
+
+
+@pytest.mark.parametrize("fan", [2, 5])
+def test_a_tree_over_many_segments_equals_a_fold(spark, fan):
+    """200 segments of one key: the entries of a tree with ``fan`` tables a group equal a plain fold."""
+    import pickle
+
+    from tallyloom.operators.segments import entry_states
+
+    tables = [(k, s, pickle.dumps([(s, k)])) for k, n in ((1, 200), (2, 3), (None, 1)) for s in range(n)]
+    df = spark.createDataFrame(tables, "key long, seg int, t binary")
+
+    got = entry_states(df, lambda a, b: a + b, lambda t, s: s + t, [], fan).collect()
+    assert {(r.key, r.seg): pickle.loads(r.entry) for r in got} == {(k, s): [(i, k) for i in range(s)] for k, s, _ in tables}
+
+
+def test_budgeted_assignment_of_a_hot_owner_over_many_segments(spark, monkeypatch):
+    monkeypatch.setattr(Q, "segmented", lambda df, keys, order: cut_lineage(
+        df.repartitionByRange(23, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("seg", F.spark_partition_id())))
+    rnd, rows, cat = random.Random(5), [], [("a", 4.0), ("b", 3.0), ("c", 0.0), ("d", 7.5)]
+    for i in range(600):
+        s = T0 + dt.timedelta(hours=5 * i)
+        rows.append((1 if i % 4 else None, i, s, s + dt.timedelta(minutes=rnd.choice([0, 30, 60, 240])), rnd.choice([None] * 9 + ["b", "c", "x", ""])))
+    want = []
+    for o in (None, 1):
+        now, used = 0, 0
+        for _, i, s, e, hint in (r for r in rows if r[0] == o):
+            names = [n for n, _ in cat]
+            if hint in names and hint != names[now]:
+                now, used = names.index(hint), 0
+            if cat[now][1] > 0 and used >= cat[now][1] * 1.5 * 60:
+                now, used = (now + 1) % 4, 0
+            used += (e - s).total_seconds() / 60
+            want.append((o, i, names[now], used / 60))
+    df = spark.createDataFrame(rows, "o long, id long, start timestamp_ntz, end timestamp_ntz, hint string")
+    got = Q.budgeted_assignment(df, "o", "id", cat, "hint").collect()
+    assert sorted(((r.owner, r.sid, r.sub_activity, round(r.cumulative_hours, 9)) for r in got), key=repr) == sorted(((*w[:3], round(w[3], 9)) for w in want), key=repr)
+    assert Q.budgeted_assignment(df.filter("id < 0"), "o", "id", cat, "hint").count() == 0
