@@ -198,6 +198,24 @@ def _(t):
     return t.spark.read.parquet(d).groupBy("lang").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
 
 
+@query("chunk_store", """WITH c AS (SELECT source || '/' || lang AS document_name, doc_id, 1 AS v FROM documents),
+ e AS (SELECT *, document_name LIKE '%/fr' AND bool_or(doc_id % 2 = 0) OVER (PARTITION BY document_name) AS again FROM c WHERE document_name IS NOT NULL),
+ r AS (SELECT document_name, doc_id, CASE WHEN again THEN 2 ELSE v END AS v FROM e WHERE NOT again OR doc_id % 2 = 0),
+ d AS (SELECT DISTINCT source || '/' || lang AS document_name FROM documents WHERE n_chars > 15000)
+ SELECT document_name, count(*) AS n, sum(v)::BIGINT AS v FROM (SELECT * FROM r WHERE document_name NOT IN (SELECT document_name FROM d WHERE document_name IS NOT NULL) UNION ALL SELECT 'late', doc_id, 3 FROM documents) GROUP BY 1""")
+def _(t):
+    """Records appended, replaced by document, deleted by document, appended again and read back."""
+    from ..sources.store import ChunkStore
+
+    store = ChunkStore(t.spark, scratch_dir(t.spark, "store"), buckets=16)
+    name = F.concat_ws("/", "source", "lang")
+    store.append(t.documents.filter("source is not null and lang is not null").select(name.alias("document_name"), "doc_id", F.lit(1).alias("v")))
+    store.replace(store.scan().filter("document_name like '%/fr' and doc_id % 2 = 0").withColumn("v", F.lit(2)))
+    store.delete(t.documents.filter("n_chars > 15000").select(name.alias("document_name")))
+    store.append(t.documents.select(F.lit("late").alias("document_name"), "doc_id", F.lit(3).alias("v")))
+    return store.scan().groupBy("document_name").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
+
+
 @query("batch_by_role", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def _(t):
     d = scratch_dir(t.spark, "roles")
