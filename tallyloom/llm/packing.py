@@ -67,31 +67,41 @@ class Encoder:
     """Token ids of texts, through a bounded memory of blank-separated chunks.
 
     The vocabulary's pre-tokeniser drops white space and never joins across it, so a text's ids are
-    those of its chunks in turn; a stop mark after a letter stands alone too.  Unknown chunks are
-    encoded many at once: one that is all letters ends at the first token that closes a word.
+    those of its chunks in turn; marks after a letter are a piece of their own too.  Unknown chunks are
+    encoded many at once: one that is all letters ends at the first token that closes a word, and ASCII
+    letters need nothing of the normaliser but lower case.
     """
 
     CHARS = 1 << 20
-    STOPS = frozenset(".,;:!?")
+    MARKS = ".,;:!?%$&*#+=@~^|/()[]{}<>-\""
 
     def __init__(self, path: str, limit: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
         from tokenizers import Tokenizer
 
-        self.tokens = Tokenizer.from_file(path)
-        self.tokens.no_truncation()
-        self.tokens.no_padding()
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        self.tokens = Tokenizer.from_str(json.dumps(parts))
+        parts |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.lower = Tokenizer.from_str(json.dumps(parts))
+        for t in (self.tokens, self.lower):
+            t.no_truncation()
+            t.no_padding()
         size = self.tokens.get_vocab_size()
         self.closes = np.array([(self.tokens.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.limit, self.known, self.older = limit, {"": b""}, {}
-        self.stops = dict(zip(self.STOPS, self._plain(list(self.STOPS))))
+        self.marks: dict[str, bytes] = {}
 
     def _plain(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokens.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _words(self, words: list[str], ascii_only: bool) -> list[bytes]:
         """Chunks of letters, encoded as one text and cut where words close."""
-        ids = np.array(self.tokens.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        text = " ".join(words)
+        found = self.lower.encode_batch_fast([text.lower()], add_special_tokens=False) if ascii_only else self.tokens.encode_batch_fast([text], add_special_tokens=False)
+        ids = np.array(found[0].ids, "<u4")
         ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) != len(words):  # a letter that falls apart when its case is dropped
             return self._plain(words)
@@ -99,25 +109,43 @@ class Encoder:
         data = ids.tobytes()
         return [data[i:j] for i, j in zip([0, *ends], ends)]
 
+    def _ending(self, marks: str) -> bytes:
+        """Ids of marks that stand behind letters."""
+        ids = self.marks.get(marks)
+        if ids is None:
+            if len(self.marks) > 50_000:
+                self.marks.clear()
+            ids = self.marks[marks] = self._plain([marks])[0]
+        return ids
+
     def _recall(self, chunks: set[str]) -> set[str]:
         """Bring back what the older half of the memory holds; the others are returned."""
-        back = chunks & self.older.keys()
-        self.known.update((c, self.older[c]) for c in back)
-        return chunks - back
+        older = self.older
+        if not older:
+            return chunks
+        self.known.update([(c, older[c]) for c in chunks if c in older])
+        return chunks.difference(older)
 
     def _learn(self, new: set[str]) -> None:
-        known, stops = self.known, self.stops
+        known, ending, all_marks = self.known, self._ending, self.MARKS
+        plain, lower, others, marked = [], [], [], []
         new = self._recall(new)
-        letters = set(filter(str.isalpha, new))
-        rest = new - letters
-        stopped = [c for c in rest if c[-1] in stops and c[:-1].isalpha()]
-        letters |= self._recall({c[:-1] for c in stopped} - known.keys())
-        others = list(rest.difference(stopped))
+        for c in new:
+            if c.isalpha():
+                (lower if c.isascii() else plain).append(c)
+                continue
+            stem = c.rstrip(all_marks)
+            if stem.isalpha():
+                marked.append((c, stem))
+            else:
+                others.append(c)
+        for c in self._recall({stem for _, stem in marked if stem not in known}.difference(new)):
+            (lower if c.isascii() else plain).append(c)
         known.update(zip(others, self._plain(others)))
-        words = list(letters)
-        for i in range(0, len(words), 20_000):
-            known.update(zip(words[i:i + 20_000], self._words(words[i:i + 20_000])))
-        known.update((c, known[c[:-1]] + stops[c[-1]]) for c in stopped)
+        for words, ascii_only in ((lower, True), (plain, False)):
+            for i in range(0, len(words), 5_000):
+                known.update(zip(words[i:i + 5_000], self._words(words[i:i + 5_000], ascii_only)))
+        known.update([(c, known[stem] + ending(c[len(stem):])) for c, stem in marked])
 
     def _segments(self, text: str) -> Iterator[str]:
         at = 0
@@ -135,7 +163,7 @@ class Encoder:
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > self.limit:
             self.known, self.older = {"": b""}, self.known
-        self._learn(set().union(*chunks) - self.known.keys())
+        self._learn(set().union(*chunks).difference(self.known))
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in chunks]
 
