@@ -72,6 +72,64 @@ def pack_sentences(text: str, size: int) -> list[str]:
     return out + [cur] if cur else out
 
 
+#: Words whose full stop ends no sentence, in lower case.
+ABBREVIATIONS = ["mr", "mrs", "ms", "dr", "prof", "st", "jr", "sr", "vs", "etc", "e.g", "i.e", "cf", "al", "fig", "no", "nr", "vol", "pp", "dhr", "mevr", "drs", "ir",
+                 "bijv", "o.a", "d.w.z", "m.b.t", "z.b", "bzw", "ca", "approx", "dept", "inc", "ltd"]
+_BLANKS = r"[\x20\x09-\x0D\x1C-\x1F]+"
+SENTENCE_END = r"""[.!?\x{2026}]["'\x{201D}\x{2019}\x{BB})\]]*$"""
+NO_END = r"""^["'\x{201C}\x{2018}\x{AB}(\[]*([A-Z]|(?i:""" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r"""))\.["'\x{201D}\x{2019}\x{BB})\]]*$"""
+
+
+def sentences(text) -> Column:
+    """Sentences of a text, blanks collapsed, in columns alone.
+
+    A word ends one when it closes with ``.``, ``!``, ``?`` or an ellipsis, quotes and brackets behind it included, unless it is an
+    abbreviation or an initial, or the next word begins with a small ASCII letter.  Decimals hold no blank, so they end none.
+    """
+    t = F.col(text) if isinstance(text, str) else text
+    words = F.filter(F.split(t, _BLANKS), lambda w: w != "")
+
+    def marked(ws):
+        return F.transform(ws, lambda w, i: F.when(
+            w.rlike(SENTENCE_END) & ~w.rlike(NO_END) & ~F.coalesce(F.get(ws, i + 1).rlike("^[a-z]"), F.lit(False)), F.concat(w, F.lit("\x1e"))).otherwise(w))
+
+    # one-element array: the words are worked out once, then looked at by position
+    text = F.element_at(F.transform(F.array(words), lambda ws: F.array_join(marked(ws), " ")), 1)
+    return F.filter(F.split(text, "\x1e ?"), lambda s: s != "")
+
+
+def packed_sentences(found: Column, budget: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> tuple[Column, Column]:
+    """Two columns: ``__counted``, the words of each sentence, and, worked out from that one, ``array<struct<start,end>>`` of sentence
+    positions: greedy chunks of at most ``budget`` words, one longer sentence alone.
+
+    A chunk begins again with the last sentences of the one before, as many as have ``overlap`` words together and leave room for the
+    next sentence, but never with all of them.  One pass over the sentences; what it carries is bounded by ``overlap``.
+    """
+    last = f"slice(a.tail, greatest(size(a.tail) - {overlap} + 1, 1), {overlap})" if overlap else "slice(a.tail, 1, 0)"
+    again = f"""aggregate(reverse({last}), named_struct('sum', 0, 'k', 0, 'open', true),
+        (b, v) -> if(b.open AND b.sum + v <= least({overlap}, {budget} - x.n), named_struct('sum', b.sum + v, 'k', b.k + 1, 'open', true), named_struct('sum', b.sum, 'k', b.k, 'open', false)))"""
+    closed = f"""transform(array({again}), g -> named_struct('at', x.i - g.k, 'used', g.sum + x.n,
+        'tail', if(g.k > 0, array_append(slice(a.tail, size(a.tail) - g.k + 2, g.k - 1), x.n), slice(a.tail, 1, 0)),
+        'done', array_append(a.done, named_struct('start', a.at, 'end', x.i - 1))))[0]"""
+    added = f"named_struct('at', a.at, 'used', a.used + x.n, 'tail', if(a.used > 0, array_append({last}, x.n), a.tail), 'done', a.done)"
+    counted = F.transform(found, lambda s, i: F.struct(i.cast("int").alias("i"), F.size(F.split(s, " ")).alias("n")))
+    packs = F.expr(f"""aggregate(__counted, named_struct('at', 0, 'used', 0, 'tail', cast(array() AS array<int>), 'done', cast(array() AS array<struct<start:int,end:int>>)),
+        (a, x) -> if(a.used > 0 AND a.used + x.n > {budget}, {closed}, {added}),
+        a -> if(a.used > 0, array_append(a.done, named_struct('start', a.at, 'end', size(__counted) - 1)), a.done))""")
+    return counted, packs
+
+
+def sentence_chunks(docs: DataFrame, text: str, budget: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, out: str = "chunks") -> DataFrame:
+    """``docs`` with ``out``: whole sentences of ``text`` in chunks of at most ``budget`` words, ``overlap`` words of them again in the next.
+
+    No worker and no shuffle; a text without words has no chunks.
+    """
+    counted, packs = packed_sentences(F.col("__found"), budget, overlap)
+    d = docs.withColumn("__found", sentences(text)).withColumn("__counted", counted).withColumn("__packs", packs)
+    joined = F.transform("__packs", lambda p: F.array_join(F.slice("__found", p["start"] + 1, p["end"] - p["start"] + 1), " "))
+    return d.withColumn(out, F.coalesce(joined, F.array().cast("array<string>"))).drop("__found", "__counted", "__packs")
+
+
 def chunker(strategy: str = "recursive", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, parity: bool = False):
     """Column function: array of page texts -> array<struct<page,text>> for a strategy name."""
     if strategy in ("recursive", "character"):

@@ -277,6 +277,32 @@ def _(t):
     return c.select("doc_id", "chunk_index", "is_empty_page", "content_hash", "raw_length")
 
 
+def sentence_sql(budget, overlap):
+    end = C.SENTENCE_END.replace("'", "''")
+    no_end = C.NO_END.replace("'", "''")
+    return rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D\x1C-\x1F]+'), lambda x: x <> '') AS ws FROM documents),
+ e AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+ f AS (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM e),
+ g AS (SELECT doc_id, word, i, regexp_matches(word, '{end}') AND NOT regexp_matches(word, '{no_end}') AND NOT coalesce(regexp_matches(next, '^[a-z]'), false) AS ends FROM f),
+ h AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM g),
+ sn AS (SELECT doc_id, s, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM h GROUP BY doc_id, s),
+ d AS (SELECT doc_id, list(t ORDER BY s) AS t, list(n ORDER BY s) AS n, list_prepend(0::HUGEINT, list(p ORDER BY s)) AS p FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM sn) GROUP BY doc_id),
+ c(doc_id, k, a, b) AS (
+  SELECT doc_id, 0, 1, greatest(1, len(list_filter(p[2:], lambda x: x <= {budget}))) FROM d
+  UNION ALL SELECT doc_id, k, a, a - 1 + greatest(1, len(list_filter(p[a + 1:], lambda x: x - p[a] <= {budget}))) FROM (
+   SELECT d.doc_id, k + 1 AS k, d.p, b + 1 - len(list_filter(d.p[a + 1:b], lambda x: d.p[b + 1] - x <= least({overlap}, {budget} - d.n[b + 1]))) AS a
+   FROM c JOIN d ON d.doc_id = c.doc_id AND c.b < len(d.n)))
+ SELECT doc_id, k AS chunk_index, sha256(array_to_string(t[a:b], ' ')) AS content_hash, list_sum(n[a:b])::BIGINT AS words FROM c JOIN d USING (doc_id)"""
+
+
+@query("chunk_sentences", sentence_sql(60, 15))
+def _(t):
+    """Whole sentences in chunks of 60 words, up to 15 words of them again in the next chunk."""
+    c = C.sentence_chunks(spread(t.documents).select("doc_id", "text"), "text", 60, 15)
+    c = c.select("doc_id", F.posexplode("chunks").alias("chunk_index", "c"))
+    return c.select("doc_id", "chunk_index", F.sha2("c", 256).alias("content_hash"), F.size(F.split("c", " ")).cast("long").alias("words"))
+
+
 CHUNKS_SQL = f"""pg AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents),
  pc AS (SELECT doc_id, page, p, unnest(CASE WHEN regexp_replace(p, '{SP}', '', 'g') = '' THEN [0] ELSE range(0, (length(p) + 461) // 462) END) AS i FROM pg),
  rc AS (SELECT doc_id, page, i, CASE WHEN regexp_replace(p, '{SP}', '', 'g') = '' THEN '' ELSE substring(p, i * 462 + 1, 512) END AS raw FROM pc),
