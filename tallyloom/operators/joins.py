@@ -81,26 +81,85 @@ def duplicates_against(batch: DataFrame, existing: DataFrame, sid: str, start: s
     return by_id.unionByName(by_range)
 
 
-def upload_plan(batch: DataFrame, existing: DataFrame, sid: str, start: str, end: str, order: str) -> DataFrame:
+def _first_comers(open_: DataFrame, sid: str, rng: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that come first under both their id and their range, rows that clash with none of these)."""
+    by_id = open_.groupBy(sid).agg(F.min(order).alias("__i"))
+    by_rng = open_.groupBy(*rng).agg(F.min(order).alias("__r"))
+    won = cut_lineage(open_.join(by_id, sid).join(by_rng, rng).filter(
+        (F.col(order) == F.col("__i")) & (F.col(order) == F.col("__r"))).select(order, sid, *rng))
+    return won, cut_lineage(open_.join(won.select(sid), sid, "left_anti").join(won.select(*rng), rng, "left_anti"))
+
+
+def _clusters(open_: DataFrame, sid: str, rng: list[str], order: str) -> DataFrame:
+    """``open_`` with ``__c``, one number for all rows that shared ids and ranges connect.
+
+    Every row points to a row of its cluster, itself at first.  In a round it learns the least grandparent among its
+    id's and its range's rows, hooks its parent and itself there, and jumps over its parent, so rounds grow with the
+    logarithm of the longest chain.
+    """
+    keep = [order, sid, *rng]
+    now, moving = open_.select(*keep, F.col(order).alias("__f"), F.col(order).alias("__g")), 1
+    while moving:
+        by_id = now.groupBy(sid).agg(F.min("__g").alias("__i"))
+        by_rng = now.groupBy(*rng).agg(F.min("__g").alias("__r"))
+        seen = now.join(by_id, sid).join(by_rng, rng).withColumn("__m", F.least("__i", "__r"))
+        hooks = seen.groupBy(F.col("__f").alias(order)).agg(F.min("__m").alias("__h"))
+        up = seen.join(hooks, order, "left").select(*keep, "__g", F.least("__f", "__m", "__g", F.coalesce("__h", "__f")).alias("__f"))
+        up = cut_lineage(up)
+        parents = up.select(F.col(order).alias("__f"), F.col("__f").alias("__n"))
+        now = cut_lineage(up.join(parents, "__f").select(*keep, "__f", F.col("__n").alias("__g"), (F.col("__g") != F.col("__n")).alias("__moved")))
+        moving = now.filter("__moved").limit(1).count()
+        now = now.drop("__moved")
+    return now.select(*keep, F.col("__g").alias("__c"))
+
+
+def _in_turn(sid: str, rng: list[str], order: str):
+    """Accepts rows sorted by cluster and order; what has been accepted is held for one cluster at a time."""
+
+    def run(batches):
+        at, ids, ranges = object(), set(), set()
+        for pdf in batches:
+            keep = []
+            for c, i, r in zip(pdf["__c"], pdf[sid], zip(*(pdf[x] for x in rng))):
+                if c != at:
+                    at, ids, ranges = c, set(), set()
+                good = i not in ids and r not in ranges
+                if good:
+                    ids.add(i)
+                    ranges.add(r)
+                keep.append(good)
+            yield pdf[keep][[order, sid, *rng]]
+
+    return run
+
+
+def upload_plan(batch: DataFrame, existing: DataFrame, sid: str, start: str, end: str, order: str, rounds: int = 2,
+                cluster_rows: int = 1_000_000) -> DataFrame:
     """Decide each row in order: id exists, id repeated, range exists, range repeated, else accept.
 
-    Only accepted rows count as seen.  Rows are settled in rounds: a row that comes first under
-    both its id and its range is accepted, rows that clash with it leave, and the rest go on.
+    Only accepted rows count as seen, so a row's fate can hang on a long chain of others.  After ``rounds`` rounds, in
+    which rows that come first under both their id and their range are accepted and those that clash with them leave, the rest is
+    clustered by shared ids and ranges.  Clusters of up to ``cluster_rows`` rows are settled in order, streamed, in one pass; only
+    inside larger ones do rounds go on.  ``order`` must be unique.
     """
+    rng = [start, end]
     ids = existing.select(sid).distinct().withColumn("id_exists", F.lit(True))
     rngs = existing.select(start, end).distinct().withColumn("range_exists", F.lit(True))
-    rows = batch.join(ids, sid, "left").join(rngs, [start, end], "left")
+    rows = batch.join(ids, sid, "left").join(rngs, rng, "left")
     open_ = cut_lineage(rows.filter("id_exists is null and range_exists is null").select(order, sid, start, end))
-    accepted = None
-    while True:
-        by_id = open_.groupBy(sid).agg(F.min(order).alias("__i"))
-        by_rng = open_.groupBy(start, end).agg(F.min(order).alias("__r"))
-        won = cut_lineage(open_.join(by_id, sid).join(by_rng, [start, end]).filter(
-            (F.col(order) == F.col("__i")) & (F.col(order) == F.col("__r"))).select(order, sid, start, end))
-        accepted = won if accepted is None else accepted.unionByName(won)
-        open_ = cut_lineage(open_.join(won.select(sid), sid, "left_anti").join(won.select(start, end), [start, end], "left_anti"))
-        if open_.isEmpty():
-            break
+    accepted = open_.limit(0)
+    for _ in range(rounds):
+        won, open_ = _first_comers(open_, sid, rng, order)
+        accepted = accepted.unionByName(won)
+    if not open_.isEmpty():
+        placed = _clusters(open_, sid, rng, order)
+        large = cut_lineage(placed.groupBy("__c").agg(F.count("*").alias("__n")).filter(F.col("__n") > cluster_rows).select("__c"))
+        small = placed.join(large, "__c", "left_anti").repartition("__c").sortWithinPartitions("__c", order)
+        accepted = accepted.unionByName(cut_lineage(small.mapInPandas(_in_turn(sid, rng, order), accepted.schema)))
+        open_ = placed.join(large, "__c").drop("__c")
+        while not open_.isEmpty():
+            won, open_ = _first_comers(open_, sid, rng, order)
+            accepted = accepted.unionByName(won)
     a_id = accepted.select(sid, F.col(order).alias("__ai"))
     a_rng = accepted.select(start, end, F.col(order).alias("__ar"))
     o = F.col(order)

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import intervals as I
@@ -90,6 +91,43 @@ def test_upload_plan_counts_only_accepted_rows_as_seen(spark):
     assert sorted((r.o, r.status) for r in got.collect()) == want
 
 
+def _plan(rows):
+    ids, ranges, out = set(), set(), {}
+    for o, i, r in sorted(rows):
+        out[o] = "id_repeated" if i in ids else "range_repeated" if r in ranges else "accepted"
+        if out[o] == "accepted":
+            ids.add(i)
+            ranges.add(r)
+    return out
+
+
+def _planned(spark, rows, **settings):
+    h = dt.timedelta(hours=1)
+    sch = "id long, start timestamp_ntz, end timestamp_ntz"
+    df = spark.createDataFrame([(o, i, T0 + h * r, T0 + h * r + h) for o, i, r in rows], "o long, " + sch)
+    return {r.o: r.status for r in J.upload_plan(df, spark.createDataFrame([], sch), "id", "start", "end", "o", **settings).collect()}
+
+
+@pytest.mark.parametrize("settings", [{}, {"rounds": 0}, {"rounds": 1, "cluster_rows": 6}])
+def test_upload_plan_of_random_clusters(spark, settings):
+    rnd = random.Random(7)
+    rows = [(o, rnd.randrange(50), rnd.randrange(50)) for o in range(110)]
+    assert _planned(spark, rows, **settings) == _plan(rows)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Each row shares its id with the one before and its range with the one after, so every fate hangs on all before it."""
+    count, cut = [0], J.cut_lineage
+    monkeypatch.setattr(J, "cut_lineage", lambda df: (count.__setitem__(0, count[0] + 1), cut(df))[1])
+    taken = {}
+    for n in (10, 10_000):
+        rows = [(o, o // 2, (o + 1) // 2) for o in range(n)]
+        count[0] = 0
+        assert _planned(spark, rows) == _plan(rows)
+        taken[n] = count[0]
+    assert taken[10_000] <= taken[10] + 2 * 12  # two a round, rounds by the logarithm; one by one it would be ten thousand
+
+
 def test_conflicts_give_one_row_per_session_at_every_size(spark):
     s = spark.createDataFrame([(1,), (2,)], "sid long")
     c = spark.createDataFrame([(1, i) for i in range(2500)], "sid long, x long")
