@@ -25,20 +25,23 @@ class TopK:
     def __init__(self, n_queries: int, k: int):
         self.k = k
         self.best = [(np.empty(0), np.empty(0)) for _ in range(n_queries)]
+        self.floor = np.full(n_queries, -np.inf)  # what a score must reach to matter
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
         scores = np.round(scores, 9) + 0.0
-        for q in range(scores.shape[1]):
-            s, (bi, bs) = scores[:, q], self.best[q]
+        open_ = scores >= self.floor
+        for q in np.flatnonzero(open_.any(axis=0)).tolist():
+            keep, (bi, bs) = np.flatnonzero(open_[:, q]), self.best[q]
+            s = scores[keep, q]
             if len(s) > self.k:
-                cut = np.partition(s, -self.k)[-self.k]
-                keep = np.nonzero(s >= max(cut, bs[-1]) if len(bs) == self.k else s >= cut)[0]
-            else:
-                keep = np.arange(len(s))
+                best = s >= np.partition(s, -self.k)[-self.k]
+                keep, s = keep[best], s[best]
             i = np.concatenate([bi, ids[keep]]) if len(bi) else ids[keep]
-            v = np.concatenate([bs, s[keep]])
+            v = np.concatenate([bs, s])
             order = np.lexsort((i, -v))[: self.k]
             self.best[q] = (i[order], v[order])
+            if len(order) == self.k:
+                self.floor[q] = v[order[-1]]
 
     def batch(self, query_ids: list, id_type: pa.DataType) -> pa.RecordBatch:
         q = [x for x, (i, _) in zip(query_ids, self.best) for _ in range(len(i))]

@@ -2,8 +2,9 @@
 
 Queries travel to the data.  Each task scores its part of the corpus against a block of
 queries with matrix products and keeps only its own best k, so a query costs k rows per task
-in the one shuffle, whatever the corpus size; no (query, document) pairs are emitted.  More
-queries than one block allows are handled in several passes over the corpus.
+in the one shuffle, whatever the corpus size; no (query, document) pairs are emitted.  Dense queries
+come in blocks of bounded bytes (a hundred thousand of 64 dimensions are one block), lexical ones in blocks of bounded rows;
+each block is one pass over the two columns of the corpus that are needed.
 """
 
 from __future__ import annotations
@@ -20,28 +21,36 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as tx
 from ..functions.vectors import TopK
-from ..scale import DRIVER_ROWS, cut_lineage, first_per, setting, spread
+from ..scale import DRIVER_ROWS, QUERY_BYTES, cut_lineage, first_per, setting, spread
 
+#: Scores that a task works out at a time.
+SCORES = 4_000_000
 _SQL_TYPES = {"bigint": pa.int64(), "int": pa.int64(), "string": pa.string()}
 
 
-def _blocks(queries: DataFrame, qid: str):
-    """Query rows in blocks small enough for the driver and a task."""
-    limit = setting(queries.sparkSession, DRIVER_ROWS)
+def _blocks(queries: DataFrame, qid: str, limit: int):
+    """Query rows in blocks of about ``limit`` rows, small enough for the driver and a task."""
     rows = queries.limit(limit + 1).collect()
     if len(rows) <= limit:
         return [rows]
-    n = 2 * math.ceil(queries.count() / limit)
+    n = math.ceil(1.1 * queries.count() / limit)
     part = F.pmod(F.xxhash64(qid), F.lit(n))
     return (queries.filter(part == i).collect() for i in range(n))
 
 
-def _search(corpus: DataFrame, rid: str, col: str, queries: DataFrame, qid: str, k: int, prepare, score) -> DataFrame:
+def _dense_rows(queries: DataFrame, vec: str) -> int:
+    """Rows of a block of vectors: as many as the bytes allow."""
+    width = queries.agg(F.max(F.size(vec))).first()[0] or 1
+    return max(1, setting(queries.sparkSession, QUERY_BYTES) // (8 * max(width, 1)))
+
+
+def _search(corpus: DataFrame, rid: str, col: str, queries: DataFrame, qid: str, k: int, prepare, score, block: int | None = None) -> DataFrame:
     spark = corpus.sparkSession
+    block = block or setting(spark, DRIVER_ROWS)
     rtype, qtype = dict(corpus.dtypes)[rid], dict(queries.dtypes)[qid]
     id_type, out = _SQL_TYPES[rtype], None
     schema = f"query_id {qtype if qtype == 'string' else 'bigint'}, record_id {'string' if rtype == 'string' else 'bigint'}, score double"
-    for rows in _blocks(queries, qid):
+    for rows in _blocks(queries, qid, block):
         if not rows:
             continue
         state = spark.sparkContext.broadcast(([r[0] for r in rows], prepare(rows)))  # bounded by the block size
@@ -85,9 +94,13 @@ def dense_topk(corpus: DataFrame, rid: str, vec: str, queries: DataFrame, qid: s
             m = np.zeros((len(ids), dim))
             for i in np.nonzero(fit)[0]:
                 m[i] = col[int(i)].as_py()
-        yield ids, _unit_rows(m) @ q
+        units = _unit_rows(m)
+        step = max(1, SCORES // q.shape[1])
+        for a in range(0, len(ids), step):
+            yield ids[a:a + step], units[a:a + step] @ q
 
-    return _search(corpus, rid, vec, queries.select(qid, qvec), qid, k, prepare, score)
+    queries = queries.select(qid, qvec)
+    return _search(corpus, rid, vec, queries, qid, k, prepare, score, _dense_rows(queries, qvec))
 
 
 # Term saturation, length weight, and the share of the mean idf given to terms

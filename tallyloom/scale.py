@@ -21,7 +21,8 @@ from pyspark.sql.window import Window as W
 
 WINDOW_BYTES = "spark.tallyloom.windowBytes"
 DRIVER_ROWS = "spark.tallyloom.driverRows"
-_DEFAULTS = {WINDOW_BYTES: 512 << 20, DRIVER_ROWS: 4096}
+QUERY_BYTES = "spark.tallyloom.queryBytes"
+_DEFAULTS = {WINDOW_BYTES: 512 << 20, DRIVER_ROWS: 4096, QUERY_BYTES: 64 << 20}
 
 
 def setting(spark: SparkSession, key: str) -> int:
@@ -86,15 +87,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bounded_rows(df: DataFrame, what: str, limit: int | None = None) -> list:
-    """Bring a bounded helper table to the driver; refuse when it is larger than allowed."""
-    limit = limit or setting(df.sparkSession, DRIVER_ROWS)
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what}: more than {limit} rows; split it into blocks")
-    return rows
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy row work all cores when the input is too small to have many partitions.
     Larger inputs already arrive in one partition per file split and are left alone."""

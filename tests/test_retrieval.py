@@ -34,11 +34,26 @@ def test_dense_topk_in_one_and_in_many_query_blocks(spark):
         return got
 
     assert run() == want
-    spark.conf.set("spark.tallyloom.driverRows", "4")
+    spark.conf.set("spark.tallyloom.queryBytes", str(4 * 8 * 8))  # four queries of eight dimensions
     try:
         assert run() == want
     finally:
-        spark.conf.unset("spark.tallyloom.driverRows")
+        spark.conf.unset("spark.tallyloom.queryBytes")
+
+
+def test_a_hundred_thousand_queries_read_the_corpus_once(spark, monkeypatch):
+    m, df = vectors(spark, n=300, d=4)
+    monkeypatch.setattr(R, "SCORES", 300_000)
+    q = spark.range(100_000).select("id", F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.sin(F.col("id") * (i + 1) + i)).alias("qv"))
+    passes, blocks = [0], R._blocks
+    monkeypatch.setattr(R, "_blocks", lambda *a: (lambda b: (passes.__setitem__(0, len(b)), b)[1])(list(blocks(*a))))
+    hits = R.dense_topk(df.repartition(2), "id", "v", q, "id", "qv", 3)
+    got = {(r.query_id, r["rank"]): r.record_id for r in hits.filter("query_id % 9973 = 0").collect()}
+    assert passes == [1] and hits.count() == 300_000
+    for i in range(0, 100_000, 9973):
+        v = np.array([math.sin(i * (j + 1) + j) for j in range(4)])
+        best = sorted((-round(cos(x, v), 9), j) for j, x in enumerate(m))[:3]
+        assert [got[i, r] for r in (1, 2, 3)] == [j for _, j in best]
 
 
 def test_dense_topk_scores_odd_vectors_zero_and_breaks_ties_by_id(spark):
