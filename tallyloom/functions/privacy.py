@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +23,7 @@ PII_PATTERNS = [
     ("patient_id", r"(?:pati[eë]nt(?:nummer|id|nr)|MRN|dossier(?:nummer|nr)?)[:\s]*[A-Za-z0-9-]+", "never", "[PATIENTNR]"),
     ("date_specific", rf"\b(?:op|sinds|vanaf|tot)\s+\d{{1,2}}\s+(?:{MONTHS})(?:\s+\d{{4}})?\b", "after_transform", "[DATUM]"),
 ]
+# Fixed values.
 FALLBACK_PATTERNS = [
     ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"),
     ("phone", r"\b(?:\+31|0)[\s-]?[1-9](?:[\s-]?\d){8}\b"),
@@ -43,6 +41,7 @@ WITHOUT_DIGITS = ["name", "email", "patient_id"]  # every other category needs a
 # Masking order: direct identifiers first, then what may be generalised.
 MASK_ORDER = ["name", "email", "patient_id", "address", "dob_exact", "date_specific", "bsn", "phone", "postal_code", "age_exact"]
 
+# Fixed values.
 JAILBREAK_PATTERNS = [
     r"ignore\s+(all\s+)?(previous|prior|above)\s+(instructions?|prompts?)",
     r"forget\s+(your|all)\s+(guidelines?|instructions?|rules?)",
@@ -58,6 +57,7 @@ JAILBREAK_PATTERNS = [
     r"override\s+(security|safety)",
     r"disable\s+(filters?|guardrails?|safety)",
 ]
+# Fixed values.
 OFF_TOPIC_PATTERNS = [
     r"(tell|write)\s+me\s+a\s+(joke|story|poem)",
     r"what('s|\s+is)\s+the\s+weather",
@@ -67,16 +67,21 @@ OFF_TOPIC_PATTERNS = [
     r"(who|what)\s+(is|was)\s+the\s+(president|king|queen)",
     r"(sing|dance|draw)\s+(a|me|for)",
 ]
+# Fixed values.
 DOMAIN_WORDS = ["medical", "clinical", "patient", "diagnosis", "treatment", "document", "report", "record", "summary", "extract",
                 "health", "doctor", "hospital", "medication", "symptom", "analyze", "summarize", "review", "condition", "finding"]
+# Fixed values.
 GREETINGS = ["hello", "hi", "thanks", "thank you", "yes", "no", "ok"]
+# Fixed values.
 BLOCKED_TERMS = ["system prompt", "ignore previous", "bypass", "jailbreak"]
+# Fixed values.
 LEAK_PATTERNS = [
     r"my\s+system\s+prompt\s+is",
     r"my\s+instructions?\s+(are|say)",
     r"I\s+(am|was)\s+programmed\s+to",
     r"here\s+is\s+my\s+(system\s+prompt|instructions?)",
 ]
+# Fixed values.
 ADVICE_PATTERNS = [
     r"you\s+should\s+(take|start|stop|avoid)\s+\w+",
     r"I\s+recommend\s+(taking|starting|stopping)",
@@ -138,15 +143,21 @@ def has_pii(text) -> Column:
     return hit
 
 
-def pii_spans(text) -> Column:
-    """array<struct<category,start,length>> of all matches; texts of matches are not kept."""
-    compiled = [(n, re.compile(p, re.IGNORECASE)) for n, p, _, _ in PII_PATTERNS]
+def _matches(t: Column, pattern: str, name: str) -> Column:
+    """Where a pattern matches: what stands between the matches tells their places."""
+    found, between = F.regexp_extract_all(t, _re(pattern), F.lit(0)), F.split(t, f"(?iU){pattern}", -1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<category:string,start:int,length:int>>").alias("spans"))
+    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda x, m: F.struct(F.length(x).alias("gap"), F.length(m).alias("length")))
+    walked = F.aggregate(pairs, start, lambda a, x: F.struct(
+        (a["at"] + x["gap"] + x["length"]).alias("at"),
+        F.array_append(a["spans"], F.struct(F.lit(name).alias("category"), (a["at"] + x["gap"]).alias("start"), x["length"].alias("length"))).alias("spans")))
+    return F.when(_possible(t, name), walked["spans"]).otherwise(start["spans"])
 
-    def spans(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: [{"category": n, "start": m.start(), "length": m.end() - m.start()}
-                                for n, rx in compiled for m in rx.finditer(v or "")])
 
-    return F.pandas_udf(spans, "array<struct<category:string,start:int,length:int>>")(_c(text))
+def pii_spans(text) -> Column:
+    """array<struct<category,start,length>> of all matches; texts of matches are not kept."""
+    t = F.coalesce(_c(text), F.lit(""))
+    return F.flatten(F.array(*[_matches(t, p, n) for n, p, _, _ in PII_PATTERNS]))
 
 
 def pii_decision(categories: Column, allowed: list[str] = ()) -> Column:

@@ -130,7 +130,7 @@ def _(t):
 
 
 @query("upload_plan", """WITH b AS (SELECT o_orderkey AS o, o_custkey AS id, o_custkey % 700 AS r, o_orderstatus AS st, o_totalprice AS p FROM orders),
- ex AS (SELECT id, r FROM b WHERE st = 'P' AND p > 450000), nw AS (SELECT * FROM b WHERE st <> 'P'),
+ ex AS (SELECT id, r FROM b WHERE st = 'P' AND p > 450000), nw AS (SELECT * FROM b WHERE NOT (st = 'P' AND p > 450000)),
  f AS (SELECT *, id IN (SELECT id FROM ex) AS ie, r IN (SELECT r FROM ex) AS re FROM nw),
  g AS (SELECT *, min(CASE WHEN NOT ie AND NOT re THEN o END) OVER (PARTITION BY r) AS win_o FROM f),
  h AS (SELECT *, max(CASE WHEN o = win_o THEN o END) OVER (PARTITION BY id) AS id_o FROM g)
@@ -141,7 +141,7 @@ def _(t):
     b = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_custkey").alias("id"), (day0 + r).alias("start"),
                         (day0 + r + F.expr("INTERVAL '30' MINUTE")).alias("end"))
     old = b.filter("o_orderstatus = 'P' and o_totalprice > 450000")
-    new = b.filter("o_orderstatus <> 'P'").drop("o_orderstatus", "o_totalprice")
+    new = b.filter("not (o_orderstatus = 'P' and o_totalprice > 450000)").drop("o_orderstatus", "o_totalprice")
     return J.upload_plan(new, old, "id", "start", "end", "o_orderkey").select("o_orderkey", "status")
 
 
@@ -184,10 +184,10 @@ def _(t):
     return j.agg(F.count("*").alias("total"), F.count("has").alias("with_commits"), F.round(100.0 * F.count("has") / F.count("*"), 6).alias("rate"))
 
 
-@query("dates_without", f"""SELECT {txt('o_orderdate::DATE')} AS date, count(*) AS n, count(DISTINCT o_orderpriority) AS repos FROM orders
- WHERE o_orderdate::DATE NOT IN (SELECT l_shipdate::DATE FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50) GROUP BY 1""")
+@query("dates_without", f"""SELECT {txt('l_shipdate::DATE')} AS date, count(*) AS n, count(DISTINCT l_returnflag) AS repos FROM lineitem
+ WHERE l_shipdate::DATE NOT IN (SELECT o_orderdate::DATE FROM orders) GROUP BY 1""")
 def _(t):
-    return J.dates_without(t.orders, "o_orderdate", "o_orderpriority", t.lineitem.filter("l_returnflag = 'R' and l_quantity = 50"), "l_shipdate")
+    return J.dates_without(t.lineitem, "l_shipdate", "l_returnflag", t.orders, "o_orderdate")
 
 
 @query("daily_enrich", f"""WITH lg AS (SELECT o_orderdate::DATE AS date, count(*) * 0.5 AS logged FROM orders GROUP BY 1),

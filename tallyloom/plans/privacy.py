@@ -29,7 +29,13 @@ def _(t):
     return spread(t.documents).select("doc_id", *[c.alias(n) for n, c in pv.pii_counts("text").items()])
 
 
-@query("pii_spans")
+def spans_sql(name, p):
+    return f"""SELECT doc_id, '{name}' AS category, (sum(gap + n) OVER (PARTITION BY doc_id ORDER BY i) - n)::INT AS "start", n::INT AS length
+ FROM (SELECT doc_id, unnest(list_transform(m, lambda x: length(x))) AS n, unnest(list_transform(b[1:len(m)], lambda x: length(x))) AS gap, generate_subscripts(m, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(text, {p}) AS m, string_split_regex(text, {p}) AS b FROM documents))"""
+
+
+@query("pii_spans", " UNION ALL ".join(spans_sql(n, p) for n, p in PII))
 def _(t):
     s = spread(t.documents).select("doc_id", F.explode(pv.pii_spans("text")).alias("s"))
     return s.select("doc_id", "s.category", "s.start", "s.length")

@@ -47,9 +47,9 @@ def _(t):
     return shown(dense(t, K))
 
 
-@query("dense_topk", f"""WITH {CENTROIDS} SELECT vec_id AS record_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM qv WHERE query_id = 3)), 6) AS score FROM embeddings ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM qv WHERE query_id = 3)), 9) DESC, vec_id LIMIT 20""")
+@query("dense_topk", f"WITH {CENTROIDS}, {dense_sql(20)} {PICK} dh")
 def _(t):
-    return R.dense_topk(t.embeddings, "vec_id", "embedding", centroids(t).filter("query_id = 3"), "query_id", "v", 20).select("record_id", F.round("score", 6).alias("score"))
+    return shown(dense(t, 20))
 
 
 @query("cosine", f"""WITH {CENTROIDS} SELECT record_id, round(list_cosine_similarity(ev.v, qv.v), 6) AS score FROM ev JOIN qv ON ev.label = qv.query_id""")
@@ -64,15 +64,18 @@ def _(t):
     return shown(dense(t, K, c)).withColumn("score", F.greatest(F.lit(0.0), "score"))
 
 
-@query("own_plus_shared_topk", f"""WITH {CENTROIDS}, {dense_sql(K, "qv.query_id = 1 AND ev.label = 1", out="own")}, {dense_sql(K, "qv.query_id = 1 AND ev.label = 0", out="shr")},
+@query("own_plus_shared_topk", f"""WITH {CENTROIDS}, {dense_sql(K, "qv.query_id > 0 AND ev.label = qv.query_id", out="own")}, {dense_sql(K, "qv.query_id > 0 AND ev.label = 0", out="shr")},
  u AS (SELECT * FROM own UNION ALL SELECT * FROM shr) SELECT query_id, record_id, rank, round(score, 6) AS score FROM (SELECT query_id, record_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) AS rank FROM u) WHERE rank <= {K}""")
 def _(t):
-    """One request of role 1; role 0 is the shared store."""
+    """Requests of every role over its own store; role 0 is the shared one."""
     from ..operators.memory import own_plus_shared
 
-    q = centroids(t).filter("query_id = 1")
-    own, shared = (R.dense_topk(t.embeddings.filter(F.col("label") == r), "vec_id", "embedding", q, "query_id", "v", K) for r in (1, 0))
-    return shown(own_plus_shared(own, shared, K, allowed=True))
+    q, own = centroids(t).filter("query_id > 0"), None
+    shared = R.dense_topk(t.embeddings.filter("label = 0"), "vec_id", "embedding", q, "query_id", "v", K)
+    for (role,) in t.embeddings.filter("label > 0").select("label").distinct().orderBy("label").collect():  # roles are few
+        mine = R.dense_topk(t.embeddings.filter(F.col("label") == role), "vec_id", "embedding", q.filter(F.col("query_id") == role), "query_id", "v", K)
+        own = mine if own is None else own.unionByName(mine)
+    return shown(own_plus_shared(own if own is not None else shared.limit(0), shared, K, allowed=True))
 
 
 @query("threshold_then_slice", f"WITH {CENTROIDS}, {dense_sql(50)}, f AS (SELECT query_id, record_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM dh WHERE score >= 0.2) {PICK} f WHERE rank <= 5")

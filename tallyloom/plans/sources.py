@@ -166,11 +166,11 @@ def _(t):
     return t.spark.read.schema("event_type string, n bigint").json(d)
 
 
-@query("sink_rel_idempotent", """WITH i AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders WHERE o_orderstatus <> 'P')
+@query("sink_rel_idempotent", """WITH i AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders WHERE NOT (o_orderstatus = 'P' AND o_totalprice > 400000))
  SELECT o_orderkey, o_custkey, c_nationkey AS fk_id FROM i JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0 WHERE rn = 1 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 400000)""")
 def _(t):
     old = t.orders.filter("o_orderstatus = 'P' and o_totalprice > 400000")
-    new = t.orders.filter("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey", F.col("o_custkey").alias("fk"))
+    new = t.orders.filter("not (o_orderstatus = 'P' and o_totalprice > 400000)").select("o_orderkey", "o_custkey", F.col("o_custkey").alias("fk"))
     good, _bad = K.insert_if_absent(old, new, "o_custkey", {"fk": (t.customer.filter("c_acctbal > 0"), "c_custkey", "c_nationkey")}, ["o_orderkey"])
     return good.select("o_orderkey", "o_custkey", "fk_id")
 
