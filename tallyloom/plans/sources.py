@@ -102,21 +102,24 @@ def _(t):
 @query("scan_eval_dataset", "SELECT text AS question, 1 AS n FROM benchmark WHERE item_id % 4 <> 3 AND item_id % 3 <> 2")
 def _(t):
     d = scratch_dir(t.spark, "eval")
-    b = t.benchmark.select(F.when(F.col("item_id") % 4 == 3, " ").otherwise(F.col("text")).alias("question"),
-                           F.when(F.col("item_id") % 3 == 2, F.array().cast("array<string>")).otherwise(F.array("text")).alias("ground_truth_contexts"))
-    K.write_json(b, d)
-    r = t.spark.read.schema("question string, ground_truth_contexts array<string>, expected_answer string").json(d)
-    return S.eval_items(r).select("question", F.size("ground_truth_contexts").alias("n"))
-
-
-@query("scan_text_files")
-def _(t):
-    """Pages written to text files (records separated by U+001E) and read back as binary files."""
-    d = scratch_dir(t.spark, "html")
-    t.pages.select(F.col("html").alias("value"), (F.col("page_id") % 16).alias("part")).write.partitionBy("part").option("lineSep", "\x1e").text(d)
-    b = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(d)
-    lines = b.select(F.explode(F.split(F.make_valid_utf8(F.col("content").cast("string")), "\x1e")).alias("html")).filter("length(html) > 0")
-    return lines.select(tx.html_text("html").alias("x")).select(F.length("x.text").alias("n"), F.sha2("x.text", 256).alias("h"), F.size("x.headings").alias("headings"))
+    question = F.when(F.col("item_id") % 4 == 3, " ").otherwise(F.col("text")).alias("question")
+    contexts = F.when(F.col("item_id") % 3 == 2, F.array().cast("array<string>")).otherwise(F.array("text")).alias("ground_truth_contexts")
+    item = F.to_json(F.struct(question, contexts, F.lit("").alias("expected_answer")))
+    # files of one JSON array each, 64 items in a file
+    arrays = t.benchmark.groupBy(F.floor(F.col("item_id") / 64).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ","), F.lit("]")).alias("value"))
+    arrays.repartition("file").write.partitionBy("file").text(d)
+    return S.scan_eval_dataset(t.spark, d).select("question", F.size("ground_truth_contexts").alias("n"))
+
+
+@query("scan_text_files", """SELECT page_id // 16 AS part, length(html) AS n, sha256(html) AS h, 0 AS headings, 'txt' AS kind FROM pages WHERE html <> ''""")
+def _(t):
+    """Pages written to text files (records separated by U+001E) and read back as files."""
+    d = scratch_dir(t.spark, "text")
+    part = F.floor(F.col("page_id") / 16).cast("long").alias("part")
+    t.pages.select(F.col("html").alias("value"), part).repartition("part").write.partitionBy("part").option("lineSep", "\x1e").text(d)
+    files = S.scan_text_files(t.spark, d, recursiveFileLookup=True)
+    rows = files.select(F.regexp_extract("path", r"part=(\d+)/", 1).cast("long").alias("part"), F.explode(F.split("text", "\x1e")).alias("html"), "section_headings", "file_type")
+    return rows.filter("html <> ''").select("part", F.length("html").alias("n"), F.sha2("html", 256).alias("h"), F.size("section_headings").alias("headings"), F.col("file_type").alias("kind"))
 
 
 @query("scan_rel_store", "SELECT c_nationkey, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
