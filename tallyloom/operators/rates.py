@@ -1,13 +1,14 @@
-"""Events per key in a trailing time window."""
+"""Events per key in a trailing time window, and which of them a limit admits."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.timecols import micros
-from ..scale import is_small
+from ..scale import Ordered, ahead, is_small, running
 
 
 def over_limit(df: DataFrame, key: str, ts: str, rid: str, limit: int, seconds: int = 60) -> DataFrame:
@@ -30,3 +31,47 @@ def over_limit(df: DataFrame, key: str, ts: str, rid: str, limit: int, seconds:
     if "__slice" in d.columns:
         d = d.filter("__own").drop("__slice", "__own")
     return d.drop("__us").withColumn("over_limit", F.col("in_window") > limit)
+
+
+def admitted(df: DataFrame, key: str, ts: str, rid: str, limit: int, seconds: int = 60) -> DataFrame:
+    """Adds ``admitted``: fewer than ``limit`` admitted events of the key lie in the ``seconds`` before (ties in order of ``rid``).
+
+    An event with at most ``limit`` events of any kind in its window is admitted, whatever came before.  So only crowded events
+    need the order, and a crowded event with none in the window before it starts from a known state: all events of that window
+    are admitted.  The stretches between such starts are settled independently of each other, each streamed in
+    order by one task that keeps ``limit`` times.  A key under more load than the limit all the time is one stretch: it is streamed
+    through a task, never held in one.  Rows without key or time have no limit and are admitted; ``rid`` must be unique.
+    """
+    span = seconds * 1_000_000
+    free = F.col(key).isNull() | F.col(ts).isNull()
+    d = over_limit(df.filter(~free), key, ts, rid, limit, seconds).drop("over_limit").withColumn("__us", micros(ts))
+    crowded = F.when(F.col("in_window") > limit, F.col("__us"))
+    o = Ordered(d.withColumn("__hot", crowded), [key], ["__us", rid]).add(__last=running("max", "__hot"), __prior=running("max", "__hot", include=False))
+    begins = F.col("__hot").isNotNull() & ~F.coalesce(F.col("__prior") > F.col("__us") - span, F.lit(False))
+    o = o.with_column("__begins", begins.cast("long")).with_column("__begin_us", F.when(begins, F.col("__us"))) \
+        .add(__zone=running("sum", "__begins"), __next=ahead("last", "__begin_us"))
+    rows = o.rows().withColumn("__in", F.coalesce(F.col("__last") > F.col("__us") - span, F.lit(False)))
+    # what a stretch needs of the window before it: no crowded event lies there, so all of these are admitted
+    before = rows.filter(F.col("__next") < F.col("__us") + span).withColumn("__zone", F.col("__zone") + 1)
+    thin = [key, "__zone", "__us", rid]
+    walked = rows.filter("__in").select(*thin, F.lit(True).alias("__own")).unionByName(before.select(*thin, F.lit(False).alias("__own")))
+
+    def walk(batches):
+        at, kept = None, []
+        for pdf in batches:
+            out = []
+            for k, zone, us, own in zip(pdf[key], pdf["__zone"], pdf["__us"].tolist(), pdf["__own"]):
+                if (k, zone) != at:
+                    at, kept = (k, zone), []
+                while kept and kept[0] <= us - span:
+                    kept.pop(0)
+                good = not own or len(kept) < limit
+                if good:
+                    kept.append(us)
+                out.append(good)
+            yield pd.DataFrame({rid: pdf[rid], "__good": out})[pdf["__own"].to_numpy()]
+
+    kind = dict(df.dtypes)[rid]
+    settled = walked.repartition(key, "__zone").sortWithinPartitions(key, "__zone", "__us", rid).mapInPandas(walk, f"`{rid}` {kind}, __good boolean")
+    out = rows.join(settled, rid, "left").select(*df.columns, F.coalesce("__good", F.lit(True)).alias("admitted"))
+    return out.unionByName(df.filter(free).withColumn("admitted", F.lit(True)))

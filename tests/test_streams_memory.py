@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import memory as M
+from tallyloom.operators import rates as R
 from tallyloom.scale import scratch_dir
 from tallyloom.streaming import jobs as J
 
@@ -96,6 +97,31 @@ def test_only_admitted_events_count_against_the_limit(spark):
     assert {x.rid: x.admitted for x in r} == want
 
 
+def _admitted(rows, limit, seconds):
+    out = {}
+    for k in {r[1] for r in rows}:
+        kept = []
+        for i, _, t, _ in sorted((r for r in rows if r[1] == k), key=lambda r: (r[2], r[0])):
+            kept = [x for x in kept if x > t - dt.timedelta(seconds=seconds)]
+            out[i] = len(kept) < limit
+            if out[i]:
+                kept.append(t)
+    return out
+
+
+@pytest.mark.parametrize("limit", [1, 3, 7])
+def test_admission_over_stored_rows_equals_a_loop(spark, segments, limit):
+    """A key of half the rows, calm and crowded stretches, equal times."""
+    rng, rows, t = random.Random(limit), [], 0
+    for i in range(900):
+        t += rng.choice([0, 1, 5, 20]) if (i // 90) % 3 else rng.choice([20, 60, 61, 200])
+        rows.append((i, rng.choice([1, 1, 1, 2, 3]), T0 + dt.timedelta(seconds=t), "x"))
+    df = spark.createDataFrame(rows + [(5000, None, T0, "x"), (5001, 1, None, "x")], EV).repartition(6)
+    got = {r.id: r.admitted for r in R.admitted(df, "k", "ts", "id", limit).collect()}
+    assert got == {**_admitted(rows, limit, 60), 5000: True, 5001: True}
+    assert R.admitted(df.filter("id < 0"), "k", "ts", "id", limit).count() == 0
+
+
 def test_late_rows_go_to_a_counted_side_table(spark):
     s = batches(spark, [[(1, 1, at(0), "x"), (2, 1, at(100), "x")], [(3, 1, at(5), "x"), (4, 1, at(99), "x")]], EV)
     good, late = J.split_late(s, "ts", 600, scratch_dir(spark, "l"))
