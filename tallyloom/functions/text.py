@@ -24,12 +24,14 @@ def _c(x) -> Column:
 
 
 def nfkc(text) -> Column:
-    """Unicode compatibility form.  Spark has no built-in, so one Arrow-batched function."""
+    """Unicode compatibility form.  Spark has no built-in, so one Arrow-batched function; texts of ASCII alone
+    are their own form and stay where they are."""
 
     def norm(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
+        return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
-    return F.pandas_udf(norm, StringType())(_c(text))
+    t = _c(text)
+    return F.coalesce(F.pandas_udf(norm, StringType())(F.when(~t.rlike("^[\\x00-\\x7F]*\\z"), t)), t)
 
 
 def collapse(text) -> Column:

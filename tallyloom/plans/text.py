@@ -265,6 +265,15 @@ def _(t):
     return spread(t.documents).select("doc_id", F.posexplode(C.fixed_width("text")).alias("n", "c")).select("doc_id", F.col("n").cast("long").alias("n"), F.sha2("c", 256).alias("h"))
 
 
+@query("chunk_fixed_lateral", """SELECT doc_id, i AS n, sha256(substring(text, i * 462 + 1, 512)) AS h FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 461) // 462)) AS i FROM documents WHERE NOT regexp_full_match(text, '\\s*'))""")
+def _(t):
+    """The chunker as a table function, called from SQL text."""
+    from ..operators import table_functions as U
+
+    U.register(t.spark)
+    return t.spark.sql("SELECT d.doc_id, CAST(c.chunk_index AS BIGINT) AS n, sha2(c.text, 256) AS h FROM {docs} d, LATERAL chunk_fixed(d.text, 512, 50) c", docs=spread(t.documents))
+
+
 @query("chunk_recursive")
 def _(t):
     c = C.chunk_table(spread(t.documents).select("doc_id", "text"), "doc_id", F.array("text"), "recursive")
