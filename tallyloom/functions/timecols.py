@@ -185,7 +185,7 @@ def stamp_layout(text) -> Column:
     return F.when(F.startswith(name, F.lit("us_ampm_")), None).otherwise(name)
 
 
-def stamp_confidence(text, this_year: int, source: str | None = None) -> Column:
+def stamp_confidence(text, this_year: int) -> Column:
     """How sure the layout match is: x0.8 when the printed form has another length, x1.1 for an
     ISO-like prefix, x0.7 for a year before 2020 or after next year, x1.05 for a layout of a
     known source; at most 1."""

@@ -157,3 +157,25 @@ def daily_activity(sessions: DataFrame, start: str, hours: Column, commits: Data
     spine = both.select(F.explode(F.sequence("a", "b")).alias("day"))
     out = spine.join(s, "day", "left").join(c, "day", "left").na.fill(0, ["hours", "sessions", "commits", "repos"])
     return out.withColumn("repo_list", F.coalesce("repo_list", F.array().cast("array<string>")))
+
+
+def commit_totals(commits: DataFrame, ts: str, repo: str, eligible: Column) -> DataFrame:
+    """One row about a commit log; the repositories themselves are rows of ``commit_repositories``."""
+    return commits.agg(F.count("*").alias("commits"), F.count_if(eligible).alias("eligible"), F.countDistinct(repo).alias("repositories"),
+                       F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+
+
+def commit_repositories(commits: DataFrame, ts: str, repo: str, eligible: Column) -> DataFrame:
+    """Per repository: commits, eligible ones, days with commits, commits a day, first and last commit.
+
+    Days are counted from one row per repository and day, so a busy repository is summed before the shuffle."""
+    day = commits.groupBy(repo, F.to_date(ts).alias("day")).agg(
+        F.count("*").alias("n"), F.count_if(eligible).alias("e"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+    g = day.groupBy(repo).agg(F.sum("n").alias("commits"), F.sum("e").alias("eligible"), F.count("day").alias("days"),
+                              F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+    return g.withColumn("per_day", F.when(F.col("days") > 0, F.col("commits") / F.col("days")))
+
+
+def hours_by_kind(rows: DataFrame, kind: Column, category: str, hours: Column) -> DataFrame:
+    """Rows and hours per kind and category."""
+    return rows.groupBy(kind.alias("kind"), category).agg(F.count("*").alias("n"), F.sum(hours).alias("hours"))

@@ -134,3 +134,9 @@ def access_decision(requests: DataFrame, roles: dict[str, dict], role: str, oper
     j = d.join(first, session, "left")
     reason = F.when(F.col("__early").isNotNull(), F.col("__early")).when(gate & (F.col(patient) != F.col("__first")), "patient_isolation").otherwise("granted")
     return j.withColumn("reason", reason).withColumn("allowed", reason == "granted").drop("__early", "__iso", "__first")
+
+
+def ingest_metrics(events: DataFrame, ingested: Column, asked: Column, doc: str, ts: str) -> DataFrame:
+    """Documents taken in, queries asked, documents in the index, and when the last one came."""
+    return events.agg(F.count_if(ingested).alias("documents"), F.count_if(asked).alias("queries"),
+                      F.countDistinct(F.when(ingested, F.col(doc))).alias("index_size"), F.max(F.when(ingested, F.col(ts))).alias("last_ingest"))

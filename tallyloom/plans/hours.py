@@ -233,24 +233,28 @@ def _(t):
 
 @query("repo_work_days", """SELECT o_orderpriority, count(*) AS commits, count(DISTINCT o_orderdate::DATE) AS days, round(count(*) * 1.0 / count(DISTINCT o_orderdate::DATE), 6) AS per_day FROM orders GROUP BY 1""")
 def _(t):
-    g = t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("commits"), F.countDistinct(F.to_date("o_orderdate")).alias("days"))
-    return g.withColumn("per_day", F.round(F.col("commits") / F.col("days"), 6)).orderBy(F.desc("commits"), "o_orderpriority")
+    g = H.commit_repositories(t.orders, "o_orderdate", "o_orderpriority", F.lit(True)).select("o_orderpriority", "commits", "days", F.round("per_day", 6).alias("per_day"))
+    return g.orderBy(F.desc("commits"), "o_orderpriority")
 
 
-@query("commit_metadata", f"""SELECT count(*) AS commits, count(*) FILTER (o_orderstatus = 'F') AS eligible, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS repos,
+@query("commit_metadata", f"""SELECT count(*) AS commits, count(*) FILTER (o_orderstatus = 'F') AS eligible, count(DISTINCT o_orderpriority) AS repositories,
  {txt('min(o_orderdate)')} AS first_ts, {txt('max(o_orderdate)')} AS last_ts FROM orders""")
 def _(t):
-    return t.orders.agg(F.count("*").alias("commits"), F.count_if(F.col("o_orderstatus") == "F").alias("eligible"),
-                        F.array_join(F.sort_array(F.collect_set("o_orderpriority")), ",").alias("repos"),
-                        F.min("o_orderdate").alias("first_ts"), F.max("o_orderdate").alias("last_ts"))
+    return H.commit_totals(t.orders, "o_orderdate", "o_orderpriority", F.col("o_orderstatus") == "F")
+
+
+@query("commit_repositories", f"""SELECT o_custkey, count(*) AS commits, count(*) FILTER (o_orderstatus = 'F') AS eligible, count(DISTINCT o_orderdate::DATE) AS days,
+ {txt('min(o_orderdate)')} AS first_ts, {txt('max(o_orderdate)')} AS last_ts, round(count(*) * 1.0 / count(DISTINCT o_orderdate::DATE), 6) AS per_day FROM orders GROUP BY 1""")
+def _(t):
+    return H.commit_repositories(t.orders, "o_orderdate", "o_custkey", F.col("o_orderstatus") == "F").withColumn("per_day", F.round("per_day", 6))
 
 
 @query("calendar_category_stats", f"""WITH {CAL_SQL} SELECT CASE WHEN declarable THEN 'declarable' ELSE coalesce(conflict_type, '') END AS kind, category, count(*) AS n, round(sum(length(low)) / 1000.0, 4) AS hours FROM cc GROUP BY 1, 2""")
 def _(t):
     r = calendar_rows(t)
-    low = F.length(F.concat_ws(" ", "role", "text", "role"))
-    return r.groupBy(F.when(F.col("declarable"), "declarable").otherwise(F.coalesce("conflict_type", F.lit(""))).alias("kind"), "category").agg(
-        F.count("*").alias("n"), F.round(F.sum(low) / 1000.0, 4).alias("hours"))
+    kind = F.when(F.col("declarable"), "declarable").otherwise(F.coalesce("conflict_type", F.lit("")))
+    g = H.hours_by_kind(r, kind, "category", F.length(F.concat_ws(" ", "role", "text", "role")))
+    return g.withColumn("hours", F.round(F.col("hours") / 1000.0, 4))
 
 
 # -- unions and duplicates ------------------------------------------------------------

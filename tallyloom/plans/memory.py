@@ -96,6 +96,4 @@ def _(t):
 @query("ingest_metrics", f"""SELECT count(*) FILTER (event_type = 'signup') AS documents, count(*) FILTER (event_type = 'view') AS queries, count(DISTINCT CASE WHEN event_type = 'signup' THEN user_id END) AS index_size,
   {txt("max(ts) FILTER (event_type = 'signup')")} AS last_ingest FROM events""")
 def _(t):
-    s = F.col("event_type") == "signup"
-    return t.events.agg(F.count_if(s).alias("documents"), F.count_if(F.col("event_type") == "view").alias("queries"),
-                        F.countDistinct(F.when(s, F.col("user_id"))).alias("index_size"), F.max(F.when(s, F.col("ts"))).alias("last_ingest"))
+    return M.ingest_metrics(t.events, F.col("event_type") == "signup", F.col("event_type") == "view", "user_id", "ts")
