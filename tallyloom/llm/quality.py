@@ -22,13 +22,14 @@ LEVEL = 3
 
 @dataclass(frozen=True)
 class Model:
-    """Two dictionaries and the coefficients that turn compressed sizes into a score."""
+    """Two dictionaries, and the logistic curve that makes the difference of compressed sizes a score."""
 
     good: bytes
     bad: bytes
-    mean: tuple[float, ...]
-    scale: tuple[float, ...]
-    weights: tuple[float, ...]
+    mean: float
+    scale: float
+    slope: float
+    constant: float
     segment: int = SEGMENT
     level: int = LEVEL
 
@@ -45,19 +46,14 @@ def _sizes(text: bytes, compressors: list, segment: int) -> list[int]:
     return [sum(len(c.compress(p)) for p in parts) for c in compressors]
 
 
-def _features(good: int, bad: int, plain: int, size: int, segments: int) -> tuple[float, ...]:
-    """The normalised difference, and the sizes relative to the text, where repetition shows."""
-    size = size + 16 * segments
-    return (bad - good) / (bad + good), good / size, (good / size) ** 2, plain / size, (plain / size) ** 2
-
-
-def features(text: bytes, compressors: list, segment: int) -> tuple[float, ...]:
-    good, bad, plain = _sizes(text, compressors, segment)
-    return _features(good, bad, plain, len(text), max(1, -(-len(text) // segment)))
+def difference(text: bytes, compressors: list, segment: int) -> float:
+    """By how much the good dictionary compresses the text better than the bad one, for each byte (16 more a segment, for its frame)."""
+    good, bad = _sizes(text, compressors, segment)
+    return (bad - good) / (len(text) + 16 * max(1, -(-len(text) // segment)))
 
 
 def _engines(good: bytes, bad: bytes, level: int) -> list:
-    return [_compressor(good, level), _compressor(bad, level), zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)]
+    return [_compressor(good, level), _compressor(bad, level)]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -106,20 +102,19 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, dictionary_bytes: int = DI
     other = [r for r in taken if r[2] == 1] or taken
     if len({y for y, _, _ in other}) < 2:
         other = taken
-    x = np.array([features(t, engines, segment) for _, t, _ in other])
+    x = np.array([difference(t, engines, segment) for _, t, _ in other])
     y = np.array([label for label, _, _ in other], float)
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    return Model(*dictionaries, tuple(mean), tuple(scale), tuple(_logistic(z, y)), segment, level)
+    mean, scale = float(x.mean()), max(float(x.std()), 1e-9)
+    slope, constant = _logistic(np.column_stack([(x - mean) / scale, np.ones(len(x))]), y).tolist()
+    return Model(*dictionaries, mean, scale, slope, constant, segment, level)
 
 
 def _scorer(model: Model):
     engines = _engines(model.good, model.bad, model.level)
 
     def scores(texts: list[str]) -> np.ndarray:
-        x = np.array([features(t.encode(), engines, model.segment) for t in texts]).reshape(-1, len(model.mean))
-        z = np.column_stack([(x - model.mean) / model.scale, np.ones(len(x))])
-        return 1 / (1 + np.exp(-np.clip(z @ np.array(model.weights), -30, 30)))
+        x = np.array([difference(t.encode(), engines, model.segment) for t in texts], float)
+        return 1 / (1 + np.exp(-np.clip(model.slope * (x - model.mean) / model.scale + model.constant, -30, 30)))
 
     return scores
 

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -305,6 +306,22 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([[g > b for g in good] for b in bad]) > 0.95
 
 
+def test_quality_scores_equal_plain_compression(spark, docs_of):
+    """Each score, worked out anew from the two dictionaries and the curve with the library alone."""
+    texts = [(k, f"plain words number {k} " * 30 if k % 2 else "&&& ### $$$ " * (20 + k)) for k in range(60)] + [(90, ""), (91, "mixed &&& words ### é " * 700), (92, None)]
+    docs = docs_of(texts)
+    model = quality.learn(docs, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int"))
+
+    def size(data, dictionary):
+        engine = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(engine.compress(data[i:i + 2048])) for i in range(0, max(1, len(data)), 2048))
+
+    for r in quality.score(docs, model).collect():
+        data = (dict(texts)[r["doc_id"]] or "").encode()
+        x = (size(data, model.bad) - size(data, model.good)) / (len(data) + 16 * max(1, -(-len(data) // 2048)))
+        assert abs(r["score"] - 1 / (1 + np.exp(-(model.slope * (x - model.mean) / model.scale + model.constant)))) < 1e-9
+
+
 def test_quality_odd_rows_and_the_fold(spark, docs_of, clashing):
     texts = [(k, f"plain words number {k} " * 30 if k % 2 else "&&& ### $$$ " * (20 + k)) for k in range(60)]
     docs = clashing(docs_of([*texts, (100, None), (101, ""), (None, "plain"), (3, texts[3][1]), (102, "plain words " * 100_000)]), "score")
