@@ -78,11 +78,15 @@ def _(t):
     return over_limit(t.events, "event_type", "ts", "event_id", 2).select("event_type", "event_id", "over_limit")
 
 
-@query("rate_limit_admitted", """WITH RECURSIVE o AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
- r(user_id, rn, event_id, kept, ok) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, []::TIMESTAMP[], true FROM o
-  UNION ALL SELECT user_id, rn, event_id, CASE WHEN len(k) < 2 THEN list_append(k, ts) ELSE k END, len(k) < 2 FROM
+def admitted_sql(where="true"):
+    return f"""WITH RECURSIVE o AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+ r(user_id, rn, event_id, ts, kept, ok) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, NULL::TIMESTAMP, []::TIMESTAMP[], true FROM o
+  UNION ALL SELECT user_id, rn, event_id, ts, CASE WHEN len(k) < 2 THEN list_append(k, ts) ELSE k END, len(k) < 2 FROM
    (SELECT o.user_id, o.rn, o.event_id, o.ts, list_filter(r.kept, lambda x: x > o.ts - INTERVAL 12 HOUR) AS k FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1))
- SELECT user_id, event_id, ok AS admitted FROM r WHERE rn > 0""")
+ SELECT user_id, event_id, ok AS admitted FROM r WHERE rn > 0 AND {where}"""
+
+
+@query("rate_limit_admitted", admitted_sql())
 def _(t):
     """Two events of a user in twelve hours; only admitted ones count."""
     from ..operators.rates import admitted
@@ -90,10 +94,11 @@ def _(t):
     return admitted(t.events, "user_id", "ts", "event_id", 2, 12 * 3600).select("user_id", "event_id", "admitted")
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", admitted_sql("ts <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"))
 def _(t):
-    e = _events(t).withColumn("k", F.pmod(F.hash("event_type"), F.lit(3)).cast("long"))
-    return J.run_to_table(J.rate_limit(e, "k", "ts", "event_id", 1), scratch_dir(t.spark, "rate"))
+    """The same as a stream over the whole table, up to the watermark."""
+    r = J.run_to_table(J.rate_limit(_events(t), "user_id", "ts", "event_id", 2, 12 * 3600), scratch_dir(t.spark, "rate"), store=J.ROCKS)
+    return r.select(F.col("key").alias("user_id"), F.col("rid").alias("event_id"), "admitted")
 
 
 @query("stream_ttl_kv", f"SELECT user_id || ':' || event_type AS key, arg_max(value, ts) AS value, max(epoch_us(ts)) AS us FROM events GROUP BY 1")

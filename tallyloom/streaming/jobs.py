@@ -69,25 +69,6 @@ def _rows(pdfs: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(pdfs), ignore_index=True).sort_values(order)
 
 
-def rate_limit(df: DataFrame, key: str, ts: str, rid: str, per_minute: int) -> DataFrame:
-    """Admit an event unless ``per_minute`` admitted events lie in the 60 seconds before it."""
-
-    def step(k, pdfs, state: GroupState):
-        kept = list(state.get[0]) if state.exists else []
-        out = []
-        for row in _rows(pdfs, ["us", "rid"]).itertuples(index=False):
-            kept = [u for u in kept if u > row.us - 60_000_000]
-            ok = len(kept) < per_minute
-            if ok:
-                kept.append(row.us)
-            out.append((k[0], row.rid, ok))
-        state.update((kept,))
-        yield pd.DataFrame(out, columns=["key", "rid", "admitted"])
-
-    d = df.select(F.col(key).alias("key"), F.col(rid).alias("rid"), micros(ts).alias("us"))
-    return d.groupBy("key").applyInPandasWithState(step, "key bigint, rid bigint, admitted boolean", "kept array<bigint>", "append", GroupStateTimeout.NoTimeout)
-
-
 DAY = 86_400_000_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SESSIONS = "key long, start_id long, start_us long, end_us long, is_open boolean"
@@ -195,6 +176,67 @@ def couples(df: DataFrame, key: str, ts: str, rid: str, is_start: Column, is_sto
         _Couples(by_day, None if idle_seconds is None else idle_seconds * 1_000_000), SESSIONS, "append", "eventtime")
 
 
+class _Admission(StatefulProcessor):
+    """Events of one key in time order up to the watermark; the times of admitted ones are kept for a window."""
+
+    def __init__(self, limit: int, span: int):
+        self.limit, self.span = limit, span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, rid long")
+        self.kept = handle.getListState("kept", "us long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        first = None
+        for pdf in rows:
+            if len(pdf):
+                self.waiting.appendList([(int(u), int(r)) for u, r in zip(pdf.us, pdf.rid)])
+                first = int(pdf.us.min()) if first is None else min(first, int(pdf.us.min()))
+        if first is not None:
+            self.handle.registerTimer(-(-first // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(map(tuple, self.waiting.get())) if self.waiting.exists() else []
+        kept = [r[0] for r in self.kept.get()] if self.kept.exists() else []
+        ready = [r for r in rows if r[0] <= passed]
+        out = []
+        for us, rid in ready:
+            kept = [u for u in kept if u > us - self.span]
+            out.append((key[0], rid, len(kept) < self.limit))
+            if out[-1][2]:
+                kept.append(us)
+        later = rows[len(ready):]
+        kept = [u for u in kept if u > passed - self.span]
+        for state, values in ((self.waiting, later), (self.kept, [(u,) for u in kept])):
+            if values:
+                state.put(values)
+            else:
+                state.clear()
+        if later:
+            self.handle.registerTimer(-(-later[0][0] // 1000))
+        elif kept:
+            self.handle.registerTimer(-(-(kept[-1] + self.span) // 1000))
+        if out:
+            yield pd.DataFrame(out, columns=["key", "rid", "admitted"])
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limit(df: DataFrame, key: str, ts: str, rid: str, limit: int, seconds: int = 60, delay: str = "10 minutes") -> DataFrame:
+    """``(key, rid, admitted)`` by event time: an event is admitted unless ``limit`` admitted ones lie in the ``seconds`` before it.
+
+    Rows may come in any order up to ``delay``; each comes out once, when the watermark has passed it.  State holds
+    younger events and at most ``limit`` times a key, for one window.  Start the query with ``run_to_table(..., store=ROCKS)``.
+    """
+    d = df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull() & F.col(rid).isNotNull()).withWatermark(ts, delay)
+    d = d.select(F.col(key).cast("long").alias("key"), F.col(rid).cast("long").alias("rid"), micros(ts).alias("us"), F.col(ts).alias("at"))
+    return d.groupBy("key").transformWithStateInPandas(_Admission(limit, seconds * 1_000_000), "key long, rid long, admitted boolean", "append", "eventtime")
+
+
 def toggle_sessions(df: DataFrame, key: str, ts: str, rid: str, is_start: Column, is_stop: Column, delay: str = "10 minutes") -> DataFrame:
     """Closed sessions by event time; the open one waits in state for its stop."""
     return couples(df, key, ts, rid, is_start, is_stop, delay).select("key", "start_id", "start_us", "end_us")

@@ -84,19 +84,6 @@ def test_couples_do_not_depend_on_micro_batches(spark, by_day, idle, parts):
     assert not open_keys if by_day or idle else open_keys <= {0, 1, 2, 3}
 
 
-def test_only_admitted_events_count_against_the_limit(spark):
-    rows = [(i, 1, T0 + dt.timedelta(seconds=20 * i), "x") for i in range(10)]
-    s = batches(spark, [rows[:4], rows[4:]], EV)
-    r = J.run_to_table(J.rate_limit(s, "k", "ts", "id", 2), scratch_dir(spark, "r")).collect()
-    kept, want = [], {}
-    for i, _, t, _ in rows:
-        kept = [x for x in kept if x > t - dt.timedelta(seconds=60)]
-        want[i] = len(kept) < 2
-        if want[i]:
-            kept.append(t)
-    assert {x.rid: x.admitted for x in r} == want
-
-
 def _admitted(rows, limit, seconds):
     out = {}
     for k in {r[1] for r in rows}:
@@ -109,6 +96,22 @@ def _admitted(rows, limit, seconds):
     return out
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_only_admitted_events_count_against_the_limit(spark, parts):
+    rng = random.Random(2)
+    rows = [(i, rng.randrange(3), T0 + dt.timedelta(seconds=rng.randrange(1500)), "x") for i in range(150)]
+    rows.sort(key=lambda r: r[2] + dt.timedelta(seconds=rng.randrange(590)))
+    end, step = (900, 9, at(600), "x"), -(-len(rows) // parts)
+    files = [rows[i:i + step] for i in range(0, len(rows), step)] + [[end]]
+    s = batches(spark, files if parts > 1 else [rows + [end]], EV)
+    out = scratch_dir(spark, "r")
+    r = J.run_to_table(J.rate_limit(s, "k", "ts", "id", 2), out, store=J.ROCKS).collect()
+    assert {x.rid: x.admitted for x in r} == _admitted(rows, 2, 60) and len(r) == len(rows)
+    state = spark.read.format("statestore").option("path", f"{out}/progress")
+    assert state.option("stateVarName", "kept").load().count() == 0  # the window of the last one is over
+    assert {x.key.key for x in state.option("stateVarName", "waiting").load().select("key").collect()} == {9}
+
+
 @pytest.mark.parametrize("limit", [1, 3, 7])
 def test_admission_over_stored_rows_equals_a_loop(spark, segments, limit):
     """A key of half the rows, calm and crowded stretches, equal times."""
