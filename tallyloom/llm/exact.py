@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import given, text_or_empty, written
+from .common import given, joined_with_groups, text_or_empty, written
 
 PREFIX = 256
 FILTER_BITS = 1 << 24
@@ -30,8 +30,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     characters; only rows that share both have their full text hashed (SHA-256).  Which rows these
     are is told to the second scan by a bitmap of ``filter_bits`` bits, so no text is shuffled; a
     chance hit in the bitmap costs one needless hash and changes nothing.  Of equal texts the
-    largest id stays.  Counts are combined before each shuffle, and a large group of copies meets
-    its one summary row in a join that adaptive execution can split.
+    largest id stays.  Counts are combined before each shuffle, and the rows of large groups of copies meet
+    their summary row without one.
 
     ``text_sha256`` is null where the full text was not needed, unless ``all_hashes``.  A null text
     counts as empty; empty texts are copies of each other.  A group whose ids are all null keeps
@@ -55,8 +55,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         (F.sha2("text", 256) if all_hashes else F.when(needed, F.sha2("text", 256))).alias("sha")), "hashed")
 
     again = hashed.filter("shared")
-    groups = again.groupBy("size", "sha").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("members"))
-    out = again.join(groups, ["size", "sha"]).select("id", "keep", "members", "sha").unionByName(
+    groups = written(again.groupBy("size", "sha").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("members")), "groups")
+    out = joined_with_groups(again.select("size", "sha", "id"), groups, ["size", "sha"], "members").select("id", "keep", "members", "sha").unionByName(
         hashed.filter("NOT shared").select("id", F.col("id").alias("keep"), F.lit(1).cast("long").alias("members"), "sha"))
     return out.select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("members").alias("group_size"),
                       F.col("id").eqNullSafe(F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256"))
