@@ -16,6 +16,20 @@ from .common import given, mapped
 SPACE = "▁"
 
 
+def check_kind(path: str) -> None:
+    """Refuse models that this lattice would encode otherwise than the library: no other kind is taken for one built by merging."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    kind, rules = model.trainer_spec, model.normalizer_spec
+    if kind.model_type != kind.BPE:
+        raise ValueError(f"{path}: only models built by merging; unigram, word and character models need path scores")
+    if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.escape_whitespaces or not rules.add_dummy_prefix or kind.treat_whitespace_as_suffix:
+        raise ValueError(f"{path}: only models that keep the text as it is and put a space mark before words")
+
+
 class Lattice:
     """The pieces of a model and which of them may follow each other.
 
@@ -28,6 +42,7 @@ class Lattice:
     def __init__(self, path: str):
         import sentencepiece
 
+        check_kind(path)
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         self.names = [model.id_to_piece(i) for i in range(size)]

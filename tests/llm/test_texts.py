@@ -141,19 +141,33 @@ def test_pieces_equal_the_library(spark, docs_of, clashing):
     assert digest[3]["n_ids"] == len(model.encode(TEXTS[3])) and pieces.encode(docs_of([]), PIECES).count() == 0
 
 
-def test_stream_window_stays_bounded():
+def test_stream_window_stays_bounded(monkeypatch):
+    """Ends kept while a text streams, whatever its length."""
     lattice = pieces.codec(PIECES).lattice
-    rng = random.Random(1)
+    rng, kept, plain = random.Random(1), [], lattice.last_piece
+    monkeypatch.setattr(lattice, "last_piece", lambda window, end, ends, base: (kept.append(len(ends)), plain(window, end, ends, base))[1])
     for text in ("the" * 5000, "ab" * 5000, "".join(rng.choice("etaoinshr") for _ in range(20_000))):
         taken = 0
-
-        class Text(str):
-            pass
-
-        for k, piece in enumerate(lattice.stream(text)):
+        for piece in lattice.stream(text):
             assert text.startswith(piece, taken)
             taken += len(piece)
         assert taken == len(text)
+    assert max(kept) <= 8 * lattice.longest
+
+
+@pytest.mark.parametrize("change", [("trainer_spec", "model_type", 1), ("normalizer_spec", "remove_extra_whitespaces", True),
+                                    ("normalizer_spec", "precompiled_charsmap", b"x"), ("normalizer_spec", "add_dummy_prefix", False)])
+def test_other_kinds_of_models_are_refused(tmp_path, change):
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(PIECES, "rb") as f:
+        model.ParseFromString(f.read())
+    spec, name, value = change
+    setattr(getattr(model, spec), name, value)
+    (tmp_path / "other.model").write_bytes(model.SerializeToString())
+    with pytest.raises(ValueError, match="only models"):
+        pieces.check_kind(str(tmp_path / "other.model"))
 
 
 def check_packing(rows, texts, capacity, end_id=0):
