@@ -165,7 +165,15 @@ def _(t):
     return shown(R.rerank(h, F.round(F.size(F.array_intersect(qt, dt)) / (1.0 + F.size(dt)), 9), K))
 
 
-@query("mmr")
+@query("mmr", f"""WITH RECURSIVE {CENTROIDS}, {dense_sql(50)},
+ b AS (SELECT dh.query_id, dh.record_id, dh.rank, ev.v, list_cosine_similarity(qv.v, ev.v) AS rel FROM dh JOIN ev USING (record_id) JOIN qv USING (query_id)),
+ c AS (SELECT x.query_id, x.record_id, x.rank, any_value(x.rel) AS rel, list(list_cosine_similarity(x.v, y.v) ORDER BY y.rank) AS s FROM b x JOIN b y USING (query_id) GROUP BY 1, 2, 3),
+ m(query_id, step, picked, val) AS (
+  SELECT query_id, 1, [first(rank ORDER BY round(rel, 12) DESC, rank)], max(round(rel, 12)) FROM c GROUP BY 1
+  UNION ALL SELECT query_id, step + 1, list_append(picked, first(rank ORDER BY val DESC, rank)), max(val) FROM (
+   SELECT m.query_id, m.step, m.picked, c.rank, round(0.7 * c.rel - 0.3 * list_max(list_transform(m.picked, lambda p: c.s[p])), 12) AS val
+   FROM m JOIN c ON c.query_id = m.query_id WHERE m.step < {K} AND NOT list_contains(m.picked, c.rank)) GROUP BY query_id, step, picked)
+ SELECT m.query_id, c.record_id, m.step::BIGINT AS rank, round(least(1, greatest(0, val)), 6) AS score FROM m JOIN c ON c.query_id = m.query_id AND c.rank = m.picked[m.step]""")
 def _(t):
     q = centroids(t)
     return shown(R.mmr(dense(t, 50), t.embeddings, "vec_id", "embedding", q, "query_id", "v", K, 0.7))
