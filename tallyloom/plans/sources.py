@@ -137,10 +137,32 @@ def _(t):
     return t.pages.select("page_id", S.admission(name, size, F.when(k == 4, "image/png").otherwise("text/html")).alias("reason"))
 
 
-@query("freshness_probe", "SELECT CAST(max(ts::DATE) AS VARCHAR) AS latest_date, max(ts::DATE) < DATE '2024-02-10' AS refresh_due FROM events")
+def _day_files(t):
+    """A folder with a file of events for each day: ``events_YYYYMMDD.csv`` for odd days, ``.txt`` for even ones."""
+    from ..streaming.ingest import children, rename
+
+    written, folder = scratch_dir(t.spark, "days"), scratch_dir(t.spark, "listing")
+    t.events.select("event_id", stamp("ts", "yyyyMMdd").alias("day")).repartition("day").write.partitionBy("day").csv(written)
+    for name in children(t.spark, written):
+        if name.startswith("day="):
+            part = [f for f in children(t.spark, f"{written}/{name}") if f.startswith("part-")][0]
+            rename(t.spark, f"{written}/{name}/{part}", f"{folder}/events_{name[4:]}.{'csv' if int(name[-1]) % 2 else 'txt'}")
+    return folder
+
+
+@query("freshness_probe", "SELECT CAST(max(ts::DATE) AS VARCHAR) AS latest_date, max(ts::DATE) < DATE '2024-02-10' AS refresh_due FROM events WHERE day(ts) % 2 = 1")
+def _(t):
+    """The newest of the CSV files of a folder, by their names."""
+    files = S.file_listing(t.spark, _day_files(t))
+    return S.freshness(files, "path", "modified", "2024-02-11").select("latest_date", "refresh_due")
+
+
+@query("listed_files", """SELECT DISTINCT 'events_' || strftime(ts, '%Y%m%d') || CASE WHEN day(ts) % 2 = 1 THEN '.csv' ELSE '.txt' END AS name,
+ CASE WHEN day(ts) % 2 = 1 THEN 'extension' END AS reason, true AS filled FROM events""")
 def _(t):
-    f = t.events.select(F.concat(F.lit("/data/events_"), stamp("ts", "yyyyMMdd"), F.lit(".csv")).alias("path"), F.col("ts").alias("m"))
-    return S.freshness(f, "path", "m", "2024-02-11").select("latest_date", "refresh_due")
+    """Which files of a folder are admitted, from names and sizes alone."""
+    files = S.file_listing(t.spark, _day_files(t))
+    return files.select("name", S.admission(F.col("name"), F.col("size")).alias("reason"), (F.col("size") > 0).alias("filled"))
 
 
 @query("scan_calendar_csv", f"""WITH a AS (SELECT o_orderkey, o_orderdate + to_minutes((o_orderkey % 1440)::INT) AS s, o_orderdate + to_minutes((o_orderkey % 1440 + o_custkey % 200)::INT) AS e, o_orderstatus FROM orders)

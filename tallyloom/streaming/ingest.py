@@ -34,6 +34,14 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    fs, p = _fs(spark, path)
+    target = _fs(spark, to)[1]
+    fs.mkdirs(target.getParent())
+    if not fs.rename(p, target):
+        raise OSError(f"{path} could not become {to}")
+
+
 class FileIngest:
     """Chunks of the text files below ``folder``, kept under ``out`` and brought up to date by ``sync``.
 
