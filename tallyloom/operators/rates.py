@@ -8,29 +8,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.timecols import micros
-from ..scale import Ordered, ahead, is_small, running
+from ..scale import Ordered, ahead, running
 
 
 def over_limit(df: DataFrame, key: str, ts: str, rid: str, limit: int, seconds: int = 60) -> DataFrame:
     """Adds ``in_window`` (events of the key in the trailing seconds, this one included) and ``over_limit``.
 
-    A busy key is cut into time slices; each row also visits the next slice as context, so a
-    slice has all it needs and no task holds more than two slices of a key.
+    Keys are cut into time slices of ten windows; each row also visits the next slice as context where it reaches into it, so a
+    slice has all it needs and no task holds more than a slice of a key.
     """
     span = seconds * 1_000_000
-    d = df.withColumn("__us", micros(ts))
-    win = [key]
-    if not is_small(df):
-        width = span * 10
-        here = F.floor(F.col("__us") / width)
-        d = d.withColumn("__slice", F.explode(F.array(here, here + 1))).withColumn("__own", F.col("__slice") == here)
-        # context rows matter only when they reach into the slice
-        d = d.filter(F.col("__own") | (F.col("__us") >= F.col("__slice") * width - span))
-        win = [key, "__slice"]
-    d = d.withColumn("in_window", F.count("*").over(W.partitionBy(*win).orderBy("__us").rangeBetween(-span, 0)))
-    if "__slice" in d.columns:
-        d = d.filter("__own").drop("__slice", "__own")
-    return d.drop("__us").withColumn("over_limit", F.col("in_window") > limit)
+    width = span * 10
+    here = F.floor(F.col("__us") / width)
+    d = df.withColumn("__us", micros(ts)).select("*", F.posexplode(F.array(here, here + 1)).alias("__own", "__slice")).withColumn("__own", F.col("__own") == 0)
+    # context rows matter only when they reach into the slice
+    d = d.filter(F.col("__own") | (F.col("__us") >= F.col("__slice") * width - span))
+    d = d.withColumn("in_window", F.count("*").over(W.partitionBy(key, "__slice").orderBy("__us").rangeBetween(-span, 0)))
+    return d.filter("__own").drop("__slice", "__own", "__us").withColumn("over_limit", F.col("in_window") > limit)
 
 
 def admitted(df: DataFrame, key: str, ts: str, rid: str, limit: int, seconds: int = 60) -> DataFrame:

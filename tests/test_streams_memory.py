@@ -96,6 +96,16 @@ def _admitted(rows, limit, seconds):
     return out
 
 
+def test_trailing_counts_over_many_slices(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(3), T0 + dt.timedelta(seconds=rng.randrange(4000)), "x") for i in range(400)]
+    got = {r.id: (r.in_window, r.over_limit) for r in R.over_limit(spark.createDataFrame(rows + [(900, 1, None, "x")], EV), "k", "ts", "id", 4).collect()}
+    for i, k, t, _ in rows:
+        n = sum(k == k2 and t - dt.timedelta(seconds=60) <= t2 <= t for _, k2, t2, _ in rows)
+        assert got[i] == (n, n > 4)
+    assert len(got) == 401
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_only_admitted_events_count_against_the_limit(spark, parts):
     rng = random.Random(2)
