@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tallyloom.llm.exact import exact_groups
-from tallyloom.llm.graph import components
+from tallyloom.llm.graph import components, thinned
 from tallyloom.llm.lattice import minimal_vectors, nearest
 from tallyloom.llm.minhash import band_count, near_duplicates
 from tallyloom.llm.vectors import near_vectors
@@ -100,6 +100,16 @@ def test_components_go_on_from_earlier_ones(spark, seed):
         assert found == {i: want[i] for a, b in links[0] + links[1] for i in (a, b) if a != b}
 
 
+def test_thinned_edges_keep_components(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(2000)] + [(5, 5), (None, 1), (99, 98)]
+    edges = spark.createDataFrame(pairs, "a long, b long").coalesce(2)
+    for most in (1 << 20, 1):
+        few = thinned(edges, most)
+        assert {r.node: r.component for r in components(few).collect()} == {r.node: r.component for r in components(edges).collect()}
+    assert thinned(edges).count() <= 2 * 61 + 3
+
+
 @pytest.mark.parametrize("every", [True, False])
 def test_exact_groups(spark, docs_of, clashing, every):
     long = "z" * 400

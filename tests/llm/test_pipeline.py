@@ -110,6 +110,6 @@ def test_run_keeps_clean_documents_and_packs_the_rest(spark):
 
 def test_queries_are_registered_once_each():
     names = [n for n in queries.QUERIES if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in queries.QUERIES
     assert [n for n, _ in P.STAGES] == ["quality_classifier", "exact_dedup", "minhash_near_dedup", "pii_surrogates", "best_fit_packing"]
     assert WORDS and F

@@ -321,19 +321,25 @@ def test_quality_on_held_out_rows(spark):
 
 
 def test_quality_scores_equal_plain_compression(spark, docs_of):
-    """Each score, worked out anew from the two dictionaries and the curve with the library alone."""
+    """Each score, worked out anew from the two dictionaries and the weights with the library alone."""
     texts = [(k, f"plain words number {k} " * 30 if k % 2 else "&&& ### $$$ " * (20 + k)) for k in range(60)] + [(90, ""), (91, "mixed &&& words ### é " * 700), (92, None)]
     docs = docs_of(texts)
     model = quality.learn(docs, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int"))
 
-    def size(data, dictionary):
-        engine = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+    def size(data, **settings):
+        engine = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, **settings)
         return sum(len(engine.compress(data[i:i + 2048])) for i in range(0, max(1, len(data)), 2048))
 
+    def with_dictionary(data, dictionary):
+        return size(data, dict_data=zstandard.ZstdCompressionDict(dictionary), write_dict_id=False)
+
     for r in quality.score(docs, model).collect():
         data = (dict(texts)[r["doc_id"]] or "").encode()
-        x = (size(data, model.bad) - size(data, model.good)) / (len(data) + 16 * max(1, -(-len(data) // 2048)))
-        assert abs(r["score"] - 1 / (1 + np.exp(-(model.slope * (x - model.mean) / model.scale + model.constant)))) < 1e-9
+        good, bad, plain = with_dictionary(data, model.good), with_dictionary(data, model.bad), size(data)
+        n = len(data) + 16 * max(1, -(-len(data) // 2048))
+        x = np.array([(bad - good) / (bad + good), good / n, (good / n) ** 2, plain / n, (plain / n) ** 2])
+        z = ((x - model.mean) / model.scale) @ np.array(model.weights[:-1]) + model.weights[-1]
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
 
 
 def test_quality_odd_rows_and_the_fold(spark, docs_of, clashing):
