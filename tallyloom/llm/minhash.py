@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, given, mapped, written
+from .common import cut_lineage, given, joined_with_groups, mapped, written
 from .graph import components
 from .shingles import U, mix, shingle_set, text_bytes
 
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     buckets = nodes.select(F.explode("keys").alias("key"), "id")
     heads = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    in_bucket = cut_lineage(buckets.join(heads, "key"))
+    in_bucket = cut_lineage(joined_with_groups(buckets, written(heads, "heads"), ["key"], "members"))
     stars = in_bucket.filter("a <> id").select("a", F.col("id").alias("b")).distinct()
     fits = F.expr(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
     with_sigs = (stars.join(sigs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
