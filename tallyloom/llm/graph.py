@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,6 +30,37 @@ def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return out, (seen.get["n"], seen.get["sum"])
 
 
+def thinned(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """Of the edges ``(a, b)`` of each task only those that join what it has not joined yet: the components stay the same.
+
+    A task holds ``most`` nodes at a time, then begins anew; edges without ends pass.
+    """
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root[up]
+                x = root[x]
+            return x
+
+        for batch in batches:
+            if len(root) > most:
+                root.clear()
+            keep = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                joined = False
+                if a is not None and b is not None:
+                    x, y = top(a), top(b)
+                    joined = x == y
+                    root[max(x, y)] = min(x, y)
+                keep.append(not joined)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return mapped(edges.select("a", "b"), run, "a long, b long")
+
+
 def components(edges: DataFrame, stars: DataFrame | None = None) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; component = smallest reachable node.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, given, mapped, written
-from .graph import components
+from .graph import components, thinned
 from .lattice import minimal_vectors, nearest
 
 TABLES = 12
@@ -192,7 +192,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     more = links.select(F.col("a").alias("id"), F.col("mb").alias("n")).unionByName(links.select(F.col("b").alias("id"), F.col("ma").alias("n"))) \
         .groupBy("id").agg(F.sum("n").alias("n"))
-    found = components(links.select("a", "b")).withColumnRenamed("node", "id")
+    found = components(thinned(links)).withColumnRenamed("node", "id")
     classes = nodes.select("f1", "f2", "id", "m").join(more, "id", "left").join(found, "id", "left") \
         .select("f1", "f2", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("component"))
     classes = cut_lineage(classes)
