@@ -160,9 +160,10 @@ def daily_activity(sessions: DataFrame, start: str, hours: Column, commits: Data
 
 
 def commit_totals(commits: DataFrame, ts: str, repo: str, eligible: Column) -> DataFrame:
-    """One row about a commit log; the repositories themselves are rows of ``commit_repositories``."""
+    """One row about a commit log, with its repositories by name; what is known of each are the rows of ``commit_repositories``."""
+    names = F.sort_array(F.collect_set(repo))
     return commits.agg(F.count("*").alias("commits"), F.count_if(eligible).alias("eligible"), F.countDistinct(repo).alias("repositories"),
-                       F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+                       F.when(F.size(names) > 0, F.array_join(names, ",")).alias("repos"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
 
 
 def commit_repositories(commits: DataFrame, ts: str, repo: str, eligible: Column) -> DataFrame:

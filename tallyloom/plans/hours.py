@@ -238,7 +238,7 @@ def _(t):
 
 
 @query("commit_metadata", f"""SELECT count(*) AS commits, count(*) FILTER (o_orderstatus = 'F') AS eligible, count(DISTINCT o_orderpriority) AS repositories,
- {txt('min(o_orderdate)')} AS first_ts, {txt('max(o_orderdate)')} AS last_ts FROM orders""")
+ string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS repos, {txt('min(o_orderdate)')} AS first_ts, {txt('max(o_orderdate)')} AS last_ts FROM orders""")
 def _(t):
     return H.commit_totals(t.orders, "o_orderdate", "o_orderpriority", F.col("o_orderstatus") == "F")
 
