@@ -4,10 +4,12 @@ explode, so chunk numbering needs no shuffle."""
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..scale import ship_package
 
 # Separators from coarse to fine, and default sizes.
 SEPARATORS = ["\n\n", "\n", ". ", " "]
@@ -87,67 +89,106 @@ def sentences(text) -> Column:
     abbreviation or an initial, or the next word begins with a small ASCII letter.  Decimals hold no blank, so they end none.
     """
     t = F.col(text) if isinstance(text, str) else text
-    words = F.filter(F.split(t, _BLANKS), lambda w: w != "")
-
-    def marked(ws):
-        return F.transform(ws, lambda w, i: F.when(
-            w.rlike(SENTENCE_END) & ~w.rlike(NO_END) & ~F.coalesce(F.get(ws, i + 1).rlike("^[a-z]"), F.lit(False)), F.concat(w, F.lit("\x1e"))).otherwise(w))
-
-    # one-element array: the words are worked out once, then looked at by position
-    text = F.element_at(F.transform(F.array(words), lambda ws: F.array_join(marked(ws), " ")), 1)
-    return F.filter(F.split(text, "\x1e ?"), lambda s: s != "")
-
-
-def packed_sentences(found: Column, budget: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> tuple[Column, Column]:
-    """Two columns: ``__counted``, the words of each sentence, and, worked out from that one, ``array<struct<start,end>>`` of sentence
-    positions: greedy chunks of at most ``budget`` words, one longer sentence alone.
+    # one pass over the text: a word that ends a sentence gets a mark, which is no part of any word, before the blank behind it
+    no_end = NO_END.removeprefix("^").removesuffix("$").replace("([A-Z]", "(?:[A-Z]", 1)
+    last = f"(?<![^ ])(?!{no_end} )([^ ]*{SENTENCE_END.removesuffix('$')}) (?![a-z])"
+    marked = F.regexp_replace(F.trim(F.regexp_replace(t, _BLANKS, " ")), last, "$1\x1e ")
+    return F.filter(F.split(marked, "\x1e ?"), lambda s: s != "")
+
+
+def packs(words: list[int], budget: int, overlap: int) -> list[tuple[int, int]]:
+    """First and last sentence of each chunk, from the words of each sentence."""
+    out, at, used = [], 0, 0
+    for i, n in enumerate(words):
+        if used and used + n > budget:
+            out.append((at, i - 1))
+            room, at, used = min(overlap, budget - n), i, 0
+            while at - 1 > out[-1][0] and used + words[at - 1] <= room:
+                at -= 1
+                used += words[at]
+        used += n
+    return [*out, (at, len(words) - 1)] if used else out
+
+
+def packed_sentences(found: Column, budget: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """``array<struct<start,end>>`` of sentence positions: greedy chunks of at most ``budget`` words, one longer sentence alone.
 
     A chunk begins again with the last sentences of the one before, as many as have ``overlap`` words together and leave room for the
-    next sentence, but never with all of them.  One pass over the sentences; what it carries is bounded by ``overlap``.
+    next sentence, but never with all of them.  The worker gets the number of words of each sentence, no text.
     """
-    last = f"slice(a.tail, greatest(size(a.tail) - {overlap} + 1, 1), {overlap})" if overlap else "slice(a.tail, 1, 0)"
-    again = f"""aggregate(reverse({last}), named_struct('sum', 0, 'k', 0, 'open', true),
-        (b, v) -> if(b.open AND b.sum + v <= least({overlap}, {budget} - x.n), named_struct('sum', b.sum + v, 'k', b.k + 1, 'open', true), named_struct('sum', b.sum, 'k', b.k, 'open', false)))"""
-    closed = f"""transform(array({again}), g -> named_struct('at', x.i - g.k, 'used', g.sum + x.n,
-        'tail', if(g.k > 0, array_append(slice(a.tail, size(a.tail) - g.k + 2, g.k - 1), x.n), slice(a.tail, 1, 0)),
-        'done', array_append(a.done, named_struct('start', a.at, 'end', x.i - 1))))[0]"""
-    added = f"named_struct('at', a.at, 'used', a.used + x.n, 'tail', if(a.used > 0, array_append({last}, x.n), a.tail), 'done', a.done)"
-    counted = F.transform(found, lambda s, i: F.struct(i.cast("int").alias("i"), F.size(F.split(s, " ")).alias("n")))
-    packs = F.expr(f"""aggregate(__counted, named_struct('at', 0, 'used', 0, 'tail', cast(array() AS array<int>), 'done', cast(array() AS array<struct<start:int,end:int>>)),
-        (a, x) -> if(a.used > 0 AND a.used + x.n > {budget}, {closed}, {added}),
-        a -> if(a.used > 0, array_append(a.done, named_struct('start', a.at, 'end', size(__counted) - 1)), a.done))""")
-    return counted, packs
+
+    def run(counts: pd.Series) -> pd.Series:
+        return counts.map(lambda ns: [] if ns is None else [{"start": a, "end": b} for a, b in packs(ns.tolist(), budget, overlap)])
+
+    return F.pandas_udf(run, "array<struct<start:int,end:int>>")(F.transform(found, lambda s: F.size(F.split(s, " "))))
 
 
 def sentence_chunks(docs: DataFrame, text: str, budget: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, out: str = "chunks") -> DataFrame:
     """``docs`` with ``out``: whole sentences of ``text`` in chunks of at most ``budget`` words, ``overlap`` words of them again in the next.
 
-    No worker and no shuffle; a text without words has no chunks.
+    No shuffle; a text without words has no chunks.
     """
-    counted, packs = packed_sentences(F.col("__found"), budget, overlap)
-    d = docs.withColumn("__found", sentences(text)).withColumn("__counted", counted).withColumn("__packs", packs)
+    ship_package(docs.sparkSession)
+    d = once(docs, "__found", sentences(text)).withColumn("__packs", packed_sentences(F.col("__found"), budget, overlap))
     joined = F.transform("__packs", lambda p: F.array_join(F.slice("__found", p["start"] + 1, p["end"] - p["start"] + 1), " "))
-    return d.withColumn(out, F.coalesce(joined, F.array().cast("array<string>"))).drop("__found", "__counted", "__packs")
+    return d.withColumn(out, F.coalesce(joined, F.array().cast("array<string>"))).drop("__found", "__packs")
 
 
-def chunker(strategy: str = "recursive", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, parity: bool = False):
-    """Column function: array of page texts -> array<struct<page,text>> for a strategy name."""
+#: Characters of chunks that a Python worker holds before it hands them on.
+_HELD = 1 << 20
+
+
+def cutter(strategy: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, parity: bool = False):
+    """Python function of one page text for the strategies that need one, else None."""
     if strategy in ("recursive", "character"):
-        def cut(t):
-            return split_text(t, size, overlap, parity)
-    elif strategy == "semantic":
-        def cut(t):
-            return pack_sentences(t, size)
-    elif strategy == "fixed":
-        def fixed(pages):
-            per = F.transform(pages, lambda p, i: F.transform(
-                F.when(tx.collapse(p) == "", F.array(F.lit(""))).otherwise(fixed_width(p, size, overlap)),
-                lambda c: F.struct((i + 1).cast("int").alias("page"), c.alias("text"))))
-            return F.flatten(per)
-
-        return fixed
-    else:
-        raise ValueError(f"unknown chunking strategy: {strategy}")
+        return lambda t: split_text(t, size, overlap, parity)
+    if strategy == "semantic":
+        return lambda t: pack_sentences(t, size)
+    if strategy == "fixed":
+        return None
+    raise ValueError(f"unknown chunking strategy: {strategy}")
+
+
+def cut_batches(batches, cut, names: list[str]):
+    """Arrow rows (doc, page texts) to rows (doc, chunk_index, page, text), at most ``_HELD`` characters and one document at a time."""
+    for batch in batches:
+        at, index, page, texts, held = [], [], [], [], 0
+        for row in range(batch.num_rows):
+            n = 0
+            for i, p in enumerate(batch.column(1)[row].as_py() or [], 1):
+                for c in cut(p or "") or ([""] if not (p or "").strip() else []):
+                    at.append(row), index.append(n), page.append(i), texts.append(c)
+                    n, held = n + 1, held + len(c)
+            if at and (held > _HELD or len(at) > 10_000 or row + 1 == batch.num_rows):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(index, pa.int32()), pa.array(page, pa.int32()), pa.array(texts, pa.string())], names)
+                at, index, page, texts, held = [], [], [], [], 0
+
+
+def chunked(docs: DataFrame, doc: str, pages: Column, strategy: str = "recursive", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, parity: bool = False) -> DataFrame:
+    """(doc, chunk_index, page_number, raw_text) rows of a strategy."""
+    cut, names = cutter(strategy, size, overlap, parity), ["doc", "chunk_index", "page_number", "raw_text"]
+    if cut is None:
+        c = docs.withColumn("__chunks", fixed_pages(pages, size, overlap)).select(doc, F.posexplode("__chunks").alias("chunk_index", "c"))
+        return c.select(doc, "chunk_index", F.col("c.page").alias("page_number"), F.col("c.text").alias("raw_text"))
+    ship_package(docs.sparkSession)
+    given = docs.select(F.col(doc).alias("doc"), pages.alias("pages"))
+    schema = f"doc {given.schema['doc'].dataType.simpleString()}, chunk_index int, page_number int, raw_text string"
+    return given.mapInArrow(lambda batches: cut_batches(batches, cut, names), schema).withColumnRenamed("doc", doc)
+
+
+def fixed_pages(pages: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """Array of page texts -> array<struct<page,text>> of slices; a blank page has one empty slice."""
+    per = F.transform(pages, lambda p, i: F.transform(
+        F.when(tx.collapse(p) == "", F.array(F.lit(""))).otherwise(fixed_width(p, size, overlap)),
+        lambda c: F.struct((i + 1).cast("int").alias("page"), c.alias("text"))))
+    return F.flatten(per)
+
+
+def chunker(strategy: str = "recursive", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, parity: bool = False):
+    """Column function: array of page texts -> array<struct<page,text>> for a strategy name.  ``chunked`` gives rows and holds less."""
+    cut = cutter(strategy, size, overlap, parity)
+    if cut is None:
+        return lambda pages: fixed_pages(pages, size, overlap)
 
     def run(pages: pd.Series) -> pd.Series:
         def one(ps):
@@ -158,14 +199,18 @@ def chunker(strategy: str = "recursive", size: int = CHUNK_SIZE, overlap: int =
     return lambda pages: F.pandas_udf(run, "array<struct<page:int,text:string>>")(pages)
 
 
+def once(df: DataFrame, name: str, col: Column) -> DataFrame:
+    """``df`` with a costly column that later filters and columns read but do not work out again (filters do not pass a generator)."""
+    return df.select("*", F.explode(F.array(col)).alias(name))
+
+
 def chunk_table(docs: DataFrame, doc: str, pages: Column, strategy: str = "recursive", clean: bool = True,
                 min_length: int = tx.MIN_LENGTH, normalize: bool = True, **sizes) -> DataFrame:
     """One row per chunk: index across pages, ids, page, hash; unusable chunks stay, blank and flagged."""
-    c = docs.withColumn("__chunks", chunker(strategy, **sizes)(pages)).select(doc, F.posexplode("__chunks").alias("chunk_index", "c"))
-    c = c.select(doc, "chunk_index", F.col("c.page").alias("page_number"), F.col("c.text").alias("raw_text"))
+    c = chunked(docs, doc, pages, strategy, **sizes)
     if clean:
-        c = c.withColumn("__clean", tx.clean_text("raw_text", normalize=normalize))
-        c = c.withColumn("text", F.coalesce(tx.keep_if_useful(F.col("__clean"), min_length), F.lit(""))).drop("__clean")
+        c = once(c, "__clean", tx.clean_text("raw_text", normalize=normalize))
+        c = once(c, "text", F.coalesce(tx.keep_if_useful(F.col("__clean"), min_length), F.lit(""))).drop("__clean")
     else:
         c = c.withColumn("text", F.col("raw_text"))
     return c.select(doc, "chunk_index", F.concat_ws("_", F.col(doc).cast("string"), F.col("chunk_index")).alias("document_id"), "page_number", "text",

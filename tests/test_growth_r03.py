@@ -37,3 +37,34 @@ def test_intervals_of_common_keys_are_not_repeated(spark):
     asked = I._asked(v, "s", ["k"])
     cover = I._cover(I._marked(v, ["k"], I._crowded(asked, 1)), v["s"], v["e"])
     assert I._dealt(cover).count() <= 200
+
+
+def test_a_worker_hands_chunks_on_in_small_batches():
+    import pyarrow as pa
+
+    from tallyloom.operators import chunks as C
+
+    given = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([["word " * 20_000, None]] * 50)], ["doc", "pages"])
+    got = list(C.cut_batches([given], C.cutter("recursive"), ["doc", "chunk_index", "page_number", "raw_text"]))
+    assert len(got) > 3 and max(b.nbytes for b in got) < 3 << 20
+    rows = [r for b in got for r in b.to_pylist() if r["doc"] == 49]
+    assert [r["chunk_index"] for r in rows] == list(range(len(rows))) and rows[-1] == {"doc": 49, "chunk_index": len(rows) - 1, "page_number": 2, "raw_text": ""}
+    assert [r["raw_text"] for r in rows[:-1]] == C.split_text("word " * 20_000, C.CHUNK_SIZE, C.CHUNK_OVERLAP)
+
+
+def test_filters_do_not_clean_texts_again(spark):
+    from pyspark.sql import functions as F
+
+    from tallyloom.operators import chunks as C
+
+    c = C.records_to_embed(C.chunk_table(spark.sql("SELECT 1 AS doc_id, 'Some text of a page' AS text"), "doc_id", F.array("text"), "fixed"), "doc_id")
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "regexp" in x] and c.count() == 1
+
+
+def test_sentences_of_a_long_text_are_packed_without_copies():
+    from tallyloom.operators import chunks as C
+
+    assert C.packs([30, 30, 10, 5, 50, 70, 3], 60, 15) == [(0, 1), (2, 3), (3, 4), (5, 5), (6, 6)]
+    many = C.packs([10] * 200_000, 60, 15)
+    assert many[:3] == [(0, 5), (5, 10), (10, 15)] and many[-1][1] == 199_999
