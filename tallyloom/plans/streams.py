@@ -134,7 +134,7 @@ def _(t):
     def records(files):
         return files.select("path", "hash", F.explode(F.split("text", "\x1e")).alias("text")).filter("text <> ''")
 
-    store = I.FileIngest(t.spark, folder, out, records, per_batch=64, compact_every=4)
+    store = I.FileIngest(t.spark, folder, out, records, per_batch=64, compact_every=4, batch_bytes=256 << 20)
     put(docs)
     store.sync()
     put(docs.filter("part % 3 = 1").withColumn("value", F.concat("value", F.lit(" v2"))))

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scale import first_per
+from ..scale import cut_lineage, first_per
 from ..sources.scans import TEXT_KINDS, file_texts
 
 DOCS = "path string, length long, modified timestamp, hash string, gone boolean"
+MOST_NAMES = 10_000  # files of a batch whose names the driver holds
 CHANGES = "path string, length long, modified timestamp, gone boolean"
 
 
@@ -47,7 +48,8 @@ class FileIngest:
 
     A run lists the folder (no contents are read), compares paths, sizes and times with the documents it knows and writes
     the differences to a journal, ``per_batch`` files in each journal file.  A stream reads the journal, one such file a
-    micro-batch: it reads those files, hashes them, and writes chunks and document rows to folders named after the batch.  A batch
+    micro-batch (small files may lie together beyond that number, up to ``batch_bytes`` of contents on average and ``MOST_NAMES``
+    of them, as each batch has a cost of its own): it reads those files, hashes them, and writes chunks and document rows to folders named after the batch.  A batch
     that runs again overwrites its own folders, so nothing doubles.  A document counts with its last batch: a changed one
     replaces its chunks, a removed one loses them; one whose bytes are as before writes no chunks.
 
@@ -59,9 +61,10 @@ class FileIngest:
     row for an empty document.  Files that vanish between listing and reading count as removed at the next run.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, out: str, to_chunks: Callable[[DataFrame], DataFrame], per_batch: int = 1000, compact_every: int = 20):
+    def __init__(self, spark: SparkSession, folder: str, out: str, to_chunks: Callable[[DataFrame], DataFrame], per_batch: int = 1000, compact_every: int = 20,
+                 batch_bytes: int = 0):
         self.spark, self.folder, self.out, self.to_chunks = spark, folder, out, to_chunks
-        self.per_batch, self.compact_every = per_batch, compact_every
+        self.per_batch, self.compact_every, self.batch_bytes = per_batch, compact_every, batch_bytes
 
     # -- what is stored ------------------------------------------------------------------------
     def _base(self, before: int | None = None) -> int:
@@ -131,7 +134,10 @@ class FileIngest:
 
     def sync(self) -> DataFrame | None:
         """Bring the chunks up to date with the folder and return them."""
-        self.changes().write.mode("append").option("maxRecordsPerFile", self.per_batch).parquet(f"{self.out}/journal")
+        found = cut_lineage(self.changes())
+        n, size = found.agg(F.count(F.lit(1)), F.sum("length")).first()
+        many = min(MOST_NAMES, self.batch_bytes * n // max(size or 0, 1))
+        found.coalesce(max(1, n // 1_000_000)).write.mode("append").option("maxRecordsPerFile", max(self.per_batch, many)).parquet(f"{self.out}/journal")
         journal = self.spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).parquet(f"{self.out}/journal")
         q = journal.writeStream.foreachBatch(self._step).option("checkpointLocation", f"{self.out}/progress").trigger(availableNow=True).start()
         q.awaitTermination()
