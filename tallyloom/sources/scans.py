@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,6 +132,12 @@ def ingest_from_git_log(spark: SparkSession, path: str) -> DataFrame:
     return git_log_lines(spark.read.text(path), "value")
 
 
+def _one_text_a_file(spark: SparkSession) -> DataFrameReader:
+    """Reader of files that hold one JSON text each.  It takes a file as one line, up to a character that JSON does not allow:
+    with ``multiLine`` Spark goes back to the file for every number or flag that becomes a string."""
+    return spark.read.option("lineSep", "\x1e")
+
+
 def scan_json_records(spark: SparkSession, path: str, aliases: dict[str, str] = COMMIT_ALIASES,
                       required: tuple[str, ...] = ("timestamp", "repo_name", "author", "message", "hash"),
                       flag: str = "is_wbso") -> DataFrame:
@@ -139,7 +145,7 @@ def scan_json_records(spark: SparkSession, path: str, aliases: dict[str, str] =
     whole = spark.read.text(path, wholetext=True)
     if not whole.filter("not rlike(value, '^\\\\s*\\\\[')").isEmpty():
         raise ValueError(f"{path}: expected a list of records")
-    return commit_records(spark.read.option("multiLine", True).option("primitivesAsString", True).json(path), aliases, required, flag)
+    return commit_records(_one_text_a_file(spark).option("primitivesAsString", True).json(path), aliases, required, flag)
 
 
 def commit_records(df: DataFrame, aliases: dict[str, str] = COMMIT_ALIASES,
@@ -191,7 +197,7 @@ def scan_eval_dataset(spark: SparkSession, path: str) -> DataFrame:
     if not whole.filter("not rlike(value, '^\\\\s*\\\\[')").isEmpty():
         raise ValueError(f"{path}: expected a JSON array")
     schema = "question string, ground_truth_contexts array<string>, expected_answer string"
-    return eval_items(spark.read.schema(schema).option("multiLine", True).json(path))
+    return eval_items(_one_text_a_file(spark).schema(schema).json(path))
 
 
 TEXT_KINDS = ["md", "txt", "html", "htm"]
