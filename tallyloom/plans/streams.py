@@ -104,7 +104,7 @@ def _(t):
 @query("stream_ttl_kv", f"SELECT user_id || ':' || event_type AS key, arg_max(value, ts) AS value, max(epoch_us(ts)) AS us FROM events GROUP BY 1")
 def _(t):
     d = J.ttl_kv(_events(t), ["user_id", "event_type"], "ts", "event_id", "value", 10 * 86400)
-    r = J.run_to_table(d, scratch_dir(t.spark, "kv"))
+    r = J.run_to_table(d, scratch_dir(t.spark, "kv"), mode="update")
     return r.groupBy("key").agg(F.max(F.struct("us", "rid", "value")).alias("l")).select("key", "l.value", "l.us")
 
 
