@@ -149,7 +149,7 @@ def markdown_headings(text) -> Column:
 
 def tokens(text) -> Column:
     """Lower-case runs of a-z and 0-9; every other character separates."""
-    return F.filter(F.split(F.lower(_c(text)), "[^a-z0-9]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(_c(text)), "[^a-z0-9]+"), "")
 
 
 def normalize_match(text) -> Column:

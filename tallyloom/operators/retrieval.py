@@ -21,7 +21,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as tx
 from ..functions.vectors import TopK
-from ..scale import DRIVER_ROWS, QUERY_BYTES, cut_lineage, first_per, setting, spread
+from ..scale import DRIVER_ROWS, QUERY_BYTES, cut_lineage, first_per, scratch_dir, setting, spread
 
 #: Scores that a task works out at a time.
 SCORES = 4_000_000
@@ -99,7 +99,7 @@ def dense_topk(corpus: DataFrame, rid: str, vec: str, queries: DataFrame, qid: s
         for a in range(0, len(ids), step):
             yield ids[a:a + step], units[a:a + step] @ q
 
-    queries = queries.select(qid, qvec)
+    queries = cut_lineage(queries.select(qid, qvec))  # read for their width and then block by block
     return _search(corpus, rid, vec, queries, qid, k, prepare, score, _dense_rows(queries, qvec))
 
 
@@ -109,11 +109,14 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def bm25_stats(corpus: DataFrame, rid: str, text: str):
-    """(tokens table, one-row totals, term table).  Write them once when many searches follow."""
+    """(tokens table, one-row totals, term table) in one pass over the texts; give them to further searches of the corpus."""
     toks = spread(corpus.select(rid, text)).select(rid, tx.tokens(text).alias("tokens"))
-    totals = toks.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    terms = toks.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return toks, totals, terms
+    # no token is empty, so the empty term stands once in each document and sums up the documents
+    once = F.concat(F.array(F.lit("")), F.coalesce(F.array_distinct("tokens"), F.array().cast("array<string>")))
+    seen = toks.select(F.size("tokens").alias("len"), F.explode(once).alias("term"))
+    counts = cut_lineage(seen.groupBy("term").agg(F.count("*").alias("df"), F.avg(F.when(F.col("term") == "", F.col("len"))).alias("avgdl")))
+    totals = counts.filter("term = ''").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n"), F.max("avgdl").alias("avgdl"))
+    return toks, totals, counts.filter("term <> ''").select("term", "df")
 
 
 def bm25_topk(corpus: DataFrame, rid: str, text: str, queries: DataFrame, qid: str, qtext: str, k: int,
@@ -123,13 +126,12 @@ def bm25_topk(corpus: DataFrame, rid: str, text: str, queries: DataFrame, qid: s
     n, avgdl = totals.first()
     q = queries.select(qid, tx.tokens(qtext).alias("qt")).filter(F.size("qt") > 0)
     idf = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    terms = terms.withColumn("idf", idf).persist()  # one row per distinct word; used twice below
+    terms = terms.withColumn("idf", idf)
     mean = terms.agg(F.avg("idf")).first()[0] or 0.0
     # each query carries the idf of its own words, so no list of all words is needed anywhere
     asked = q.select(qid, F.explode("qt").alias("term")).join(terms.select("term", "idf"), "term", "left")
     weighed = F.when(F.col("idf").isNotNull(), F.struct("term", "idf"))
     q = cut_lineage(asked.groupBy(qid).agg(F.sort_array(F.collect_list(weighed)).alias("qt")))
-    terms.unpersist()
 
     def prepare(rows):
         words = sorted({t for r in rows for t, _ in r[1]})
@@ -215,6 +217,19 @@ def mmr(hits: DataFrame, vectors: DataFrame, rid: str, vec: str, queries: DataFr
     return d.groupBy("query_id").applyInPandas(pick, f"query_id {t['query_id']}, record_id {t['record_id']}, rank int, score double")
 
 
+def first_hits(hits: DataFrame, k: int) -> DataFrame:
+    """The list that a search for ``k`` gives, out of one for more; scores of lexical hits are scaled over the k again."""
+    d = hits.filter(F.col("rank") <= k)
+    return minmax(d, "raw") if "raw" in hits.columns else d
+
+
+def written(hits: DataFrame) -> DataFrame:
+    """Hits found once for all that use them, and read back with their true size, so that joins know them as small."""
+    out = scratch_dir(hits.sparkSession, "hits")
+    hits.write.parquet(out)
+    return hits.sparkSession.read.schema(hits.schema).parquet(out)
+
+
 def threshold_then_slice(hits: DataFrame, threshold: float, k: int) -> DataFrame:
     """Drop hits under the threshold (only when it is positive), then the first k that remain."""
     d = hits.filter(F.col("score") >= threshold) if threshold > 0 else hits
