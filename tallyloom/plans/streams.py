@@ -97,7 +97,7 @@ def _(t):
 @query("stream_rate_limit", admitted_sql("ts <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"))
 def _(t):
     """The same as a stream over the whole table, up to the watermark."""
-    r = J.run_to_table(J.rate_limit(_events(t), "user_id", "ts", "event_id", 2, 12 * 3600), scratch_dir(t.spark, "rate"), store=J.ROCKS)
+    r = J.rate_limit_to_table(_events(t), "user_id", "ts", "event_id", 2, scratch_dir(t.spark, "rate"), 12 * 3600)
     return r.select(F.col("key").alias("user_id"), F.col("rid").alias("event_id"), "admitted")
 
 
