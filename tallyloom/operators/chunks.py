@@ -120,12 +120,14 @@ def packed_sentences(found: Column, budget: int = CHUNK_SIZE, overlap: int = CHU
 def sentence_chunks(docs: DataFrame, text: str, budget: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, out: str = "chunks") -> DataFrame:
     """``docs`` with ``out``: whole sentences of ``text`` in chunks of at most ``budget`` words, ``overlap`` words of them again in the next.
 
-    No worker and no shuffle; a text without words has no chunks.
+    No worker and no shuffle; a text without words has no chunks.  Each step is worked out once: the filter that Spark derives from
+    an explode of ``out`` would else find the sentences anew for every chunk.
     """
     counted, packs = packed_sentences(F.col("__found"), budget, overlap)
-    d = docs.withColumn("__found", sentences(text)).withColumn("__counted", counted).withColumn("__packs", packs)
+    d = once(once(docs, "__found", sentences(text)).withColumn("__counted", counted), "__packs", packs)
     joined = F.transform("__packs", lambda p: F.array_join(F.slice("__found", p["start"] + 1, p["end"] - p["start"] + 1), " "))
-    return d.withColumn(out, F.coalesce(joined, F.array().cast("array<string>"))).drop("__found", "__counted", "__packs")
+    kept = [c for c in docs.columns if c != out]
+    return once(d.select(*kept, F.coalesce(joined, F.array().cast("array<string>")).alias("__out")), out, F.col("__out")).drop("__out")
 
 
 #: Characters of chunks that a Python worker holds before it hands them on.
